@@ -36,6 +36,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
@@ -43,9 +50,30 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder).drop("shard")
 
 
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(list_slice(ws, p, p + 34), ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 34)) AS p FROM words WHERE len(ws) >= 35)),
+again AS (SELECT win FROM windows GROUP BY win HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p + k AS i FROM windows JOIN again USING (win), (SELECT unnest(generate_series(0, 34)) AS k)),
+placed AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS i FROM words WHERE len(ws) > 0),
+kept AS (
+  SELECT p.doc_id, count(*) AS n, count(*) FILTER (g.i IS NOT NULL) AS gone, coalesce(string_agg(w, ' ' ORDER BY p.i) FILTER (g.i IS NULL), '') AS text
+  FROM placed p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
+"""
+
+SQL = {"op7_substring_dedup": OP7_SQL}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
