@@ -14,13 +14,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
 from .recompress import U, levels, mix, representatives
 
-ROUNDS = 3
+ROUNDS = 2
+#: Documents that a task holds unpacked at once.
+SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
 BATCH_WORDS, KEPT_WORDS = 300_000, 400_000
 BASE = U(0x9E3779B97F4A7C15)
@@ -78,7 +80,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             shape = ((place[new] - first) << 32 | count).astype(U)
             content = mix(span_hashes(hashes, first, first + count + width - 1), mix(symbol, shape, 5), 9)
             at = document[new]
-            columns = [*(np.array(k, np.int64)[at] for k in zip(*keys)), (first - (ends - sizes)[at]).astype(np.int32), count.astype(np.int32), symbol.view(np.int64), content.view(np.int64)]
+            columns = [*(np.array(k, t)[at] for k, t in zip(zip(*keys), (np.int64, np.int32))), (first - (ends - sizes)[at]).astype(np.int32), count.astype(np.int32), symbol.view(np.int64), content.view(np.int64)]
             return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["k1", "k2", "first", "count", "symbol", "content"])
 
         for batch in batches:
@@ -95,7 +97,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             if keys:
                 yield made(keys, words)
 
-    return docs.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, first int, count int, symbol long, content long")
+    return docs.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 int, first int, count int, symbol long, content long")
 
 
 def covered(n: int, starts, counts, width: int) -> np.ndarray:
@@ -112,7 +114,43 @@ def kept(words: list[bytes], gone: np.ndarray, digest: bool) -> str:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), F.xxhash64("text").alias("k2"), "doc_id", "text")
+    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("k1"), text_hash(F.col("text")).alias("k2"), "doc_id", "text")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """keyed docs with their texts compressed, for the way through a shuffle."""
+
+    def pack(batches):
+        from zstandard import ZstdCompressor
+
+        zip_ = ZstdCompressor(level=3)
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                blobs = [zip_.compress(t.as_buffer()) if t.is_valid else None for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], names=["k1", "k2", "doc_id", "packed"])
+
+    return docs.mapInArrow(pack, "k1 long, k2 int, doc_id long, packed binary")
+
+
+def words_of(blob: pa.Scalar) -> list[bytes]:
+    from zstandard import ZstdDecompressor
+
+    return ZstdDecompressor().decompress(blob.as_buffer()).split() if blob.is_valid else []
+
+
+def lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of an array<struct> column: where each row's items begin and end, and the fields of all items."""
+    ends = column.offsets.to_numpy()
+    items = column.values
+    sizes = np.diff(ends)
+    if column.null_count:
+        sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
+    return np.stack([ends[:-1], ends[:-1] + sizes], 1), [items.field(k).to_numpy(zero_copy_only=False) for k in range(items.type.num_fields)]
 
 
 def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
@@ -130,35 +168,45 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
     shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"))
     shared = shared.where("contents > 1 and single > 0").select(F.col("symbol").alias("of"), F.lit(True).alias("differs"))
     status = known.join(shared, F.col("symbol") == F.col("of"), "left").where("times > 1 or differs")
-    status = status.select(F.col("symbol").alias("s"), F.col("content").alias("c"), "times", "giver", "differs")
+    check = F.col("symbol").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # beside the content's 64 bits, 31 of its symbol's
+    status = status.select(check.alias("s"), F.col("content").alias("c"), "times", "giver", "differs")
     kind = F.when(F.col("times") == 1, COMPARED).when(F.col("differs") & (F.col("k1") == F.col("giver")), BOTH).otherwise(COVERED)
-    marked = parts.join(status, (F.col("content") == F.col("c")) & (F.col("symbol") == F.col("s"))).select("k1", "k2", F.struct("first", "count", kind.alias("kind")).alias("mark"))
+    claims = parts.select("k1", "k2", "first", "count", "content", check.alias("check"))
+    marked = claims.join(status, (F.col("content") == F.col("c")) & (F.col("check") == F.col("s"))).select("k1", "k2", F.struct("first", "count", kind.alias("kind")).alias("mark"))
     marks = marked.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.collect_set("mark").alias("marks"))
 
     def first_pass(batches):
         known = WordHashes()
         for batch in batches:
-            out = []
-            for doc_id, k1, k2, text, marks in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist()):
-                words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                own = [(m["first"], m["count"]) for m in marks or () if m["kind"] != COMPARED]
-                gone = covered(len(words), [a for a, _ in own], [n for _, n in own], width)
-                given = [m for m in marks or () if m["kind"] != COVERED]
-                at = np.concatenate([np.arange(m["first"], m["first"] + m["count"]) for m in given]) if given else np.zeros(0, np.int64)
-                mine = np.repeat([m["kind"] == COMPARED for m in given], [m["count"] for m in given]).astype(bool)
-                hashes = span_hashes(known.of(words), at, at + width).view(np.int64) if given else at
-                done = not mine.any()
-                windows = [{"hash": h, "at": a if m else -1} for h, a, m in zip(hashes.tolist(), at.tolist(), mine.tolist())]
-                spans = None if done else [x for pair in own for x in pair]
-                out.append((doc_id, k1, k2, len(words), int(gone.sum()), kept(words, gone, digest) if done else None, None if done else b" ".join(words).decode(), spans, windows))
-            window = pa.struct([("hash", pa.int64()), ("at", pa.int32())])
-            types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(window)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, types)], names=list("abcdefghi"))
-
-    texts = keyed(docs)
-    joined = texts.join(marks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("doc_id", "k1", "k2", "text", "marks")
-    row = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string"
-    first = written(joined.mapInArrow(first_pass, f"{row}, text string, spans array<int>, windows array<struct<hash: long, at: int>>"))
+            for at in range(0, len(batch), SLICE):
+                yield first_slice(batch.slice(at, SLICE), known)
+
+    def first_slice(part, known):
+        spans, (first, count, kind) = lists(part.column("marks"))
+        rows, texts, covering, sizes, hashes, places = [], [], [], [], [], []
+        for (a, b), blob in zip(spans.tolist(), part.column("packed")):
+            words, starts, counts = words_of(blob), first[a:b], count[a:b]
+            own, given = kind[a:b] != COMPARED, kind[a:b] != COVERED
+            gone = covered(len(words), starts[own], counts[own], width)
+            n, mine = counts[given], np.repeat(kind[a:b][given] == COMPARED, counts[given])
+            at = np.arange(n.sum()) + np.repeat(starts[given] - np.cumsum(n) + n, n)
+            sizes.append(len(at))
+            if len(at):
+                hashes.append(span_hashes(known.of(words), at, at + width).view(np.int64))
+                places.append(np.where(mine, at, -1))
+            done = not mine.any()
+            rows.append((len(words), int(gone.sum()), kept(words, gone, digest) if done else None))
+            texts.append(None if done else blob.as_py())
+            covering.append(None if done else np.stack([starts[own], counts[own]], 1).ravel())
+        windows = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)) for x, t in ((hashes, np.int64), (places, np.int32))], names=["hash", "at"])
+        windows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), windows)
+        n, lost, left = zip(*rows)
+        columns = [pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.string()), pa.array(texts, pa.binary()), pa.array(covering, pa.list_(pa.int32())), windows]
+        return pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2")), *columns], names=list("abcdefghi"))
+
+    joined = packed(keyed(docs)).join(marks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("doc_id", "k1", "k2", "packed", "marks")
+    row = "doc_id long, k1 long, k2 int, n_words long, n_removed long, kept string"
+    first = written(joined.mapInArrow(first_pass, f"{row}, packed binary, spans array<int>, windows array<struct<hash: long, at: int>>"))
 
     windows = first.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.hash", "w.at")
     again = windows.groupBy(F.col("hash").alias("h")).count().where("count > 1")
@@ -167,21 +215,22 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
 
     def second_pass(batches):
         for batch in batches:
-            out = []
-            for doc_id, k1, k2, text, spans, at in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                words, at = text.encode().split(), at or []
-                gone = covered(len(words), spans[::2] + at, spans[1::2] + [1] * len(at), width)
-                out.append((doc_id, k1, k2, len(words), int(gone.sum()), kept(words, gone, digest)))
-            types = [pa.int64()] * 5 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, types)], names=list("abcdef"))
+            for at in range(0, len(batch), SLICE):
+                part, rows = batch.slice(at, SLICE), []
+                for blob, spans, at in zip(part.column("packed"), part.column("spans").to_pylist(), part.column("found").to_pylist()):
+                    words, at = words_of(blob), at or []
+                    gone = covered(len(words), spans[::2] + at, spans[1::2] + [1] * len(at), width)
+                    rows.append((len(words), int(gone.sum()), kept(words, gone, digest)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2")), *columns], names=list("abcdef"))
 
-    rest = first.where("text is not null").join(found, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
-    rest = rest.select("doc_id", "k1", "k2", "text", "spans", "found").mapInArrow(second_pass, row)
-    return first.where("text is null").select(rest.columns).unionByName(rest)
+    rest = first.where("packed is not null").join(found, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    rest = rest.select("doc_id", "k1", "k2", "packed", "spans", "found").mapInArrow(second_pass, row)
+    return first.where("packed is null").select(rest.columns).unionByName(rest)
 
 
 def cleaned_documents(docs: DataFrame, width: int = 35) -> DataFrame:
     """docs with only the words kept in `text`; null texts stay null, and rows that keep all their words stay as they were."""
     kept_ = written(without_repeats(docs, width).where("n_removed > 0").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("kept").alias(text := fresh(docs, "kept"))).distinct())
-    on = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("r1")) & (F.xxhash64(docs["text"]) == F.col("r2"))
+    on = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("r1")) & (text_hash(docs["text"]) == F.col("r2"))
     return docs.join(kept_, on, "left").withColumn("text", F.coalesce(text, docs["text"])).select(*docs.columns)
