@@ -43,6 +43,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+    from .sampling import remainder
+
+    docs, part = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3)
+    found = identify(docs, train(docs.where(part != 1)))
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sstable import read_shards, write_shards
 
@@ -50,6 +59,16 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(spark, folder).drop("shard")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import remainder
+    from .toxicity import score, train
+
+    docs, labels, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5)
+    found = score(docs, train(docs, labels.where(part != 0)))
+    predicted = (F.col("score") >= 0.5).cast("int")
+    return found.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH words AS (
   SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
