@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 from .sampling import labelled_sample
 
 SIZES, BUCKETS, DIMENSIONS = (3, 4, 5), 1 << 16, 8
-SPAN, STEP = 24, 8
+SPAN, STEP = 4, 2
 #: Labelled documents of each class that training takes.
 SAMPLE = 2500
-EPOCHS, PLAIN_EPOCHS, RATE, DECAY, SEED = 60, 12, 0.05, 1e-4, 3
+EPOCHS, PLAIN_EPOCHS, RATE, DECAY, SEED = 100, 6, 0.05, 1e-2, 3
+#: The share of n-grams that a step of training takes for unknown, as they are in a misspelling.
+HIDDEN = 0.6
 KEPT_WORDS = 400_000
 MARKS = ".,;:!?\"'()[]{}<>«»“”‘’…"
 
@@ -118,7 +120,8 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Toxicity:
     for step in range(1, EPOCHS + 1):
         vectors, out, bias = params
         toward = out[:, 1] - out[:, 0]
-        values = word_means(vectors @ toward, grams, counts)
+        shown = rng.random(len(grams)) >= HIDDEN
+        values = word_means((vectors @ toward)[grams] * shown, np.arange(len(grams)), counts)
         spans = []
         for words in ids:
             v = values[words]
@@ -135,7 +138,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> Toxicity:
         used = np.concatenate([w[a:b] for w, (a, b, _) in zip(ids, spans)])
         each = np.concatenate([np.full(b - a, e / max(1, b - a)) for e, (a, b, _) in zip(error, spans)])
         by_word = np.bincount(used, each, minlength=len(vocabulary)) / np.maximum(counts, 1)
-        by_gram = np.bincount(grams, by_word[owner], minlength=BUCKETS).astype(np.float32)
+        by_gram = np.bincount(grams, by_word[owner] * shown, minlength=BUCKETS).astype(np.float32)
         g_vectors = by_gram[:, None] * toward[None] + DECAY / BUCKETS * vectors
         g_toward = by_gram @ vectors
         grads = [g_vectors, np.stack([-g_toward, g_toward], 1), np.array([-error.sum(), error.sum()], np.float32)]
