@@ -81,11 +81,12 @@ def levels(hashes: np.ndarray, closes: np.ndarray, rounds: int) -> list[Level]:
     return out
 
 
-def representatives(found: list[Level], starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def representatives(found: list[Level], starts: np.ndarray, width: int, reach: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window [p, p + width), p in `starts`: name, first word and level of the symbol that stands for it.
 
-    That is, of the symbols with a context inside the window, one of the highest level there, and of these the
-    one with the least hash of its name (the first, if it occurs again). Equal windows get the same.
+    That is, of the symbols whose context and first `reach` words are inside the window, one of the highest level
+    there, and of these the one with the least hash of its name (the first, if it occurs again). Equal windows get
+    the same.
     """
     n = len(starts)
     name, place, level = np.zeros(n, U), np.zeros(n, np.int64), np.full(n, -1, np.int8)
@@ -96,7 +97,7 @@ def representatives(found: list[Level], starts: np.ndarray, width: int) -> tuple
         x = found[number]
         order = mix(x.name, x.name, 99)
         a = np.searchsorted(x.low, starts[todo])
-        b = np.searchsorted(x.high, starts[todo] + width, side="right")
+        b = np.searchsorted(np.maximum(x.high, x.start + reach), starts[todo] + width, side="right")
         some = b > a
         a, b, todo = a[some], b[some], todo[some]
         if not len(todo):

@@ -21,6 +21,8 @@ from .common import fresh, written
 from .recompress import U, levels, mix, representatives
 
 ROUNDS = 2
+#: Words from a symbol's first on that are compared as its own; they are part of each window it stands for.
+REACH = 8
 #: Documents that a task holds unpacked at once.
 SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
@@ -60,6 +62,8 @@ def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 def chunks(docs: DataFrame, width: int) -> DataFrame:
     """k1, k2 (the document), first (its first window), count (its windows), symbol, content (a hash of its words)."""
 
+    reach = min(REACH, width)
+
     def cut(batches):
         known = WordHashes()
 
@@ -72,11 +76,12 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             windows = sizes - width + 1
             document = np.repeat(np.arange(len(words)), windows)
             starts = np.arange(windows.sum()) + np.repeat(ends - sizes - np.cumsum(windows) + windows, windows)
-            name, place, level = representatives(levels(hashes, closes, ROUNDS), starts, width)
+            name, place, level = representatives(levels(hashes, closes, ROUNDS), starts, width, reach)
             new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (document[1:] != document[:-1])))
             count = np.diff(np.append(new, len(starts)))
             first = starts[new]
-            symbol = mix(name[new], level[new].astype(U), 3)
+            own = span_hashes(hashes, place[new], place[new] + reach)
+            symbol = mix(mix(name[new], level[new].astype(U), 3), own, 4)
             shape = ((place[new] - first) << 32 | count).astype(U)
             content = mix(span_hashes(hashes, first, first + count + width - 1), mix(symbol, shape, 5), 9)
             at = document[new]
@@ -143,14 +148,13 @@ def words_of(blob: pa.Scalar) -> list[bytes]:
     return ZstdDecompressor().decompress(blob.as_buffer()).split() if blob.is_valid else []
 
 
-def lists(column: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of an array<struct> column: where each row's items begin and end, and the fields of all items."""
+def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of an array<long> column: where each row's items begin and end, and all items."""
     ends = column.offsets.to_numpy()
-    items = column.values
     sizes = np.diff(ends)
     if column.null_count:
         sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), sizes, 0)
-    return np.stack([ends[:-1], ends[:-1] + sizes], 1), [items.field(k).to_numpy(zero_copy_only=False) for k in range(items.type.num_fields)]
+    return np.stack([ends[:-1], ends[:-1] + sizes], 1), column.values.to_numpy(zero_copy_only=False)
 
 
 def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
@@ -164,15 +168,15 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
     parts = written(chunks(keyed(docs), width))
     # first document: gives the windows of its chunk for comparison
     known = parts.groupBy("symbol", "content").agg(F.count("*").alias("times"), F.min("k1").alias("giver"))
-    known = written(known)
     shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"))
     shared = shared.where("contents > 1 and single > 0").select(F.col("symbol").alias("of"), F.lit(True).alias("differs"))
     status = known.join(shared, F.col("symbol") == F.col("of"), "left").where("times > 1 or differs")
     check = F.col("symbol").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # beside the content's 64 bits, 31 of its symbol's
     status = status.select(check.alias("s"), F.col("content").alias("c"), "times", "giver", "differs")
     kind = F.when(F.col("times") == 1, COMPARED).when(F.col("differs") & (F.col("k1") == F.col("giver")), BOTH).otherwise(COVERED)
+    mark = F.shiftleft(F.col("first").cast("long"), 32) + F.shiftleft(F.col("count").cast("long"), 2) + kind
     claims = parts.select("k1", "k2", "first", "count", "content", check.alias("check"))
-    marked = claims.join(status, (F.col("content") == F.col("c")) & (F.col("check") == F.col("s"))).select("k1", "k2", F.struct("first", "count", kind.alias("kind")).alias("mark"))
+    marked = claims.join(status, (F.col("content") == F.col("c")) & (F.col("check") == F.col("s"))).select("k1", "k2", mark.alias("mark"))
     marks = marked.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.collect_set("mark").alias("marks"))
 
     def first_pass(batches):
@@ -182,7 +186,8 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
                 yield first_slice(batch.slice(at, SLICE), known)
 
     def first_slice(part, known):
-        spans, (first, count, kind) = lists(part.column("marks"))
+        spans, marks = lists(part.column("marks"))
+        first, count, kind = marks >> 32, marks >> 2 & (1 << 30) - 1, marks & 3
         rows, texts, covering, sizes, hashes, places = [], [], [], [], [], []
         for (a, b), blob in zip(spans.tolist(), part.column("packed")):
             words, starts, counts = words_of(blob), first[a:b], count[a:b]
