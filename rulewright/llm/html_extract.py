@@ -266,7 +266,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     near = nearest_pages(pages)
-    known = written(pages.select(row_key().alias("of"), "html").dropDuplicates(["of"]).mapInArrow(hashed, "of long, hashes array<long>"))
+    known = written(pages.select(row_key().alias("of"), "html").mapInArrow(hashed, "of long, hashes array<long>").dropDuplicates(["of"]))
     for name in ("first", "second"):
         near = near.join(known.select(F.col("of").alias(f"{name}_of"), F.col("hashes").alias(f"{name}_hashes")), F.col(name) == F.col(f"{name}_of"), "left")
     near = near.select("key", F.col("first_hashes").alias("first"), F.col("second_hashes").alias("second"))
