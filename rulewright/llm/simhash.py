@@ -115,7 +115,7 @@ def trie_links(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: in
 
 
 def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
-    """a, b: links between rows of `prints` (node, bits: distinct) at most `budget` bits apart.
+    """a, b: links between rows of `prints` (bits: distinct) at most `budget` bits apart.
 
     Of each trie's top, links that span its groups are kept; those that add no connection are not. Chunks of a
     top with more than CHUNK fingerprints meet pairwise, so that no task has an unbounded one.
@@ -124,18 +124,18 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     choices = list(combinations(range(blocks), matched))
     masks = [sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tries = F.explode(F.array(*(F.struct(F.lit(t).alias("trie"), F.col("bits").bitwiseAND(F.lit(m)).alias("top")) for t, m in enumerate(signed))))
-    rows = prints.select("node", "bits", tries.alias("x")).select("node", "bits", "x.trie", "x.top")
-    large = rows.groupBy("trie", "top").count().where(F.col("count") > CHUNK)
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
+    top = F.col("bits").bitwiseAND(F.element_at(signed, F.col("trie") + 1))
+    rows = prints.select("bits", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("trie"))
+    large = rows.groupBy("trie", top.alias("top")).count().where(F.col("count") > CHUNK)
     large = large.select(F.col("trie").alias("t"), F.col("top").alias("p"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(large, (F.col("trie") == F.col("t")) & (F.col("top") == F.col("p")), "left").drop("t", "p")
+    rows = rows.join(large, (F.col("trie") == F.col("t")) & (top == F.col("p")), "left").drop("t", "p")
     own = F.pmod(F.xxhash64("bits"), F.coalesce("chunks", F.lit(1))).cast("int")
     # with itself (as i, i) and with each other chunk
     meets = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda c: F.struct(F.least(c, own).alias("i"), F.greatest(c, own).alias("j")))
     )
-    rows = rows.withColumn("own", own).withColumn("meet", F.explode(meets)).select("trie", "top", "meet.i", "meet.j", "own", "node", "bits")
+    rows = rows.withColumn("own", own).withColumn("meet", F.explode(meets)).select("trie", "meet.i", "meet.j", "own", "bits")
 
     def lower(bits: np.ndarray, trie: int) -> tuple[np.ndarray, int]:
         """The bits outside the top, moved together."""
@@ -147,46 +147,45 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
                 depth += width
         return out, depth
 
+    mask = np.array(masks, np.uint64)
+
+    def links_of(trie, i, j, own, bits):
+        """Of whole groups of (trie, top, i, j)."""
+        for t in np.unique(trie):
+            for two in (False, True):
+                at = np.flatnonzero((trie == t) & ((i != j) == two))
+                if not len(at):
+                    continue
+                low, depth = lower(bits[at].view(np.uint64), int(t))
+                held = np.stack([bits[at].view(np.uint64) & mask[t], i[at].astype(np.uint64), j[at].astype(np.uint64)])
+                order = np.lexsort((low, *held[::-1]))
+                held, at = held[:, order], at[order]
+                number = np.cumsum(np.append(False, (held[:, 1:] != held[:, :-1]).any(axis=0)))
+                for x, y in trie_links(low[order], number, own[at] != i[at] if two else None, budget, depth):
+                    yield int(bits[at[x]]), int(bits[at[y]])
+
     def walk(batches):
-        def groups(held, own, node, bits):
-            trie, paired = held[:, 0], held[:, 2] != held[:, 3]
-            for t in np.unique(trie):
-                for two in (False, True):
-                    at = np.flatnonzero((trie == t) & (paired == two))
-                    if not len(at):
-                        continue
-                    low, depth = lower(bits[at].view(np.uint64), int(t))
-                    number = np.unique(held[at], axis=0, return_inverse=True)[1].ravel()
-                    order = np.lexsort((low, number))
-                    found = trie_links(low[order], number[order], (own[at] != held[at, 2])[order] if two else None, budget, depth)
-                    at = at[order]
-                    yield from ((int(node[at[i]]), int(node[at[j]])) for i, j in found)
-
-        def emit(parts):
-            table = [np.concatenate(x) for x in zip(*parts)]
-            found = list(groups(np.stack(table[:4], axis=1), *table[4:]))
+        def emit(table):
+            found = list(links_of(*table))
             columns = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["a", "b"])
 
-        parts, size = [], 0
+        rest = None
         for batch in batches:
-            part = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            if size + len(part[0]) > 1 << 17 and len(part[0]):  # whole groups are settled; the last may go on
-                held = np.stack([np.concatenate([p[k] for p in parts] + [part[k]]) for k in range(4)], axis=1)
-                change = np.flatnonzero((held[1:] != held[:-1]).any(axis=1))
-                if len(change):
-                    cut = change[-1] + 1
-                    whole = [np.concatenate([p[k] for p in parts] + [part[k]]) for k in range(7)]
-                    yield emit([[x[:cut] for x in whole]])
-                    parts, size = [[x[cut:] for x in whole]], len(held) - cut
-                    continue
-            parts.append(part)
-            size += len(part[0])
-        if size:
-            yield emit(parts)
-
-    keys = ["trie", "top", "i", "j"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(walk, "a long, b long")
+            table = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            if rest is not None:
+                table = [np.concatenate(x) for x in zip(rest, table)]
+            trie, i, j, _, bits = table
+            group = np.stack([trie.astype(np.uint64), bits.view(np.uint64) & mask[trie], i.astype(np.uint64), j.astype(np.uint64)])
+            change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0))
+            cut = change[-1] + 1 if len(change) and len(trie) > 1 << 16 else 0  # the last group may go on
+            if cut:
+                yield emit([x[:cut] for x in table])
+            rest = [x[cut:] for x in table]
+        if rest is not None and len(rest[0]):
+            yield emit(rest)
+
+    return rows.repartition("trie", top, "i", "j").sortWithinPartitions("trie", top, "i", "j").mapInArrow(walk, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:
@@ -200,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int
     prints = written(fingerprints(docs, words, seed))
     nodes = written(prints.groupBy("bits").agg(F.min("doc_id").alias("first")))
     # a fingerprint is its own node: the signed bits name it even where no doc_id does
-    links = written(near_links(nodes.select(F.col("bits").alias("node"), "bits"), budget, blocks))
+    links = written(near_links(nodes.select("bits"), budget, blocks))
     groups = components(links)
     member = nodes.join(groups, F.col("bits") == F.col("node"), "left").select("bits", "first", F.coalesce("component", "bits").alias("component"))
     ids = member.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -209,8 +208,38 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int
     return joined.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, budget: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs that give their group its id (and rows without doc_id)."""
-    found = near_duplicates(docs, words, budget, seed)
-    gone, key = found.where("doc_id != component_id").select("doc_id").distinct(), fresh(docs, "gone_id")
-    return docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"] == F.col(key), "left_anti")
+def shingles(text: pa.Scalar, words: int) -> set[int]:
+    from xxhash import xxh64_intdigest
+
+    parts = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+    return {xxh64_intdigest(b" ".join(parts[k : k + words])) for k in range(max(1, len(parts) - words + 1))}
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 8, blocks: int = 11) -> DataFrame:
+    """docs without near-duplicates: of each group that fingerprints link, its row of the smallest doc_id stays.
+
+    Of the group's others, those go whose sets of word shingles have a Jaccard similarity of `least` or more with
+    it; the rest, linked by way of others or by chance, stay. Rows without doc_id stay. Of rows with one doc_id and
+    text, repeated, all stay or go together.
+    """
+    group, print_ = fresh(docs, "group"), fresh(docs, "print")
+    found = near_duplicates(docs, words, budget, blocks=blocks).where("doc_id != component_id").distinct()
+    found = written(found.select(F.col("doc_id").alias(print_), F.col("component_id").alias(group)))
+    member = docs.join(found, docs["doc_id"] == F.col(print_), "left").drop(print_)
+    first, text = fresh(docs, "first"), fresh(docs, "first_text")
+    heads = found.select(F.col(group).alias(first)).distinct().join(docs.select(F.col("doc_id").alias(print_), F.col("text").alias(text)), F.col(print_) == F.col(first)).select(first, text)
+    heads = heads.groupBy(first).agg(F.min(text).alias(text))
+    names = docs.columns
+
+    def unlike(batches):
+        at = names.index("text")
+        for batch in batches:
+            keep = []
+            for own, other in zip(batch.column(at), batch.column(len(names))):
+                a, b = shingles(own, words), shingles(other, words)
+                both = len(a & b)
+                keep.append(both < least * (len(a) + len(b) - both))
+            yield batch.select(list(range(len(names)))).filter(pa.array(keep, pa.bool_()))
+
+    others = member.where(F.col(group).isNotNull()).join(heads, F.col(group) == F.col(first), "left").select(*names, text)
+    return member.where(F.col(group).isNull()).select(*names).unionByName(others.mapInArrow(unlike, docs.schema))
