@@ -14,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U = np.uint64
+BASE = U(0x9E3779B97F4A7C15)
+BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(a: np.ndarray, b: np.ndarray, tag: int) -> np.ndarray:
@@ -81,21 +83,31 @@ def levels(hashes: np.ndarray, closes: np.ndarray, rounds: int) -> list[Level]:
     return out
 
 
-def representatives(found: list[Level], starts: np.ndarray, width: int, reach: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window [p, p + width), p in `starts`: name, first word and level of the symbol that stands for it.
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words of each span [start, end), wherever it stands."""
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(hashes), BASE))
+        sums = np.append(U(0), np.cumsum(mix(hashes, hashes, 1) * powers))
+        back = np.cumprod(np.append(U(1), np.full(len(hashes), BACK)))
+        return (sums[end] - sums[start]) * back[start]
+
+
+def representatives(found: list[Level], starts: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window [p, p + width), p in `starts`: name and first word of the symbol that stands for it.
 
-    That is, of the symbols whose context and first `reach` words are inside the window, one of the highest level
-    there, and of these the one with the least hash of its name (the first, if it occurs again). Equal windows get
-    the same.
+    A symbol is named for this by its level, its name and the `reach` words from its first on. Of the symbols whose
+    context and these words are inside the window, it is one of the highest level there, and of these the one of the
+    least name (the first, if it occurs again). Equal windows get the same.
     """
+    words = found[0].name
     n = len(starts)
-    name, place, level = np.zeros(n, U), np.zeros(n, np.int64), np.full(n, -1, np.int8)
+    name, place = np.zeros(n, U), np.full(n, -1, np.int64)
     for number in range(len(found) - 1, -1, -1):
-        todo = np.flatnonzero(level < 0)
+        todo = np.flatnonzero(place < 0)
         if not len(todo):
             break
         x = found[number]
-        order = mix(x.name, x.name, 99)
+        order = mix(mix(x.name, np.full(len(x.name), number, U), 3), span_hashes(words, x.start, np.minimum(x.start + reach, len(words))), 4)
         a = np.searchsorted(x.low, starts[todo])
         b = np.searchsorted(np.maximum(x.high, x.start + reach), starts[todo] + width, side="right")
         some = b > a
@@ -109,8 +121,8 @@ def representatives(found: list[Level], starts: np.ndarray, width: int, reach: i
             at = np.flatnonzero(power == step)
             one, two = best[a[at]], best[b[at] - size]
             least = np.where(order[two] < order[one], two, one)
-            name[todo[at]], place[todo[at]], level[todo[at]] = x.name[least], x.start[least], number
+            name[todo[at]], place[todo[at]] = order[least], x.start[least]
             one, two = best[:-size], best[size:]
             best = np.where(order[two] < order[one], two, one)
             size *= 2
-    return name, place, level
+    return name, place

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, written
-from .recompress import U, levels, mix, representatives
+from .recompress import U, levels, mix, representatives, span_hashes
 
 ROUNDS = 2
 #: Words from a symbol's first on that are compared as its own; they are part of each window it stands for.
@@ -27,8 +27,6 @@ REACH = 8
 SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
 BATCH_WORDS, KEPT_WORDS = 300_000, 400_000
-BASE = U(0x9E3779B97F4A7C15)
-BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 COVERED, COMPARED, BOTH = 1, 2, 3
 
 
@@ -50,15 +48,6 @@ class WordHashes:
         return np.array(found, U)
 
 
-def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the words of each span [start, end), wherever it stands."""
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(len(hashes), BASE))
-        sums = np.append(U(0), np.cumsum(mix(hashes, hashes, 1) * powers))
-        back = np.cumprod(np.append(U(1), np.full(len(hashes), BACK)))
-        return (sums[end] - sums[start]) * back[start]
-
-
 def chunks(docs: DataFrame, width: int) -> DataFrame:
     """k1, k2 (the document), first (its first window), count (its windows), symbol, content (a hash of its words)."""
 
@@ -76,12 +65,11 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             windows = sizes - width + 1
             document = np.repeat(np.arange(len(words)), windows)
             starts = np.arange(windows.sum()) + np.repeat(ends - sizes - np.cumsum(windows) + windows, windows)
-            name, place, level = representatives(levels(hashes, closes, ROUNDS), starts, width, reach)
+            name, place = representatives(levels(hashes, closes, ROUNDS), starts, width, reach)
             new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (document[1:] != document[:-1])))
             count = np.diff(np.append(new, len(starts)))
             first = starts[new]
-            own = span_hashes(hashes, place[new], place[new] + reach)
-            symbol = mix(mix(name[new], level[new].astype(U), 3), own, 4)
+            symbol = name[new]
             shape = ((place[new] - first) << 32 | count).astype(U)
             content = mix(span_hashes(hashes, first, first + count + width - 1), mix(symbol, shape, 5), 9)
             at = document[new]
@@ -168,8 +156,9 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
     parts = written(chunks(keyed(docs), width))
     # first document: gives the windows of its chunk for comparison
     known = parts.groupBy("symbol", "content").agg(F.count("*").alias("times"), F.min("k1").alias("giver"))
-    shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"))
-    shared = shared.where("contents > 1 and single > 0").select(F.col("symbol").alias("of"), F.lit(True).alias("differs"))
+    # with all columns of known in use here too, Spark shuffles and counts once for both
+    shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"), F.max("giver").alias("any"))
+    shared = shared.where("contents > 1 and single > 0 and any is not null").select(F.col("symbol").alias("of"), F.lit(True).alias("differs"))
     status = known.join(shared, F.col("symbol") == F.col("of"), "left").where("times > 1 or differs")
     check = F.col("symbol").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # beside the content's 64 bits, 31 of its symbol's
     status = status.select(check.alias("s"), F.col("content").alias("c"), "times", "giver", "differs")

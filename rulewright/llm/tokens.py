@@ -7,11 +7,14 @@ another. Words repeat, hence their ids are kept; the library encodes only words
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
-#: Words whose ids a task keeps; beyond it, it starts again.
-KEPT_WORDS = 400_000
+#: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
+KEPT_WORDS, KEPT_PARTS = 400_000, 900_000
+#: The one letter that, in lower case, is a letter and a mark.
+DOTTED = "\u0130"
 #: Characters of texts whose ids are made at once.
 CHUNK_CHARS = 2_000_000
 
@@ -24,74 +27,90 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
+        #: A word is two parts, letters and the marks after them: their numbers, the first in the upper 32 bits.
         self.words: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.parts: dict[str, int] = {"": 0}
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        """Letters and the marks after them are separate tokens, so that letters alone are looked up first."""
-        split, unseen = [], {}
+        """Marks after letters are tokens of their own, and the tokenizer lowers letters: so are parts met again."""
+        parts, unseen, split = self.parts, [], []
         for word in words:
             core = word.rstrip(".,;:!?")
-            if core and core.isascii() and core.isalpha():
-                split.append((core := core.lower(), tail := word[len(core) :]))
-            elif core and core.isalpha():
-                split.append((core, tail := word[len(core) :]))
+            if not core.isalpha() or DOTTED in core:
+                core, tail = word, ""
             else:
-                split.append((core := word, tail := ""))
-            for part in (core, tail):
-                if part and part not in self.cores:
-                    unseen[part] = None
-        unseen = list(unseen)
-        for part, ids in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            self.cores[part] = ids.ids
-        for word, (core, tail) in zip(words, split):
-            ids = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-            k, end = len(self.words), self.used + len(ids)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : end] = ids
-            self.start[k], self.length[k], self.used = self.used, len(ids), end
-            self.words[word] = k
+                tail = word[len(core) :]
+                if core.isascii():
+                    core = core.lower()
+            if core not in parts:
+                parts[core] = len(parts)
+                unseen.append(core)
+            if tail not in parts:
+                parts[tail] = len(parts)
+                unseen.append(tail)
+            split.append(parts[core] << 32 | parts[tail])
+        self.words.update(zip(words, split))
+        if unseen:
+            self.encode_parts(unseen)
+
+    def encode_parts(self, unseen: list[str]) -> None:
+        """Letters are encoded as one text of words, each of which ends in a token that ends words; others one by one."""
+        first = len(self.start)
+        letters = np.fromiter((p.isalpha() and DOTTED not in p for p in unseen), bool, len(unseen))
+        words = [p for p, is_word in zip(unseen, letters) if is_word]
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):  # a letter to one library and none to the other
+            letters[:], ids, ends = False, ids[:0], ends[:0]
+        rest = [p for p, is_word in zip(unseen, letters) if not is_word]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        start, length = np.zeros(len(unseen), np.int64), np.zeros(len(unseen), np.int64)
+        length[letters] = np.diff(ends, prepend=0)
+        start[letters] = ends - length[letters]
+        length[~letters] = list(map(len, found))
+        start[~letters] = len(ids) + np.cumsum(length[~letters]) - length[~letters]
+        more = np.fromiter(chain.from_iterable(found), np.uint32, int(length[~letters].sum()))
+        self.start = np.concatenate([self.start, len(self.flat) + start])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32), more])
+        assert len(self.start) == first + len(unseen) == len(self.parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out, chunk, chars = [], [], 0
         for text in texts:
-            chunk.append(text or "")
+            chunk.append(text.replace("\n", " ") if text else "")
             chars += len(chunk[-1])
             if chars > CHUNK_CHARS:
                 out += self._encode(chunk)
                 chunk, chars = [], 0
-        return out + self._encode(chunk)
+        return out + self._encode(chunk) if chunk else out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEPT_WORDS:
+        if len(self.parts) > KEPT_PARTS:
             self.reset()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
-        found = []
-        for words in split:
-            numbers = list(map(self.words.get, words))
-            if None in numbers:
-                self.learn([w for w in dict.fromkeys(words) if w not in self.words])
-                numbers = list(map(self.words.get, words))
-            found.append(np.array(numbers, np.int64))
-        out = []
-        for numbers in found:
-            lengths = self.length[numbers]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            place = np.arange(total) + np.repeat(self.start[numbers] - ends + lengths, lengths)
-            out.append(self.flat[place])
-        return out
+        elif len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        words = " ".join(texts).split(" ")
+        known = list(map(self.words.get, words))
+        if None in known:
+            missing = [i for i, k in enumerate(known) if k is None]
+            self.learn(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                known[i] = self.words[words[i]]
+        both = np.array(known, np.int64)
+        numbers = np.stack([both >> 32, both & 0xFFFFFFFF], 1).ravel()
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + length, length)]
+        last = 2 * np.cumsum([t.count(" ") + 1 for t in texts]) - 1  # each text's last part
+        return np.split(ids, ends[last][:-1])
 
 
 _encoders: dict[str, WordEncoder] = {}
