@@ -155,12 +155,13 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
     """
     parts = written(chunks(keyed(docs), width))
     # first document: gives the windows of its chunk for comparison
+    parts = parts.where("symbol is not null and content is not null")
     known = parts.groupBy("symbol", "content").agg(F.count("*").alias("times"), F.min("k1").alias("giver"))
     # with all columns of known in use here too, Spark shuffles and counts once for both
     shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"), F.max("giver").alias("any"))
     shared = shared.where("contents > 1 and single > 0 and any is not null").select(F.col("symbol").alias("of"), F.lit(True).alias("differs"))
     status = known.join(shared, F.col("symbol") == F.col("of"), "left").where("times > 1 or differs")
-    check = F.col("symbol").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")  # beside the content's 64 bits, 31 of its symbol's
+    check = F.coalesce(F.col("symbol").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(0))  # beside the content's 64 bits, 31 of its symbol's
     status = status.select(check.alias("s"), F.col("content").alias("c"), "times", "giver", "differs")
     kind = F.when(F.col("times") == 1, COMPARED).when(F.col("differs") & (F.col("k1") == F.col("giver")), BOTH).otherwise(COVERED)
     mark = F.shiftleft(F.col("first").cast("long"), 32) + F.shiftleft(F.col("count").cast("long"), 2) + kind
