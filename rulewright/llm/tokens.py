@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 400_000, 900_000
+KEPT_WORDS, KEPT_PARTS = 300_000, 750_000
 #: The one letter that, in lower case, is a letter and a mark.
 DOTTED = "\u0130"
 #: Characters of texts whose ids are made at once.
@@ -121,3 +121,8 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Lets go of the worker's encoders, before tasks that need the memory and encode nothing."""
+    _encoders.clear()
