@@ -1,47 +1,23 @@
-"""What several operators of this subpackage need: the shared folder, written tables, sums over a global order."""
+"""What several operators of this subpackage need: written tables, sums over a global order."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..reuse import shared_folder, written
+
+__all__ = ["SPACE", "WORD", "arrow_schema", "fresh", "running_totals", "shared_folder", "written"]
+
 #: White space between words, as the contracts of the operators define it.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir; removed when the application ends.
-
-    Only where the cluster names none, as in tests on one machine, a temporary folder stands in.
-    """
-    context = spark.sparkContext
-    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not top:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
-        top = context.getCheckpointDir()
-    folder = f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(context._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps read it and don't depend on what made it."""
-    folder = shared_folder(df.sparkSession) + "/table"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with underscores in front if df has such a column already."""
     taken = {c.lower() for c in df.columns}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample
+from .tokens import forget
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 #: Labelled documents of each language that training takes, and windows of each document.
@@ -153,6 +154,7 @@ def identify(docs: DataFrame, network: ByteNetwork) -> DataFrame:
     """
 
     def scan(batches):
+        forget()
         network.ready()
         for batch in batches:
             labels, scores = network.classify(batch.column(1).to_pylist())
@@ -166,6 +168,7 @@ def recognised(docs: DataFrame, network: ByteNetwork, least: float = 0.4) -> Dat
     names, schema = docs.columns, docs.schema
 
     def keep(batches):
+        forget()
         network.ready()
         text = names.index("text")
         for batch in batches:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 from .components import components
+from .tokens import forget
 
 BITS = 64
 #: Fingerprints of one top that one task walks together; more are dealt in chunks, each pair of chunks to a task.
@@ -46,6 +47,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     """docs' doc_id with `bits`: the SimHash of the whole text (null: as empty, 0) as a signed long."""
 
     def scan(batches):
+        forget()
         for batch in batches:
             found = [simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "bits"])
@@ -170,6 +172,7 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
             columns = zip(*found) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["a", "b"])
 
+        forget()
         rest = None
         for batch in batches:
             table = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]

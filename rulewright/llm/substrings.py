@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 from .recompress import U, levels, mix, representatives, span_hashes
+from .tokens import forget
 
 ROUNDS = 2
 #: Words from a symbol's first on that are compared as its own; they are part of each window it stands for.
@@ -54,6 +55,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
     reach = min(REACH, width)
 
     def cut(batches):
+        forget()
         known = WordHashes()
 
         def made(keys, words):

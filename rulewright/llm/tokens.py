@@ -124,5 +124,5 @@ def encoder(path: str) -> WordEncoder:
 
 
 def forget() -> None:
-    """Lets go of the worker's encoders, before tasks that need the memory and encode nothing."""
+    """Lets go of the encoders a worker has kept, at the start of tasks that need the memory and encode nothing."""
     _encoders.clear()
