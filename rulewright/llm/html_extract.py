@@ -1,7 +1,7 @@
 """Main text of web pages: nearest-URL page differencing.
 
-Pages of a host are sorted by their URL's path. Each is paired with the neighbour with which it shares the longer start of its
-path; their text lines are aligned by a longest common subsequence and shared lines go, for what two pages
+Pages of a host are sorted by their URL's path. Each is paired with the neighbour with which it shares the longest start of
+its path; their text lines are aligned by a longest common subsequence and shared lines go, for what two pages
 of a site have in common is the site's. What differs from page to page and still isn't the article (menus of
 links to other pages, adverts, dates) is told by the elements it is in. Lines inside an <article> or <main> are the article's even if a
 copy of the page has them too; where there is neither, pages that share most of their text are copies
@@ -215,10 +215,10 @@ def row_key() -> Column:
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """key, first, second: of each different row, the nearer and the other neighbour by path on its host, or null.
+    """key, place, neighbour: of each different row, up to four neighbours by path on its host, the nearest at place 0.
 
-    Neighbours are next to one another in the order of host, path and key; nearer is the one with the longer common
-    start of the path. Rows are dealt by range, so that a host of very many pages is spread like others.
+    Neighbours are the two before and the two after in the order of host, path and key; nearer is one with a longer
+    common start of the path. Rows are dealt by range, so that a host of very many pages is spread like others.
     """
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
@@ -230,16 +230,12 @@ def nearest_pages(pages: DataFrame) -> DataFrame:
         """Characters of the longest common start."""
         return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda n: F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n)))
 
-    def beside(step: int, name: str) -> DataFrame:
-        return ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("path").alias(f"{name}_path"), F.col("key").alias(name))
-
-    rows = ranked.join(beside(1, "before"), "rank", "left").join(beside(-1, "after"), "rank", "left")
-    for name in ("before", "after"):
-        rows = rows.withColumn(name, F.when(F.col("host") == F.col(f"{name}_host"), F.col(name)))
-        rows = rows.withColumn(f"{name}_common", F.when(F.col(name).isNotNull(), common(F.col("path"), F.col(f"{name}_path"))))
-    early = F.col("after").isNull() | (F.col("before_common") >= F.col("after_common"))
-    both = F.col("before").isNotNull()
-    return rows.select("key", F.when(both & early, F.col("before")).otherwise(F.col("after")).alias("first"), F.when(both & early, F.col("after")).otherwise(F.col("before")).alias("second"))
+    step = F.explode(F.array(*map(F.lit, (-1, 1, -2, 2))))
+    asked = ranked.withColumn("step", step).withColumn("at", F.col("rank") + F.col("step"))
+    there = ranked.select(F.col("rank").alias("at"), F.col("host").alias("its_host"), F.col("path").alias("its_path"), F.col("key").alias("neighbour"))
+    met = asked.join(there, "at").where("host = its_host")
+    near = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-common(F.col("path"), F.col("its_path"))).alias("far"), F.abs("step").alias("steps"), "neighbour"))).alias("all"))
+    return near.select("key", F.posexplode("all").alias("place", "n")).select("key", "place", "n.neighbour")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -260,15 +256,13 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, out = batch.slice(at, 256), []
-                for page, first, second in zip(*(part.column(k).to_pylist() for k in ("html", "first", "second"))):
+                for page, near in zip(*(part.column(k).to_pylist() for k in ("html", "near"))):
                     own = lines(page or "")
-                    out.append(main_text(own, line_hashes(own), [x for x in (first, second) if x is not None]))
+                    out.append(main_text(own, line_hashes(own), [n["hashes"] for n in near or ()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    near = nearest_pages(pages)
-    known = written(pages.select(row_key().alias("of"), "html").mapInArrow(hashed, "of long, hashes array<long>").dropDuplicates(["of"]))
-    for name in ("first", "second"):
-        near = near.join(known.select(F.col("of").alias(f"{name}_of"), F.col("hashes").alias(f"{name}_hashes")), F.col(name) == F.col(f"{name}_of"), "left")
-    near = near.select("key", F.col("first_hashes").alias("first"), F.col("second_hashes").alias("second"))
+    known = pages.select(row_key().alias("of"), "html").mapInArrow(hashed, "of long, hashes array<long>").dropDuplicates(["of"])
+    near = nearest_pages(pages).join(known, F.col("neighbour") == F.col("of"))
+    near = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "hashes"))).alias("near"))  # up to four
     rows = pages.select("page_id", "url", "html", row_key().alias("key")).join(near, "key", "left").drop("key")
     return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")

@@ -133,7 +133,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> ByteNetwork:
     Rows without text, letter or lang are left out. Without rows, the network knows no language and says `und`.
     """
     taken, _ = labelled_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), "lang", F.col("doc_id"), sample)
-    taken = taken[[any(map(str.isalpha, t or "")) for t in taken["text"]]]
+    taken = taken[np.array([any(map(str.isalpha, t or "")) for t in taken["text"]], bool)]
     network = ByteNetwork(sorted(set(taken["lang"])))
     rng, x, y = np.random.default_rng(SEED), [], []
     for text, lang in zip(taken["text"], taken["lang"]):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_schema, running_totals, written
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -31,7 +31,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
     def cut(batches):
         codes = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), codes.encode(batch.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
-from .tokens import encoder, forget
+from .tokens import SLICE, encoder
 
 MAGIC = b"SSTSHARD"
 FOOTER = struct.Struct("<QQQQI8s")
@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             fs.move(f"{path}/{name}.{context.taskAttemptId()}", f"{path}/{name}.sst")
             shards.append((name, len(writer.keys), writer.ids))
 
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             for doc_id, ids in zip(batch.column(0).to_pylist(), codes.encode(batch.column(1).to_pylist())):
                 if writer is None:
                     name = f"shard-{context.partitionId():06d}-{number:04d}"
@@ -221,13 +221,11 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     files = files.option("pathGlobFilter", "*.sst").load(folder).select(F.regexp_extract("path", r"([^/]+)\.sst$", 1).alias("shard"), "content")
 
     def totals(batches):
-        forget()
         for batch in batches:
             found = [Shard(x.as_buffer()).ids for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["shard", "ids"])
 
     def entries(batches):
-        forget()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, before, counts, crcs, total = [], [], [], [], 0

@@ -68,7 +68,8 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             document = np.repeat(np.arange(len(words)), windows)
             starts = np.arange(windows.sum()) + np.repeat(ends - sizes - np.cumsum(windows) + windows, windows)
             name, place = representatives(levels(hashes, closes, ROUNDS), starts, width, reach)
-            new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (document[1:] != document[:-1])))
+            # symbols of several levels can begin at one word
+            new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (name[1:] != name[:-1]) | (document[1:] != document[:-1])))
             count = np.diff(np.append(new, len(starts)))
             first = starts[new]
             symbol = name[new]

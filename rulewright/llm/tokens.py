@@ -12,9 +12,11 @@ from itertools import chain
 import numpy as np
 
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 300_000, 750_000
-#: The one letter that, in lower case, is a letter and a mark.
-DOTTED = "\u0130"
+KEPT_WORDS, KEPT_PARTS = 300_000, 850_000
+#: Documents whose ids a task holds at once.
+SLICE = 512
+#: The one letter that, in lower case, is a letter and a mark; and the one whose lower case depends on its place.
+DOTTED, SIGMA = "\u0130", "\u03a3"
 #: Characters of texts whose ids are made at once.
 CHUNK_CHARS = 2_000_000
 
@@ -42,12 +44,16 @@ class WordEncoder:
         """Marks after letters are tokens of their own, and the tokenizer lowers letters: so are parts met again."""
         parts, unseen, split = self.parts, [], []
         for word in words:
+            known = parts.get(word)
+            if known is not None:
+                split.append(known << 32)
+                continue
             core = word.rstrip(".,;:!?")
             if not core.isalpha() or DOTTED in core:
                 core, tail = word, ""
             else:
                 tail = word[len(core) :]
-                if core.isascii():
+                if SIGMA not in core:
                     core = core.lower()
             if core not in parts:
                 parts[core] = len(parts)
