@@ -162,7 +162,7 @@ sel AS (SELECT operator, item, count(*) AS selected FROM items GROUP BY ALL HAVI
 hit AS (
   SELECT operator, item, action, count(*) AS matched, count(*) FILTER (outcome = 'resolved') AS good, count(outcome) AS judged FROM items GROUP BY ALL),
 one AS (SELECT hit.*, selected FROM hit JOIN sel USING (operator, item)),
-rules AS (SELECT * FROM one WHERE matched / selected >= 0.25 AND matched >= 5)"""
+rules AS (SELECT * FROM one WHERE matched / selected >= 0.28 AND matched >= 5)"""
 DEPTH1 = f"""{ONE_FACT}
 SELECT operator, item AS conditions, action, matched, selected, good, judged FROM rules"""
 DEPTH2 = f"""{ONE_FACT},
@@ -172,7 +172,7 @@ pairwise AS (
 SELECT b.operator, 'contact.segment = ' || agent || ' and episode.intent = ' || intent AS conditions, b.action, b.matched, CAST(b.selected AS BIGINT) AS selected, b.good, b.judged
 FROM pairwise b LEFT JOIN one x ON x.operator = b.operator AND x.action = b.action AND x.item = 'contact.segment = ' || agent
 LEFT JOIN one y ON y.operator = b.operator AND y.action = b.action AND y.item = 'episode.intent = ' || intent
-WHERE b.selected >= 5 AND b.matched / b.selected >= 0.25 AND b.matched >= 10
+WHERE b.selected >= 5 AND b.matched / b.selected >= 0.28 AND b.matched >= 10
   AND b.matched / b.selected >= coalesce(x.matched / x.selected, 0) + 0.005 AND b.matched / b.selected >= coalesce(y.matched / y.selected, 0) + 0.005
   AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.operator = b.operator AND r.item IN ('contact.segment = ' || agent, 'episode.intent = ' || intent))"""
 WITHHELD = f"""{ONE_FACT}

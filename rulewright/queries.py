@@ -226,7 +226,7 @@ def _points(spark, sf_dir):
     return recommend.points_of(decision_points(found).join(outcomes, "episode", "left"))
 
 
-RECOMMEND = replace(Thresholds(), recommend_agreement=0.25, recommend_gain=0.005, antecedent_max_length=2)
+RECOMMEND = replace(Thresholds(), recommend_agreement=0.28, recommend_gain=0.005, antecedent_max_length=2)
 
 
 def decision_points_of(spark, sf_dir):
