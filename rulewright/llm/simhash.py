@@ -23,6 +23,8 @@ from .tokens import forget
 BITS = 64
 #: Fingerprints of one top that one task walks together; more are dealt in chunks, each pair of chunks to a task.
 CHUNK = 4096
+#: Such tops are told to all tasks if they are no more than this, else joined.
+BROADCAST_TOPS = 100_000
 
 
 def simhash(text: bytes, words: int, seed: int) -> int:
@@ -130,8 +132,9 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
     top = F.col("bits").bitwiseAND(F.element_at(signed, F.col("trie") + 1))
     rows = prints.select("bits", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("trie"))
     large = rows.groupBy("trie", top.alias("top")).count().where(F.col("count") > CHUNK)
-    large = large.select(F.col("trie").alias("t"), F.col("top").alias("p"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    rows = rows.join(large, (F.col("trie") == F.col("t")) & (top == F.col("p")), "left").drop("t", "p")
+    large = written(large.select(F.col("trie").alias("t"), F.col("top").alias("p"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
+    few = large.count() <= BROADCAST_TOPS
+    rows = rows.join(F.broadcast(large) if few else large, (F.col("trie") == F.col("t")) & (top == F.col("p")), "left").drop("t", "p")
     own = F.pmod(F.xxhash64("bits"), F.coalesce("chunks", F.lit(1))).cast("int")
     # with itself (as i, i) and with each other chunk
     meets = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(

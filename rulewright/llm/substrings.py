@@ -104,7 +104,9 @@ def covered(n: int, starts, counts, width: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
-def kept(words: list[bytes], gone: np.ndarray, digest: bool) -> str:
+def kept(words: list[bytes], gone: np.ndarray, digest: bool, unchanged: bool) -> str | None:
+    if not unchanged and not gone.any():
+        return None
     text = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
     return hashlib.sha256(text).hexdigest() if digest else text.decode()
 
@@ -148,10 +150,11 @@ def lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([ends[:-1], ends[:-1] + sizes], 1), column.values.to_numpy(zero_copy_only=False)
 
 
-def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unchanged: bool = True) -> DataFrame:
     """doc_id, k1, k2, n_words, n_removed and kept of every row of docs.
 
-    kept: the words left, joined by a space, or with digest the sha256 of that, in hexadecimal. A word goes if it is in a window
+    kept: the words left, joined by a space, or with digest the sha256 of that, in hexadecimal; where nothing is removed and
+    unchanged is false, null. A word goes if it is in a window
     of `width` consecutive words that starts anywhere else too, here or in another row, before anything is removed.
     Null texts are without words; shorter texts than a window keep all. Repeated rows are repeats of
     one another. Null doc_ids are kept. k1 and k2 (doc_id, hash of the text) name the row, for joins.
@@ -193,7 +196,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
                 hashes.append(span_hashes(known.of(words), at, at + width).view(np.int64))
                 places.append(np.where(mine, at, -1))
             done = not mine.any()
-            rows.append((len(words), int(gone.sum()), kept(words, gone, digest) if done else None))
+            rows.append((len(words), int(gone.sum()), kept(words, gone, digest, unchanged) if done else None))
             texts.append(None if done else blob.as_py())
             covering.append(None if done else np.stack([starts[own], counts[own]], 1).ravel())
         windows = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)) for x, t in ((hashes, np.int64), (places, np.int32))], names=["hash", "at"])
@@ -218,7 +221,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
                 for blob, spans, at in zip(part.column("packed"), part.column("spans").to_pylist(), part.column("found").to_pylist()):
                     words, at = words_of(blob), at or []
                     gone = covered(len(words), spans[::2] + at, spans[1::2] + [1] * len(at), width)
-                    rows.append((len(words), int(gone.sum()), kept(words, gone, digest)))
+                    rows.append((len(words), int(gone.sum()), kept(words, gone, digest, unchanged)))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2")), *columns], names=list("abcdef"))
 
@@ -229,6 +232,6 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False) -> D
 
 def cleaned_documents(docs: DataFrame, width: int = 35) -> DataFrame:
     """docs with only the words kept in `text`; null texts stay null, and rows that keep all their words stay as they were."""
-    kept_ = written(without_repeats(docs, width).where("n_removed > 0").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("kept").alias(text := fresh(docs, "kept"))).distinct())
+    kept_ = written(without_repeats(docs, width, unchanged=False).where("n_removed > 0").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.col("kept").alias(text := fresh(docs, "kept"))).distinct())
     on = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("r1")) & (text_hash(docs["text"]) == F.col("r2"))
     return docs.join(kept_, on, "left").withColumn("text", F.coalesce(text, docs["text"])).select(*docs.columns)
