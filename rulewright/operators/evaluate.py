@@ -134,3 +134,27 @@ def spread(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataF
 def hash_sample(rows: DataFrame, key: Column, salt: str, most: int) -> DataFrame:
     """The rows of the least sha256 of salt and key: the same in every run, and a larger draw extends a smaller one."""
     return rows.orderBy(F.substring(F.sha2(F.concat_ws("\0", F.lit(salt), key), 256), 1, 16), key).limit(most)
+
+
+def recall_over(alignments: DataFrame, exercised: DataFrame) -> DataFrame:
+    """subset (violated, kept), clauses, recalled_strict, recalled_lenient: recall over clauses that were broken, and that never were."""
+    best = alignments.groupBy("clause").agg(F.max(strength(F.col("kind"))).alias("best"))
+    rows = exercised.where("exercised > 0").withColumn("subset", F.when(F.col("violated") > 0, "violated").otherwise("kept")).join(best, "clause", "left")
+    return rows.groupBy("subset").agg(F.count("*").alias("clauses"), F.count_if(F.col("best") == 3).alias("recalled_strict"), F.count_if(F.col("best") >= 2).alias("recalled_lenient"))
+
+
+def gold_sample(rules: DataFrame, alignments: DataFrame, clauses: DataFrame, each: int = 12) -> DataFrame:
+    """stratum, rule, clause to be rated: aligned pairs by kind, near misses (one subject, no alignment), rules without any (tribal)."""
+    pairs = alignments.select(F.col("kind").alias("stratum"), "rule", "clause").distinct()
+    near = rules.select(F.col("id").alias("rule"), "subject").join(F.broadcast(clauses.where("expressible").select(F.col("id").alias("clause"), "subject")), "subject")
+    near = near.join(pairs, ["rule", "clause"], "left_anti").select(F.lit("near-miss").alias("stratum"), "rule", "clause").distinct()
+    alone = rules.select(F.col("id").alias("rule")).distinct().join(pairs.select("rule").unionByName(near.select("rule")).distinct(), "rule", "left_anti")
+    alone = alone.select(F.lit("tribal").alias("stratum"), "rule", F.lit(None).cast("string").alias("clause"))
+    return spread(pairs.unionByName(near).unionByName(alone), ["stratum"], ["rule", "clause"], each)
+
+
+def gold_progress(sample: DataFrame, gold: DataFrame) -> DataFrame:
+    """stratum, total, rated, raters, double_rated."""
+    said = gold.groupBy("rule", "clause").agg(F.collect_set("rater").alias("by"))
+    rows = sample.join(said, ["rule", "clause"], "left")
+    return rows.groupBy("stratum").agg(F.count("*").alias("total"), F.count("by").alias("rated"), F.size(F.array_distinct(F.flatten(F.collect_list("by")))).alias("raters"), F.count_if(F.size("by") > 1).alias("double_rated"))

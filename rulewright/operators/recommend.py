@@ -139,3 +139,23 @@ def lift_in_strata(points: DataFrame, fact: str, value: str, stratum: str) -> Da
     total = rows.groupBy("operator", "stratum").agg(F.count_if("has").alias("with_of"), F.count_if(~F.col("has")).alias("without_of"))
     taken = rows.groupBy("operator", "stratum", "action").agg(F.count_if("has").alias("with_fact"), F.count_if(~F.col("has")).alias("without"))
     return taken.join(total, ["operator", "stratum"])
+
+
+def as_rules(rules: DataFrame, points: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Recommendations as rows of the rule table: id, operator, pattern, window, action, conditions, holds, of, verdict, status, text.
+
+    Agreement is support; a rule is one's own if it reaches own_support with enough decision points, else refused.
+    """
+    from ..functions.identity import condition_json, rule_id
+    from ..functions.text import label
+
+    parts = F.transform("conditions", lambda c: F.split(c, " = ", 2))
+    value = lambda v: F.when(v.isin("true", "false"), v).otherwise(F.concat(F.lit('"'), v, F.lit('"')))
+    conditions = F.transform(parts, lambda p: condition_json(p[0], F.lit("eq"), value(p[1])))
+    pattern, window = F.lit("antecedent-implies-action"), F.lit("episode")
+    own = (F.col("selected") >= t.min_instances) & (F.col("matched") / F.col("selected") >= t.own_support)
+    return rules.select(
+        rule_id(F.lit("recommendation"), pattern, {"action": F.col("action")}, conditions, window).alias("id"), "operator", pattern.alias("pattern"), window.alias("window"), "action", "conditions",
+        F.col("matched").alias("holds"), F.col("selected").alias("of"), "good", "judged", F.when(own, "own").otherwise("neither").alias("verdict"), F.when(own, "proposed").otherwise("refused").alias("status"),
+        F.concat(F.lit("When "), F.array_join("conditions", " and "), F.lit(", "), label(F.col("action")), F.lit(".")).alias("text"),
+    )
