@@ -131,10 +131,11 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
     signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in masks))
     top = F.col("bits").bitwiseAND(F.element_at(signed, F.col("trie") + 1))
     rows = prints.select("bits", F.explode(F.sequence(F.lit(0), F.lit(len(choices) - 1))).alias("trie"))
-    large = rows.groupBy("trie", top.alias("top")).count().where(F.col("count") > CHUNK)
-    large = written(large.select(F.col("trie").alias("t"), F.col("top").alias("p"), F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
+    # counted by a hash of the top: two that share one are at worst dealt in chunks though neither is large
+    large = rows.groupBy(F.hash("trie", top).alias("h")).count().where(F.col("count") > CHUNK)
+    large = written(large.select("h", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")))
     few = large.count() <= BROADCAST_TOPS
-    rows = rows.join(F.broadcast(large) if few else large, (F.col("trie") == F.col("t")) & (top == F.col("p")), "left").drop("t", "p")
+    rows = rows.join(F.broadcast(large) if few else large, F.hash("trie", top) == F.col("h"), "left").drop("h")
     own = F.pmod(F.xxhash64("bits"), F.coalesce("chunks", F.lit(1))).cast("int")
     # with itself (as i, i) and with each other chunk
     meets = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(

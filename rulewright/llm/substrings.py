@@ -23,7 +23,7 @@ from .tokens import forget
 
 ROUNDS = 2
 #: Words from a symbol's first on that are compared as its own; they are part of each window it stands for.
-REACH = 8
+REACH = 6
 #: Documents that a task holds unpacked at once.
 SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
