@@ -99,6 +99,26 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    coalesce(1 + length(translate(text, '0123456789!"#$%&()*+/:;<=>?@[\]^_`{|}~', '')) / nullif(length(text), 0), 1.0) AS quality,
+    (CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS stop, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+o AS (
+  SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(stop) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY stop / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heft FROM w),
+f AS (SELECT *, stop * heft < rest * weight AS over_ FROM o),
+level AS (SELECT CAST(max_by(rest, heft) AS DOUBLE) AS rest, CAST(max(heft) AS DOUBLE) AS heft FROM f WHERE NOT over_),
+t AS (SELECT f.source, f.source_size, CASE WHEN over_ THEN CAST(stop AS DOUBLE) ELSE weight * level.rest / level.heft END AS target FROM f LEFT JOIN level ON TRUE),
+k AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN CAST(floor(target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / quality, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN size * least(epochs + CASE WHEN before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END, 3) ELSE 0 END AS BIGINT) AS taken FROM k
+"""
+
 OP7_SQL = r"""
 WITH words AS (
   SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
@@ -117,7 +137,7 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone,
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
-SQL = {"op3_exact_top_k": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+SQL = {"op3_exact_top_k": OP3_SQL, "op5_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
