@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: later steps read it, and their plans don't grow with what made it."""
     folder = shared_folder(df.sparkSession) + "/table"
     df.write.parquet(folder)
-    # Spark removes shuffle files once the driver's collector finds their plans unused; a table ends the use of many
+    # Spark removes shuffle files once the driver's collectors find their plans unused; a table ends the use of many
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(folder)
