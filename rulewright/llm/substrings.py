@@ -23,7 +23,7 @@ from .tokens import forget
 
 ROUNDS = 2
 #: Words from a symbol's first on that are compared as its own; they are part of each window it stands for.
-REACH = 6
+REACH = 8
 #: Documents that a task holds unpacked at once.
 SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
@@ -174,6 +174,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
     claims = parts.select("k1", "k2", "first", "count", "content", check.alias("check"))
     marked = claims.join(status, (F.col("content") == F.col("c")) & (F.col("check") == F.col("s"))).select("k1", "k2", mark.alias("mark"))
     marks = marked.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.collect_set("mark").alias("marks"))
+    marks = written(marks)
 
     def first_pass(batches):
         known = WordHashes()
