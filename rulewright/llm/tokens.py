@@ -12,7 +12,7 @@ from itertools import chain
 import numpy as np
 
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 250_000, 650_000
+KEPT_WORDS, KEPT_PARTS = 500_000, 650_000
 #: Documents whose ids a task holds at once.
 SLICE = 256
 #: The one letter that, in lower case, is a letter and a mark; and the one whose lower case depends on its place.
@@ -35,7 +35,7 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        #: A word is two parts, letters and the marks after them: their numbers, the first in the upper 32 bits.
+        #: A word is two parts, letters and the marks after them: their numbers, the second in the upper 32 bits.
         self.words: dict[str, int] = {}
         self.parts: dict[str, int] = {"": 0}
         self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -46,7 +46,7 @@ class WordEncoder:
         for word in words:
             known = parts.get(word)
             if known is not None:
-                split.append(known << 32)
+                split.append(known)
                 continue
             core = word.rstrip(".,;:!?")
             if not core.isalpha() or DOTTED in core:
@@ -61,7 +61,7 @@ class WordEncoder:
             if tail not in parts:
                 parts[tail] = len(parts)
                 unseen.append(tail)
-            split.append(parts[core] << 32 | parts[tail])
+            split.append(parts[core] | parts[tail] << 32 if tail else parts[core])
         self.words.update(zip(words, split))
         if unseen:
             self.encode_parts(unseen)
@@ -111,7 +111,7 @@ class WordEncoder:
             for i in missing:
                 known[i] = self.words[words[i]]
         both = np.array(known, np.int64)
-        numbers = np.stack([both >> 32, both & 0xFFFFFFFF], 1).ravel()
+        numbers = np.stack([both & 0xFFFFFFFF, both >> 32], 1).ravel()
         length = self.length[numbers]
         ends = np.cumsum(length)
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + length, length)]
