@@ -218,11 +218,19 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each entry: doc_id, start (ids of all entries before it), n_tokens, ids_crc32, and its ids' shard."""
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
-    files = files.option("pathGlobFilter", "*.sst").load(folder).select(F.regexp_extract("path", r"([^/]+)\.sst$", 1).alias("shard"), "content")
+    files = files.option("pathGlobFilter", "*.sst").load(folder).withColumn("shard", F.regexp_extract("path", r"([^/]+)\.sst$", 1))
 
     def totals(batches):
+        """Of footers alone, which are read at their place."""
+        from pyarrow import fs as arrow_fs
+
+        fs, path = arrow_fs.FileSystem.from_uri(folder)
         for batch in batches:
-            found = [Shard(x.as_buffer()).ids for x in batch.column(1)]
+            found = []
+            for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with fs.open_input_file(f"{path}/{name}.sst") as file:
+                    file.seek(length - FOOTER.size)
+                    found.append(FOOTER.unpack(file.read(FOOTER.size))[3])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["shard", "ids"])
 
     def entries(batches):
@@ -237,10 +245,10 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     total += len(values)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), *(pa.array(x, pa.int64()) for x in (ids, before, counts, crcs))], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
 
-    sizes = files.mapInArrow(totals, "shard string, ids long")
+    sizes = files.select("shard", "length").mapInArrow(totals, "shard string, ids long")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     first = sizes.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first"))
-    rows = files.mapInArrow(entries, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = files.select("shard", "content").mapInArrow(entries, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
