@@ -31,6 +31,7 @@ from .tokens import SLICE, encoder
 
 MAGIC = b"SSTSHARD"
 FOOTER = struct.Struct("<QQQQI8s")
+FOOTER_BYTES = FOOTER.size
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BITS_A_KEY, HASHES = 10, 7
@@ -172,6 +173,10 @@ class Shard:
         return None
 
 
+def ids_in(footer: bytes) -> int:
+    return FOOTER.unpack(footer)[3]
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> str:
     """Encodes `text` (null: empty) of every row, appends end_id, and writes shards in ascending doc_id order.
 
@@ -229,8 +234,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
             found = []
             for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(f"{path}/{name}.sst") as file:
-                    file.seek(length - FOOTER.size)
-                    found.append(FOOTER.unpack(file.read(FOOTER.size))[3])
+                    file.seek(length - FOOTER_BYTES)
+                    found.append(ids_in(file.read(FOOTER_BYTES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["shard", "ids"])
 
     def entries(batches):
