@@ -229,13 +229,13 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8,
     it; the rest, linked by way of others or by chance, stay. Rows without doc_id stay. Of rows with one doc_id and
     text, repeated, all stay or go together.
     """
-    group, print_ = fresh(docs, "group"), fresh(docs, "print")
-    found = near_duplicates(docs, words, budget, blocks=blocks).where("doc_id != component_id").distinct()
-    found = written(found.select(F.col("doc_id").alias(print_), F.col("component_id").alias(group)))
-    member = docs.join(found, docs["doc_id"] == F.col(print_), "left").drop(print_)
-    first, text = fresh(docs, "first"), fresh(docs, "first_text")
-    heads = found.select(F.col(group).alias(first)).distinct().join(docs.select(F.col("doc_id").alias(print_), F.col("text").alias(text)), F.col(print_) == F.col(first)).select(first, text)
-    heads = heads.groupBy(first).agg(F.min(text).alias(text))
+    group, found_id, first, text = (fresh(docs, n) for n in ("group", "found_id", "first", "first_text"))
+    linked = written(near_duplicates(docs, words, budget, blocks=blocks).where("doc_id != component_id").select("doc_id", "component_id").distinct())
+    heads = linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
+    found = linked.unionByName(heads).select(F.col("doc_id").alias(found_id), F.col("component_id").alias(group))
+    rows = written(docs.join(found, docs["doc_id"] == F.col(found_id), "left").drop(found_id))  # whole texts are shuffled once
+    head = F.col(group).isNull() | (F.col(group) == F.col("doc_id"))
+    heads = rows.where(F.col(group) == F.col("doc_id")).groupBy(F.col(group).alias(first)).agg(F.min("text").alias(text))
     names = docs.columns
 
     def unlike(batches):
@@ -248,5 +248,5 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8,
                 keep.append(both < least * (len(a) + len(b) - both))
             yield batch.select(list(range(len(names)))).filter(pa.array(keep, pa.bool_()))
 
-    others = member.where(F.col(group).isNotNull()).join(heads, F.col(group) == F.col(first), "left").select(*names, text)
-    return member.where(F.col(group).isNull()).select(*names).unionByName(others.mapInArrow(unlike, docs.schema))
+    others = rows.where(~head).join(heads, F.col(group) == F.col(first), "left").select(*names, text)
+    return rows.where(head).select(*names).unionByName(others.mapInArrow(unlike, docs.schema))
