@@ -264,5 +264,6 @@ def extract(pages: DataFrame) -> DataFrame:
     known = pages.select(row_key().alias("of"), "html").mapInArrow(hashed, "of long, hashes array<long>").dropDuplicates(["of"])
     near = nearest_pages(pages).join(known, F.col("neighbour") == F.col("of"))
     near = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "hashes"))).alias("near"))  # up to four
+    near = written(near)  # the shuffles before it can go
     rows = pages.select("page_id", "url", "html", row_key().alias("key")).join(near, "key", "left").drop("key")
     return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
