@@ -76,7 +76,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             shape = ((place[new] - first) << 32 | count).astype(U)
             content = mix(span_hashes(hashes, first, first + count + width - 1), mix(symbol, shape, 5), 9)
             at = document[new]
-            columns = [*(np.array(k, t)[at] for k, t in zip(zip(*keys), (np.int64, np.int32))), (first - (ends - sizes)[at]).astype(np.int32), count.astype(np.int32), symbol.view(np.int64), content.view(np.int64)]
+            columns = [*(np.array(k, np.int64)[at] for k in zip(*keys)), (first - (ends - sizes)[at]).astype(np.int32), count.astype(np.int32), symbol.view(np.int64), content.view(np.int64)]
             return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["k1", "k2", "first", "count", "symbol", "content"])
 
         for batch in batches:
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             if keys:
                 yield made(keys, words)
 
-    return docs.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 int, first int, count int, symbol long, content long")
+    return docs.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, first int, count int, symbol long, content long")
 
 
 def covered(n: int, starts, counts, width: int) -> np.ndarray:
@@ -116,7 +116,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def text_hash(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    """All 64 bits: where many rows have one doc_id, this alone tells them apart."""
+    return F.xxhash64(text)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 blobs = [zip_.compress(t.as_buffer()) if t.is_valid else None for t in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], names=["k1", "k2", "doc_id", "packed"])
 
-    return docs.mapInArrow(pack, "k1 long, k2 int, doc_id long, packed binary")
+    return docs.mapInArrow(pack, "k1 long, k2 long, doc_id long, packed binary")
 
 
 def words_of(blob: pa.Scalar) -> list[bytes]:
@@ -207,7 +208,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
         return pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2")), *columns], names=list("abcdefghi"))
 
     joined = packed(keyed(docs)).join(marks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("doc_id", "k1", "k2", "packed", "marks")
-    row = "doc_id long, k1 long, k2 int, n_words long, n_removed long, kept string"
+    row = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string"
     first = written(joined.mapInArrow(first_pass, f"{row}, packed binary, spans array<int>, windows array<struct<hash: long, at: int>>"))
 
     windows = first.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.hash", "w.at")

@@ -416,6 +416,21 @@ def test_cleaned_documents(docs, rows):
         assert kept[r[0]] == (text if g else r[1])
 
 
+def test_substrings_of_one_doc_id(spark):
+    """Rows of one key (no doc_id) whose texts' hashes agree in their lower 31 bits are told apart."""
+    from xxhash import xxh64_intdigest
+
+    r = random.Random(15)
+    passage, other = prose(r, 40), " ".join(f"o{k}" for k in range(60))
+    lower = {xxh64_intdigest(t := f"a{k} {passage}", 42) & 0x7FFFFFFF: t for k in range(150_000)}
+    mine, theirs = next((lower[h], t) for k in range(1_000_000) if (h := xxh64_intdigest(t := f"b{k} {other}", 42) & 0x7FFFFFFF) in lower)
+    texts = [mine, theirs, passage]
+    df = table(spark, [(i, t, "en", "s", 0) for i, t in zip((None, None, 1), texts)], clashing=False)
+    got = sorted((x["n_words"], x["n_removed"], x["kept"]) for x in substrings.without_repeats(df).collect())
+    assert got == sorted(brute(texts, 35))
+    assert sorted(x["text"] for x in substrings.cleaned_documents(df).collect()) == sorted([mine.split()[0], theirs, ""])
+
+
 def test_symbols_are_consistent():
     """Where a context lies within equal windows, so do equal symbols at equal places."""
     r = np.random.default_rng(11)
