@@ -64,28 +64,23 @@ def find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def trie_links(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: int, depth: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (pairs at most `budget` bits apart) within each group of equal `tops`.
+def trie_pairs(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: int, depth: int):
+    """All links (pairs at most `budget` bits apart) within each group of equal `tops`, each once, as arrays (i, j).
 
     bits: the `depth` bits below the top, sorted by (top, bits). Nodes are runs of this order. Where `sides` holds 0
     and 1, only pairs with both count. All tops are walked at once: a frontier of pairs of nodes with their differing bits goes
     down bit by bit; a pair of single fingerprints is settled by counting its bits.
     """
-    n, links = len(bits), []
-    parent = np.arange(n)
+    n = len(bits)
     cuts = np.flatnonzero(np.append(True, tops[1:] != tops[:-1])) if n else np.zeros(0, np.int64)
     a0, a1 = cuts, np.append(cuts[1:], n)
     frontier = [(a0, a1, a0, a1, np.zeros(len(cuts), np.int64), depth)] if n else []
 
     def settle(i, j):
-        near = (i != j) & (np.bitwise_count(bits[i] ^ bits[j]) <= budget)
+        near = (i < j) & (np.bitwise_count(bits[i] ^ bits[j]) <= budget)  # of two nodes, i's comes first
         if sides is not None:
             near &= sides[i] != sides[j]
-        for x, y in zip(i[near].tolist(), j[near].tolist()):
-            p, q = find(parent, x), find(parent, y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                links.append((x, y))
+        return i[near], j[near]
 
     while frontier:
         a0, a1, b0, b1, diff, left = frontier.pop()
@@ -101,7 +96,7 @@ def trie_links(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: in
         if len(size):
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             wide_, i_, j_ = (np.repeat(x, size) for x in (wide, i, j0))
-            settle(i_ + k // wide_, j_ + k % wide_)
+            yield settle(i_ + k // wide_, j_ + k % wide_)
         a0, a1, b0, b1, diff = (x[~small] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
@@ -115,13 +110,26 @@ def trie_links(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: in
         a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*pairs))
         go = (a1 > a0) & (b1 > b0) & (diff <= budget)
         frontier.append(tuple(x[go] for x in (a0, a1, b0, b1, diff)) + (left,))
-    return links
 
 
-def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
+def spanning(n: int, pairs):
+    """Of pairs of 0 to n - 1 (arrays), those that span their groups; those that add no connection are not."""
+    parent = np.arange(n)
+    for i, j in pairs:
+        links = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = find(parent, x), find(parent, y)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                links.append((x, y))
+        yield tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+
+def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6, every: bool = False) -> DataFrame:
     """a, b: links between rows of `prints` (bits: distinct) at most `budget` bits apart.
 
-    Of each trie's top, links that span its groups are kept; those that add no connection are not. Chunks of a
+    Of each trie's top, links that span its groups are kept; those that add no connection are not. With every, all
+    links are, each once: in the trie whose matched blocks are the first that are alike. Chunks of a
     top with more than CHUNK fingerprints meet pairwise, so that no task has an unbounded one.
     """
     matched = blocks - budget
@@ -167,14 +175,31 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
                 order = np.lexsort((low, *held[::-1]))
                 held, at = held[:, order], at[order]
                 number = np.cumsum(np.append(False, (held[:, 1:] != held[:, :-1]).any(axis=0)))
-                for x, y in trie_links(low[order], number, own[at] != i[at] if two else None, budget, depth):
-                    yield int(bits[at[x]]), int(bits[at[y]])
+                pairs = trie_pairs(low[order], number, own[at] != i[at] if two else None, budget, depth)
+                for x, y in pairs if every else spanning(len(at), pairs):
+                    x, y = bits[at[x]], bits[at[y]]
+                    if every:
+                        first = np.ones(len(x), bool)
+                        for k in range(choices[t][-1]):
+                            if k not in choices[t]:
+                                first &= ((x ^ y).view(np.uint64) & np.uint64((1 << edges[k + 1]) - (1 << edges[k]))) != 0
+                        x, y = x[first], y[first]
+                    yield x, y
 
     def walk(batches):
         def emit(table):
-            found = list(links_of(*table))
-            columns = zip(*found) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in columns], names=["a", "b"])
+            held, size = [], 0
+            for x, y in links_of(*table):
+                held.append((x, y))
+                size += len(x)
+                if size > 1 << 18:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if size:
+                yield batch_of(held)
+
+        def batch_of(held):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*held)], names=["a", "b"])
 
         forget()
         rest = None
@@ -187,10 +212,10 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
             change = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0))
             cut = change[-1] + 1 if len(change) and len(trie) > 1 << 16 else 0  # the last group may go on
             if cut:
-                yield emit([x[:cut] for x in table])
+                yield from emit([x[:cut] for x in table])
             rest = [x[cut:] for x in table]
         if rest is not None and len(rest[0]):
-            yield emit(rest)
+            yield from emit(rest)
 
     return rows.repartition("trie", top, "i", "j").sortWithinPartitions("trie", top, "i", "j").mapInArrow(walk, "a long, b long")
 
@@ -222,31 +247,72 @@ def shingles(text: pa.Scalar, words: int) -> set[int]:
     return {xxh64_intdigest(b" ".join(parts[k : k + words])) for k in range(max(1, len(parts) - words + 1))}
 
 
+def similar(pairs: DataFrame, words: int, least: float) -> DataFrame:
+    """high of those pairs (low, high, and their texts) whose sets of word shingles have a Jaccard similarity of `least` or more."""
+
+    def compare(batches):
+        text, known = None, set()
+        for batch in batches:
+            found = []
+            for low, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if low != text:  # pairs of one low mostly follow one another
+                    text, known = low, shingles(a, words)
+                other = shingles(b, words)
+                both = len(known & other)
+                found.append(both >= least * (len(known) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(found, pa.bool_()))], names=["high"])
+
+    return pairs.select("low", "high", "low_text", "high_text").mapInArrow(compare, "high long")
+
+
 def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 8, blocks: int = 11) -> DataFrame:
-    """docs without near-duplicates: of each group that fingerprints link, its row of the smallest doc_id stays.
+    """docs without near-duplicates: no two rows stay that fingerprints link and whose texts are alike.
 
-    Of the group's others, those go whose sets of word shingles have a Jaccard similarity of `least` or more with
-    it; the rest, linked by way of others or by chance, stay. Rows without doc_id stay. Of rows with one doc_id and
-    text, repeated, all stay or go together.
+    Alike are texts whose sets of word shingles have a Jaccard similarity of `least` or more. A row goes if a row of a
+    smaller doc_id that stays is linked to it directly (at most `budget` bits) and alike. Texts of the same words are
+    one, so that copies make no pairs. All links are kept as pairs of ids; a round settles those of the rows that no smaller open
+    one is linked to, so that texts are compared only with such as stay. Rows without doc_id stay. Of rows with one
+    doc_id and text, repeated, all stay or go together.
     """
-    group, found_id, first, text = (fresh(docs, n) for n in ("group", "found_id", "first", "first_text"))
-    linked = written(near_duplicates(docs, words, budget, blocks=blocks).where("doc_id != component_id").select("doc_id", "component_id").distinct())
-    heads = linked.select(F.col("component_id").alias("doc_id"), "component_id").distinct()
-    found = linked.unionByName(heads).select(F.col("doc_id").alias(found_id), F.col("component_id").alias(group))
-    rows = written(docs.join(found, docs["doc_id"] == F.col(found_id), "left").drop(found_id))  # whole texts are shuffled once
-    head = F.col(group).isNull() | (F.col(group) == F.col("doc_id"))
-    heads = rows.where(F.col(group) == F.col("doc_id")).groupBy(F.col(group).alias(first)).agg(F.min("text").alias(text))
-    names = docs.columns
-
-    def unlike(batches):
-        at = names.index("text")
+    row = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+
+    def scan(batches):
+        from xxhash import xxh64_intdigest
+
+        forget()
         for batch in batches:
-            keep = []
-            for own, other in zip(batch.column(at), batch.column(len(names))):
-                a, b = shingles(own, words), shingles(other, words)
-                both = len(a & b)
-                keep.append(both < least * (len(a) + len(b) - both))
-            yield batch.select(list(range(len(names)))).filter(pa.array(keep, pa.bool_()))
-
-    others = rows.where(~head).join(heads, F.col(group) == F.col(first), "left").select(*names, text)
-    return rows.where(head).select(*names).unionByName(others.mapInArrow(unlike, docs.schema))
+            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
+            bits = np.array([simhash(x, words, 42) for x in texts], np.uint64).view(np.int64)
+            same = np.array([xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(same)], names=["row", "doc_id", "bits", "same"])
+
+    prints = rows.where("doc_id is not null").select(F.col(row).alias("row"), "doc_id", "text")
+    prints = written(prints.mapInArrow(scan, "row long, doc_id long, bits long, same long"))
+    texts = written(prints.groupBy("bits", "same").agg(F.min(F.struct("doc_id", "row")).alias("head")))
+    links = near_links(texts.select("bits").distinct(), budget, blocks, every=True)
+    one, two = (texts.select(F.col("bits").alias(b), F.col("head").alias(h)) for b, h in (("a", "x"), ("b", "y")))
+    pairs = links.join(one, "a").join(two, "b").select("x", "y")
+    several = texts.groupBy("bits").count().where("count > 1").select(F.col("bits").alias("a"))
+    within = one.join(several, "a", "left_semi").join(two, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    pairs = pairs.unionByName(within).select(F.least("x", "y").getField("row").alias("low"), F.greatest("x", "y").getField("row").alias("high"))
+    pairs = written(pairs)
+    met = pairs.select("low").unionByName(pairs.select(F.col("high").alias("low"))).distinct()
+    linked = written(rows.select(F.col(row).alias("of"), "text").join(met, F.col("of") == F.col("low"), "left_semi"))
+    gone = None
+    while not pairs.isEmpty():
+        heads = pairs.select("low").distinct().join(pairs.select(F.col("high").alias("low")).distinct(), "low", "left_anti")
+        heads = written(heads)
+        asked = pairs.join(heads, "low").join(linked.select(F.col("of").alias("low"), F.col("text").alias("low_text")), "low")
+        asked = asked.join(linked.select(F.col("of").alias("high"), F.col("text").alias("high_text")), "high")
+        found = written(similar(asked, words, least).distinct())
+        gone = found if gone is None else gone.unionByName(found)
+        settled = found.unionByName(heads.withColumnRenamed("low", "high"))
+        pairs = written(pairs.join(settled.withColumnRenamed("high", "low"), "low", "left_anti").join(found, "high", "left_anti").select("low", "high"))
+    lost = texts.select("bits", "same", F.col("head.doc_id").alias("kept"), F.col("head.row").alias("high"))
+    if gone is not None:
+        lost = lost.join(gone.withColumn("all", F.lit(True)), "high", "left")
+    else:
+        lost = lost.withColumn("all", F.lit(None).cast("boolean"))
+    lost = prints.join(lost, ["bits", "same"]).where("all or doc_id <> kept").select(F.col("row").alias(row))
+    return rows.join(written(lost), row, "left_anti").select(*docs.columns)

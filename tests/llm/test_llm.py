@@ -185,6 +185,40 @@ def test_without_near_duplicates(spark):
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "3", "4", "6", "None"] and kept.columns == df.columns
 
 
+def test_near_duplicates_of_an_unlike_head(spark):
+    """Copies and near copies of a text that is linked to a smaller doc_id, but isn't like it: one of them stays."""
+    from itertools import combinations
+
+    def jaccard(x, y):
+        x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x.split(), y.split()))
+        return len(x & y) / len(x | y)
+
+    def made(seed):
+        r = random.Random(seed)
+        a = [f"w{r.randint(0, 10**6)}" for _ in range(300)]
+        b = [f"x{k}" if k % 30 == 7 else w for k, w in enumerate(a)]
+        return " ".join(a), " ".join(b), " ".join(["y", *b[1:]])
+
+    def near(texts):
+        return all((fingerprint(x, 5) ^ fingerprint(y, 5)).bit_count() <= 8 for x, y in combinations(texts, 2))
+
+    a, b, c = next(x for k in range(500) if near(x := made(k)))
+    assert jaccard(a, b) < 0.8 < jaccard(b, c)
+    df = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate((a, b, b, c, c + "  ", c))])
+    assert sorted(x["doc_id"] for x in simhash.without_near_duplicates(df).collect()) == [0, 1]
+
+
+def test_every_link(spark, monkeypatch):
+    r = random.Random(16)
+    base = [r.getrandbits(63) for _ in range(6)]
+    prints = sorted({b ^ sum(1 << x for x in r.sample(range(63), r.randint(0, 6))) for b in base for _ in range(30)})
+    want = sorted((a, b) for k, b in enumerate(prints) for a in prints[:k] if (a ^ b).bit_count() <= 8)
+    for chunk in (4096, 8):
+        monkeypatch.setattr(simhash, "CHUNK", chunk)
+        got = simhash.near_links(spark.createDataFrame([(s,) for s in prints], "bits long"), 8, 11, every=True).collect()
+        assert sorted((min(x), max(x)) for x in got) == want
+
+
 # --- 3 and 4
 
 
