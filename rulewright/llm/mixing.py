@@ -57,20 +57,21 @@ def sampling_key(doc_id: Column, quality: Column, seed: int) -> Column:
     return -F.log(uniform) / quality
 
 
-def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, row: str | None = None) -> DataFrame:
     """doc_id, size (words), source, source_size, target, copies and taken (words: size * copies) of every row of docs.
 
     A source gets as many complete epochs as its target holds. What is left of the target is filled by documents
     in the order of their keys, each whole: those whose middle lies before the end of the budget. Rows without
     words take nothing. Null sources are a source; repeated rows have the same key and follow one another, each
-    counted for itself; an empty table gives an empty one; other columns of docs play no part.
+    counted for itself; an empty table gives an empty one; other columns of docs play no part. row: a column of docs
+    that tells its rows apart, returned as `row`.
     """
-    text = F.col("text")
+    text, own = F.col("text"), [F.col(row).alias("row")] if row else []
     rows = written(
-        docs.select("doc_id", "source", word_count(text).alias("size"), sampling_key(F.col("doc_id"), text_quality(text), seed).alias("key"))
+        docs.select(*own, "doc_id", "source", word_count(text).alias("size"), sampling_key(F.col("doc_id"), text_quality(text), seed).alias("key"))
     )
     plan = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    total = running_totals(rows, [F.col("source").asc_nulls_last(), "key", "doc_id", "size"], "size")
+    total = running_totals(rows, [F.col("source").asc_nulls_last(), "key", "doc_id", "size", *(["row"] if row else [])], "size")
     earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("first", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))
     plan = plan.withColumnRenamed("source", "name")
@@ -81,15 +82,15 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
     more = (F.col("size") > 0) & (F.col("before") - F.col("first") + F.col("size") / 2 <= rest)
     copies = F.least(F.when(F.col("size") > 0, F.col("epochs") + more.cast("long")).otherwise(0), F.lit(most))
     return joined.withColumn("copies", copies).select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+        *(["row"] if row else []), "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """docs with each row as often as the mix takes it. A doc_id that several rows have is taken as its first row's."""
-    copies = fresh(docs, "copies")
-    taken = mix(docs, seed, weights, most).groupBy("doc_id").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    taken = taken.withColumnRenamed("doc_id", (taken_id := fresh(docs, "taken_id")))
-    often = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(taken_id))).drop(taken_id)
+    """docs with each row as often as the mix takes it, also where rows have no doc_id or one that others have."""
+    row, copies, taken_row = (fresh(docs, n) for n in ("row", "copies", "taken_row"))
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(rows, seed, weights, most, row).where("copies > 0").select(F.col("row").alias(taken_row), F.col("copies").alias(copies))
+    often = rows.join(taken, F.col(row) == F.col(taken_row)).drop(row, taken_row)
     each = fresh(docs, "each")
     return often.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(each, copies)

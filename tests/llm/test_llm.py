@@ -323,6 +323,15 @@ def test_mix(spark, docs, rows, nothing):
     assert copies.columns == docs.columns and mixing.mix(nothing).count() == 0
 
 
+def test_mixed_documents_by_row(spark):
+    """Rows without an id, and repeats of one, are each taken as often as the mix takes them."""
+    rows = [(None if k % 3 else 7, f"{s} " * 10 + "1" * (k % 5), "en", s, k) for s, n in (("a", 6), ("b", 60), ("c", 90)) for k in range(n)]
+    df = table(spark, rows)
+    want = {r["source"]: r["n"] for r in mixing.mix(df).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = mixing.mixed_documents(df)
+    assert {r["source"]: r["count"] for r in got.groupBy("source").count().collect()} == want and got.columns == df.columns
+
+
 def test_targets_stop(spark):
     sizes = {"a": 10, "b": 1000, "c": 500, "d": 1, None: 40}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
