@@ -271,8 +271,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8,
     Alike are texts whose sets of word shingles have a Jaccard similarity of `least` or more. A row goes if a row of a
     smaller doc_id that stays is linked to it directly (at most `budget` bits) and alike. Texts of the same words are
     one, so that copies make no pairs. All links are kept as pairs of ids; a round settles those of the rows that no smaller open
-    one is linked to, so that texts are compared only with such as stay. Rows without doc_id stay. Of rows with one
-    doc_id and text, repeated, all stay or go together.
+    one is linked to, so that texts are compared only with such as stay. Of rows with one doc_id the order is that of
+    the row ids. Rows without doc_id are compared with one another only: one of each group of them stays, also
+    beside a like row with a doc_id.
     """
     row = fresh(docs, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
@@ -287,14 +288,14 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8,
             same = np.array([xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(same)], names=["row", "doc_id", "bits", "same"])
 
-    prints = rows.where("doc_id is not null").select(F.col(row).alias("row"), "doc_id", "text")
-    prints = written(prints.mapInArrow(scan, "row long, doc_id long, bits long, same long"))
-    texts = written(prints.groupBy("bits", "same").agg(F.min(F.struct("doc_id", "row")).alias("head")))
+    prints = rows.select(F.col(row).alias("row"), "doc_id", "text").mapInArrow(scan, "row long, doc_id long, bits long, same long")
+    prints = written(prints.withColumn("nameless", F.col("doc_id").isNull()))
+    texts = written(prints.groupBy("bits", "same", "nameless").agg(F.min(F.struct("doc_id", "row")).alias("head")))
     links = near_links(texts.select("bits").distinct(), budget, blocks, every=True)
-    one, two = (texts.select(F.col("bits").alias(b), F.col("head").alias(h)) for b, h in (("a", "x"), ("b", "y")))
-    pairs = links.join(one, "a").join(two, "b").select("x", "y")
-    several = texts.groupBy("bits").count().where("count > 1").select(F.col("bits").alias("a"))
-    within = one.join(several, "a", "left_semi").join(two, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    one, two = (texts.select(F.col("bits").alias(b), F.col("head").alias(h), "nameless") for b, h in (("a", "x"), ("b", "y")))
+    pairs = links.join(one, "a").join(two, ["b", "nameless"]).select("x", "y")
+    several = texts.groupBy("bits", "nameless").count().where("count > 1").select(F.col("bits").alias("a"), "nameless")
+    within = one.join(several, ["a", "nameless"], "left_semi").join(two.withColumnRenamed("b", "a"), ["a", "nameless"]).where("x < y").select("x", "y")
     pairs = pairs.unionByName(within).select(F.least("x", "y").getField("row").alias("low"), F.greatest("x", "y").getField("row").alias("high"))
     pairs = written(pairs)
     met = pairs.select("low").unionByName(pairs.select(F.col("high").alias("low"))).distinct()
@@ -309,10 +310,10 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8,
         gone = found if gone is None else gone.unionByName(found)
         settled = found.unionByName(heads.withColumnRenamed("low", "high"))
         pairs = written(pairs.join(settled.withColumnRenamed("high", "low"), "low", "left_anti").join(found, "high", "left_anti").select("low", "high"))
-    lost = texts.select("bits", "same", F.col("head.doc_id").alias("kept"), F.col("head.row").alias("high"))
+    lost = texts.select("bits", "same", "nameless", F.col("head.row").alias("high"))
     if gone is not None:
         lost = lost.join(gone.withColumn("all", F.lit(True)), "high", "left")
     else:
         lost = lost.withColumn("all", F.lit(None).cast("boolean"))
-    lost = prints.join(lost, ["bits", "same"]).where("all or doc_id <> kept").select(F.col("row").alias(row))
+    lost = prints.join(lost, ["bits", "same", "nameless"]).where("all or row <> high").select(F.col("row").alias(row))
     return rows.join(written(lost), row, "left_anti").select(*docs.columns)

@@ -208,6 +208,16 @@ def test_near_duplicates_of_an_unlike_head(spark):
     assert sorted(x["doc_id"] for x in simhash.without_near_duplicates(df).collect()) == [0, 1]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of copies without an id, and of a table appended twice, one row stays."""
+    r = random.Random(17)
+    a, b = prose(r, 300), prose(r, 300)
+    near = " ".join(["zz"] + b.split()[1:])
+    rows = [(1, a, "en", "s", 1), (2, None, "en", "s", 1), (None, b, "en", "s", 1), (None, near, "en", "s", 1)]
+    kept = simhash.without_near_duplicates(table(spark, rows * 3)).collect()
+    assert sorted(str(x["doc_id"]) for x in kept) == ["1", "2", "None"]
+
+
 def test_every_link(spark, monkeypatch):
     r = random.Random(16)
     base = [r.getrandbits(63) for _ in range(6)]
