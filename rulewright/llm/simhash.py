@@ -23,6 +23,8 @@ from .tokens import forget
 BITS = 64
 #: Fingerprints of one top that one task walks together; more are dealt in chunks, each pair of chunks to a task.
 CHUNK = 4096
+#: Pairs of nodes that a walk takes one bit further at once.
+FRONTIER = 1 << 17
 #: Such tops are told to all tasks if they are no more than this, else joined.
 BROADCAST_TOPS = 100_000
 
@@ -64,33 +66,35 @@ def find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def trie_pairs(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: int, depth: int):
+def trie_pairs(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray | None, budget: int, depth: int, labels: np.ndarray | None = None):
     """All links (pairs at most `budget` bits apart) within each group of equal `tops`, each once, as arrays (i, j).
 
     bits: the `depth` bits below the top, sorted by (top, bits). Nodes are runs of this order. Where `sides` holds 0
-    and 1, only pairs with both count. All tops are walked at once: a frontier of pairs of nodes with their differing bits goes
+    and 1, only pairs with both count; where there are `labels`, only pairs of two labels do, and two nodes all of
+    one label go no further. All tops are walked at once: a frontier of pairs of nodes with their differing bits goes
     down bit by bit; a pair of single fingerprints is settled by counting its bits.
     """
     n = len(bits)
     cuts = np.flatnonzero(np.append(True, tops[1:] != tops[:-1])) if n else np.zeros(0, np.int64)
     a0, a1 = cuts, np.append(cuts[1:], n)
     frontier = [(a0, a1, a0, a1, np.zeros(len(cuts), np.int64), depth)] if n else []
+    changes = None if labels is None else np.append(0, np.cumsum(labels[1:] != labels[:-1]))
 
     def settle(i, j):
         near = (i < j) & (np.bitwise_count(bits[i] ^ bits[j]) <= budget)  # of two nodes, i's comes first
         if sides is not None:
             near &= sides[i] != sides[j]
+        if labels is not None:
+            near &= labels[i] != labels[j]
         return i[near], j[near]
 
     while frontier:
         a0, a1, b0, b1, diff, left = frontier.pop()
-        if len(a0) > 1 << 18:  # bounds what a task holds; the rest waits
+        if len(a0) > FRONTIER:  # bounds what a task holds; the rest waits
             half = len(a0) // 2
             frontier += [(a0[:half], a1[:half], b0[:half], b1[:half], diff[:half], left), (a0[half:], a1[half:], b0[half:], b1[half:], diff[half:], left)]
             continue
         small = (a1 - a0) * (b1 - b0) <= 4
-        if left == 0:
-            small[:] = True
         i, wide, j0 = a0[small], (b1 - b0)[small], b0[small]
         size = (a1 - a0)[small] * wide
         if len(size):
@@ -100,16 +104,23 @@ def trie_pairs(bits: np.ndarray, tops: np.ndarray, sides: np.ndarray, budget: in
         a0, a1, b0, b1, diff = (x[~small] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
-        left -= 1
-        bit = np.uint64(1) << np.uint64(left)
-        ones = np.append(0, np.cumsum((bits & bit) != 0))  # a run is sorted: its zeros come first
-        a, b = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        if left:
+            left -= 1
+            bit, step = np.uint64(1) << np.uint64(left), 1
+            ones = np.append(0, np.cumsum((bits & bit) != 0))  # a run is sorted: its zeros come first
+            a, b = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        else:  # rows of equal bits: halves of them stand for nodes
+            a, b, step = (a0 + a1) // 2, (b0 + b1) // 2, 0
         same = (a0 == b0) & (a1 == b1)
-        pairs = [(a0, a, b0, b, diff), (a, a1, b, b1, diff), (a0, a, b, b1, diff + 1)]
-        pairs.append(tuple(x[~same] for x in (a, a1, b0, b, diff + 1)))
+        pairs = [(a0, a, b0, b, diff), (a, a1, b, b1, diff), (a0, a, b, b1, diff + step)]
+        pairs.append(tuple(x[~same] for x in (a, a1, b0, b, diff + step)))
         a0, a1, b0, b1, diff = (np.concatenate(x) for x in zip(*pairs))
         go = (a1 > a0) & (b1 > b0) & (diff <= budget)
-        frontier.append(tuple(x[go] for x in (a0, a1, b0, b1, diff)) + (left,))
+        a0, a1, b0, b1, diff = (x[go] for x in (a0, a1, b0, b1, diff))
+        if changes is not None:
+            go = (changes[a1 - 1] != changes[a0]) | (changes[b1 - 1] != changes[b0]) | (labels[a0] != labels[b0])
+            a0, a1, b0, b1, diff = (x[go] for x in (a0, a1, b0, b1, diff))
+        frontier.append((a0, a1, b0, b1, diff, left))
 
 
 def spanning(n: int, pairs):
@@ -125,12 +136,12 @@ def spanning(n: int, pairs):
         yield tuple(np.array(links, np.int64).reshape(-1, 2).T)
 
 
-def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6, every: bool = False) -> DataFrame:
+def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame:
     """a, b: links between rows of `prints` (bits: distinct) at most `budget` bits apart.
 
-    Of each trie's top, links that span its groups are kept; those that add no connection are not. With every, all
-    links are, each once: in the trie whose matched blocks are the first that are alike. Chunks of a
-    top with more than CHUNK fingerprints meet pairwise, so that no task has an unbounded one.
+    Of each trie's top, links that span its groups are kept; those that add no connection are not. Chunks of a
+    top with more than CHUNK fingerprints meet pairwise, so that no task has an unbounded one: a row of it is copied
+    to as many tasks as the top has chunks, at worst (all fingerprints in one top) to n / CHUNK of them.
     """
     matched = blocks - budget
     edges = [BITS * k // blocks for k in range(blocks + 1)]
@@ -176,15 +187,8 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6, every: bool
                 held, at = held[:, order], at[order]
                 number = np.cumsum(np.append(False, (held[:, 1:] != held[:, :-1]).any(axis=0)))
                 pairs = trie_pairs(low[order], number, own[at] != i[at] if two else None, budget, depth)
-                for x, y in pairs if every else spanning(len(at), pairs):
-                    x, y = bits[at[x]], bits[at[y]]
-                    if every:
-                        first = np.ones(len(x), bool)
-                        for k in range(choices[t][-1]):
-                            if k not in choices[t]:
-                                first &= ((x ^ y).view(np.uint64) & np.uint64((1 << edges[k + 1]) - (1 << edges[k]))) != 0
-                        x, y = x[first], y[first]
-                    yield x, y
+                for x, y in spanning(len(at), pairs):
+                    yield bits[at[x]], bits[at[y]]
 
     def walk(batches):
         def emit(table):
@@ -238,82 +242,3 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int
     table = member.join(ids, "component").select(F.col("bits").alias("print"), "component_id")
     joined = prints.join(table, F.col("bits") == F.col("print"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: pa.Scalar, words: int) -> set[int]:
-    from xxhash import xxh64_intdigest
-
-    parts = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
-    return {xxh64_intdigest(b" ".join(parts[k : k + words])) for k in range(max(1, len(parts) - words + 1))}
-
-
-def similar(pairs: DataFrame, words: int, least: float) -> DataFrame:
-    """high of those pairs (low, high, and their texts) whose sets of word shingles have a Jaccard similarity of `least` or more."""
-
-    def compare(batches):
-        text, known = None, set()
-        for batch in batches:
-            found = []
-            for low, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if low != text:  # pairs of one low mostly follow one another
-                    text, known = low, shingles(a, words)
-                other = shingles(b, words)
-                both = len(known & other)
-                found.append(both >= least * (len(known) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(found, pa.bool_()))], names=["high"])
-
-    return pairs.select("low", "high", "low_text", "high_text").mapInArrow(compare, "high long")
-
-
-def without_near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 8, blocks: int = 11) -> DataFrame:
-    """docs without near-duplicates: no two rows stay that fingerprints link and whose texts are alike.
-
-    Alike are texts whose sets of word shingles have a Jaccard similarity of `least` or more. A row goes if a row of a
-    smaller doc_id that stays is linked to it directly (at most `budget` bits) and alike. Texts of the same words are
-    one, so that copies make no pairs. All links are kept as pairs of ids; a round settles those of the rows that no smaller open
-    one is linked to, so that texts are compared only with such as stay. Of rows with one doc_id the order is that of
-    the row ids. Rows without doc_id are compared with one another only: one of each group of them stays, also
-    beside a like row with a doc_id.
-    """
-    row = fresh(docs, "row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-
-    def scan(batches):
-        from xxhash import xxh64_intdigest
-
-        forget()
-        for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
-            bits = np.array([simhash(x, words, 42) for x in texts], np.uint64).view(np.int64)
-            same = np.array([xxh64_intdigest(b" ".join(x.lower().split())) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits), pa.array(same)], names=["row", "doc_id", "bits", "same"])
-
-    prints = rows.select(F.col(row).alias("row"), "doc_id", "text").mapInArrow(scan, "row long, doc_id long, bits long, same long")
-    prints = written(prints.withColumn("nameless", F.col("doc_id").isNull()))
-    texts = written(prints.groupBy("bits", "same", "nameless").agg(F.min(F.struct("doc_id", "row")).alias("head")))
-    links = near_links(texts.select("bits").distinct(), budget, blocks, every=True)
-    one, two = (texts.select(F.col("bits").alias(b), F.col("head").alias(h), "nameless") for b, h in (("a", "x"), ("b", "y")))
-    pairs = links.join(one, "a").join(two, ["b", "nameless"]).select("x", "y")
-    several = texts.groupBy("bits", "nameless").count().where("count > 1").select(F.col("bits").alias("a"), "nameless")
-    within = one.join(several, ["a", "nameless"], "left_semi").join(two.withColumnRenamed("b", "a"), ["a", "nameless"]).where("x < y").select("x", "y")
-    pairs = pairs.unionByName(within).select(F.least("x", "y").getField("row").alias("low"), F.greatest("x", "y").getField("row").alias("high"))
-    pairs = written(pairs)
-    met = pairs.select("low").unionByName(pairs.select(F.col("high").alias("low"))).distinct()
-    linked = written(rows.select(F.col(row).alias("of"), "text").join(met, F.col("of") == F.col("low"), "left_semi"))
-    gone = None
-    while not pairs.isEmpty():
-        heads = pairs.select("low").distinct().join(pairs.select(F.col("high").alias("low")).distinct(), "low", "left_anti")
-        heads = written(heads)
-        asked = pairs.join(heads, "low").join(linked.select(F.col("of").alias("low"), F.col("text").alias("low_text")), "low")
-        asked = asked.join(linked.select(F.col("of").alias("high"), F.col("text").alias("high_text")), "high")
-        found = written(similar(asked, words, least).distinct())
-        gone = found if gone is None else gone.unionByName(found)
-        settled = found.unionByName(heads.withColumnRenamed("low", "high"))
-        pairs = written(pairs.join(settled.withColumnRenamed("high", "low"), "low", "left_anti").join(found, "high", "left_anti").select("low", "high"))
-    lost = texts.select("bits", "same", "nameless", F.col("head.row").alias("high"))
-    if gone is not None:
-        lost = lost.join(gone.withColumn("all", F.lit(True)), "high", "left")
-    else:
-        lost = lost.withColumn("all", F.lit(None).cast("boolean"))
-    lost = prints.join(lost, ["bits", "same", "nameless"]).where("all or row <> high").select(F.col("row").alias(row))
-    return rows.join(written(lost), row, "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rulewright.llm import ann, html_extract, langid, mixing, packing, recompress, simhash, sstable, substrings, topk, toxicity
+from rulewright.llm import ann, html_extract, langid, mixing, near_texts, packing, recompress, simhash, sstable, substrings, topk, toxicity
 from rulewright.llm.components import components
 from rulewright.llm.queries import tokenizer_path
 from rulewright.llm.tokens import WordEncoder
@@ -159,7 +159,7 @@ def test_trie_join(spark, monkeypatch):
     base = [r.getrandbits(64) for _ in range(12)]
     prints = {b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 6))) for b in base for _ in range(40)} | {0, (1 << 64) - 1}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    for budget, blocks, chunk in ((4, 6, 4096), (4, 6, 8), (2, 4, 16), (8, 11, 4096)):
+    for budget, blocks, chunk in ((4, 6, 4096), (4, 6, 8), (2, 4, 16)):
         monkeypatch.setattr(simhash, "CHUNK", chunk)
         links = components(simhash.near_links(spark.createDataFrame([(s,) for s in signed], "bits long"), budget, blocks))
         got = {x["node"]: x["component"] for x in links.collect()}
@@ -181,7 +181,7 @@ def test_without_near_duplicates(spark):
     near = " ".join(["zz"] + a.split()[1:])
     half = " ".join(a.split()[:150] + b.split()[150:])
     df = table(spark, [(1, a, "en", "s", 1), (2, near, "en", "s", 1), (3, b, "en", "s", 1), (4, half, "en", "s", 1), (5, a, "en", "s", 1), (None, a, "en", "s", 1), (6, None, "en", "s", 1)])
-    kept = simhash.without_near_duplicates(df)
+    kept = near_texts.without_near_duplicates(df)
     assert sorted(str(x["doc_id"]) for x in kept.collect()) == ["1", "3", "4", "6", "None"] and kept.columns == df.columns
 
 
@@ -205,7 +205,7 @@ def test_near_duplicates_of_an_unlike_head(spark):
     a, b, c = next(x for k in range(500) if near(x := made(k)))
     assert jaccard(a, b) < 0.8 < jaccard(b, c)
     df = table(spark, [(i, t, "en", "s", 1) for i, t in enumerate((a, b, b, c, c + "  ", c))])
-    assert sorted(x["doc_id"] for x in simhash.without_near_duplicates(df).collect()) == [0, 1]
+    assert sorted(x["doc_id"] for x in near_texts.without_near_duplicates(df).collect()) == [0, 1]
 
 
 def test_near_duplicates_of_repeated_ids(spark):
@@ -214,19 +214,63 @@ def test_near_duplicates_of_repeated_ids(spark):
     a, b = prose(r, 300), prose(r, 300)
     near = " ".join(["zz"] + b.split()[1:])
     rows = [(1, a, "en", "s", 1), (2, None, "en", "s", 1), (None, b, "en", "s", 1), (None, near, "en", "s", 1)]
-    kept = simhash.without_near_duplicates(table(spark, rows * 3)).collect()
+    kept = near_texts.without_near_duplicates(table(spark, rows * 3)).collect()
     assert sorted(str(x["doc_id"]) for x in kept) == ["1", "2", "None"]
 
 
-def test_every_link(spark, monkeypatch):
+def test_trie_walk_between_classes():
+    """Pairs of two classes only, many rows of equal bits among them, against all pairs."""
     r = random.Random(16)
-    base = [r.getrandbits(63) for _ in range(6)]
-    prints = sorted({b ^ sum(1 << x for x in r.sample(range(63), r.randint(0, 6))) for b in base for _ in range(30)})
-    want = sorted((a, b) for k, b in enumerate(prints) for a in prints[:k] if (a ^ b).bit_count() <= 8)
-    for chunk in (4096, 8):
-        monkeypatch.setattr(simhash, "CHUNK", chunk)
-        got = simhash.near_links(spark.createDataFrame([(s,) for s in prints], "bits long"), 8, 11, every=True).collect()
-        assert sorted((min(x), max(x)) for x in got) == want
+    base = [r.getrandbits(64) for _ in range(5)]
+    bits = sorted([b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(30)] + base * 9)
+    tops = np.repeat([0, 1], [100, len(bits) - 100])
+    for labels in ([r.randint(0, 3) for _ in bits], [7] * len(bits), list(range(len(bits)))):
+        want = {(i, j) for j in range(len(bits)) for i in range(j) if tops[i] == tops[j] and labels[i] != labels[j] and (bits[i] ^ bits[j]).bit_count() <= 9}
+        got = [p for i, j in simhash.trie_pairs(np.array(bits, np.uint64), tops, None, 9, 64, np.array(labels)) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+
+
+def families(r, n, size, width=120):
+    """n texts, and of each size others with some words changed or a passage added."""
+    texts = []
+    for _ in range(n):
+        base = [f"{r.choice(VOCABULARY)}{r.randint(0, 99)}" for _ in range(width)]
+        texts.append(base)
+        for _ in range(size):
+            other = list(base)
+            for _ in range(r.randint(0, 4)):
+                other[r.randrange(width)] = f"x{r.randint(0, 10**6)}"
+            texts.append(other + [f"y{r.randint(0, 10**6)}" for _ in range(r.choice([0, 0, 5, 20]))])
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("chunk", [4096, 6])
+def test_near_texts_against_all_pairs(spark, monkeypatch, chunk):
+    """Groups by all pairs' Jaccard similarity; a hot class and tops dealt in chunks give the same."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    r = random.Random(23)
+    texts = families(r, 12, 6) + families(r, 1, 60) + ["", "one two", "one  TWO", "one two three four five six", "na " * 50, "na " * 70]
+    sets = [frozenset(near_texts.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        p, q = sorted((top(i), top(j)))
+        parent[q] = p
+    want = {top(i) for i in range(len(texts))}
+    got = [x["doc_id"] for x in near_texts.without_near_duplicates(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()]
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert len(got) - len(want) <= 0.1 * (len(texts) - len(want))  # a recall of 0.9
+    assert all(top(i) == top(j) for i, j in pairs)
+
+
+def test_near_texts_of_nothing(nothing):
+    assert near_texts.without_near_duplicates(nothing).count() == 0
 
 
 # --- 3 and 4
