@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..reuse import shared_folder, written
 
-__all__ = ["SPACE", "WORD", "arrow_schema", "fresh", "running_totals", "shared_folder", "written"]
+__all__ = ["SPACE", "WORD", "arrow_schema", "fresh", "running_totals", "shared_folder", "trimmed", "written"]
 
 #: White space between words, as the contracts of the operators define it.
 SPACE = "\\x20\\x09-\\x0D"
@@ -32,6 +35,25 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def trimmed(scan: Callable) -> Callable:
+    """scan, a function for mapInArrow, after which the worker gives memory it no longer uses back to the machine.
+
+    Spark keeps workers for later tasks, idle ones too; what they hold counts against an executor's memory.
+    """
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return run
+
+
 def running_totals(df: DataFrame, order: list[str | Column], value: str, before: str = "before") -> DataFrame:
     """df with the sum of `value` (no nulls, not negative) over all rows that come earlier in `order`.
 
@@ -51,7 +73,7 @@ def running_totals(df: DataFrame, order: list[str | Column], value: str, before:
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to)], schema=to)
             total += int(sums[-1]) if len(sums) else 0
 
-    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(scan, schema))
+    parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(trimmed(scan), schema))
     ends = parts.groupBy(part).agg(F.max(F.col(before) + F.col(value)).alias("size"))
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     starts = ends.select(part, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("start"))

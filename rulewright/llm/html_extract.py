@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, written
+from .common import running_totals, trimmed, written
 
 #: Elements whose content is never text of the page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
@@ -261,9 +261,9 @@ def extract(pages: DataFrame) -> DataFrame:
                     out.append(main_text(own, line_hashes(own), [n["hashes"] for n in near or ()]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    known = pages.select(row_key().alias("of"), "html").mapInArrow(hashed, "of long, hashes array<long>").dropDuplicates(["of"])
+    known = pages.select(row_key().alias("of"), "html").mapInArrow(trimmed(hashed), "of long, hashes array<long>").dropDuplicates(["of"])
     near = nearest_pages(pages).join(known, F.col("neighbour") == F.col("of"))
     near = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "hashes"))).alias("near"))  # up to four
     near = written(near)  # the shuffles before it can go
     rows = pages.select("page_id", "url", "html", row_key().alias("key")).join(near, "key", "left").drop("key")
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(trimmed(texts), "page_id long, url string, text string, n_chars long")

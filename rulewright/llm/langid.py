@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .sampling import labelled_sample
 from .tokens import forget
 
@@ -160,7 +161,7 @@ def identify(docs: DataFrame, network: ByteNetwork) -> DataFrame:
             labels, scores = network.classify(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(scan), "doc_id long, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, network: ByteNetwork, least: float = 0.4) -> DataFrame:
@@ -175,4 +176,4 @@ def recognised(docs: DataFrame, network: ByteNetwork, least: float = 0.4) -> Dat
             labels, scores = network.classify(batch.column(text).to_pylist())
             yield batch.filter(pa.array([a != UNKNOWN and b >= least for a, b in zip(labels, scores)], pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(trimmed(keep), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, running_totals, written
+from .common import arrow_schema, running_totals, trimmed, written
 from .tokens import SLICE, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows[0])])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), PIECES + ", ids array<long>" * with_ids)
 
 
 class Stock:
@@ -155,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             k = np.searchsorted(first, rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base[k] + rank - first[k]), pa.array(offsets[k])], schema=to)
 
-    return ranked.select(*pieces.columns, "rank").mapInArrow(place, schema)
+    return ranked.select(*pieces.columns, "rank").mapInArrow(trimmed(place), schema)
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, trimmed, written
 from .components import components
 from .tokens import forget
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
             found = [simhash(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, bits long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(scan), "doc_id long, bits long")
 
 
 def find(parent: np.ndarray, x: int) -> int:
@@ -221,7 +221,7 @@ def near_links(prints: DataFrame, budget: int = 4, blocks: int = 6) -> DataFrame
         if rest is not None and len(rest[0]):
             yield from emit(rest)
 
-    return rows.repartition("trie", top, "i", "j").sortWithinPartitions("trie", top, "i", "j").mapInArrow(walk, "a long, b long")
+    return rows.repartition("trie", top, "i", "j").sortWithinPartitions("trie", top, "i", "j").mapInArrow(trimmed(walk), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42, blocks: int = 6) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, trimmed
 from .tokens import SLICE, encoder
 
 MAGIC = b"SSTSHARD"
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*shards)], names=["shard", "documents", "ids"])
 
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(write, "shard string, documents long, ids long").agg(F.sum("documents")).collect()  # one number
+    rows.mapInArrow(trimmed(write), "shard string, documents long, ids long").agg(F.sum("documents")).collect()  # one number
     return folder
 
 
@@ -250,10 +250,10 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                     total += len(values)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.string()), *(pa.array(x, pa.int64()) for x in (ids, before, counts, crcs))], names=["shard", "doc_id", "before", "n_tokens", "ids_crc32"])
 
-    sizes = files.select("shard", "length").mapInArrow(totals, "shard string, ids long")
+    sizes = files.select("shard", "length").mapInArrow(trimmed(totals), "shard string, ids long")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     first = sizes.select("shard", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("first"))
-    rows = files.select("shard", "content").mapInArrow(entries, "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = files.select("shard", "content").mapInArrow(trimmed(entries), "shard string, doc_id long, before long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(first), "shard").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 
@@ -268,4 +268,4 @@ def lookup(spark: SparkSession, folder: str, doc_ids: list[int | None]) -> DataF
                 found = [(i, ids.tolist()) for i in doc_ids if (ids := shard.get(i)) is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return files.mapInArrow(find, "doc_id long, ids array<long>")
+    return files.mapInArrow(trimmed(find), "doc_id long, ids array<long>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, trimmed, written
 from .recompress import U, levels, mix, representatives, span_hashes
 from .tokens import forget
 
@@ -93,7 +93,7 @@ def chunks(docs: DataFrame, width: int) -> DataFrame:
             if keys:
                 yield made(keys, words)
 
-    return docs.select("k1", "k2", "text").mapInArrow(cut, "k1 long, k2 long, first int, count int, symbol long, content long")
+    return docs.select("k1", "k2", "text").mapInArrow(trimmed(cut), "k1 long, k2 long, first int, count int, symbol long, content long")
 
 
 def covered(n: int, starts, counts, width: int) -> np.ndarray:
@@ -133,7 +133,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 blobs = [zip_.compress(t.as_buffer()) if t.is_valid else None for t in part.column(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blobs, pa.binary())], names=["k1", "k2", "doc_id", "packed"])
 
-    return docs.mapInArrow(pack, "k1 long, k2 long, doc_id long, packed binary")
+    return docs.mapInArrow(trimmed(pack), "k1 long, k2 long, doc_id long, packed binary")
 
 
 def words_of(blob: pa.Scalar) -> list[bytes]:
@@ -209,7 +209,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
 
     joined = packed(keyed(docs)).join(marks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").select("doc_id", "k1", "k2", "packed", "marks")
     row = "doc_id long, k1 long, k2 long, n_words long, n_removed long, kept string"
-    first = written(joined.mapInArrow(first_pass, f"{row}, packed binary, spans array<int>, windows array<struct<hash: long, at: int>>"))
+    first = written(joined.mapInArrow(trimmed(first_pass), f"{row}, packed binary, spans array<int>, windows array<struct<hash: long, at: int>>"))
 
     windows = first.select("k1", "k2", F.explode("windows").alias("w")).select("k1", "k2", "w.hash", "w.at")
     again = windows.groupBy(F.col("hash").alias("h")).count().where("count > 1")
@@ -228,7 +228,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("doc_id", "k1", "k2")), *columns], names=list("abcdef"))
 
     rest = first.where("packed is not null").join(found, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
-    rest = rest.select("doc_id", "k1", "k2", "packed", "spans", "found").mapInArrow(second_pass, row)
+    rest = rest.select("doc_id", "k1", "k2", "packed", "spans", "found").mapInArrow(trimmed(second_pass), row)
     return first.where("packed is null").select(rest.columns).unionByName(rest)
 
 

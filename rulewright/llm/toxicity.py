@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from .sampling import labelled_sample
 
 SIZES, BUCKETS, DIMENSIONS = (3, 4, 5), 1 << 16, 8
@@ -178,4 +179,4 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(scan), "doc_id long, score double")
