@@ -27,7 +27,7 @@ REACH = 8
 #: Documents that a task holds unpacked at once.
 SLICE = 256
 #: Words that are recompressed at once, at least a document; words whose hashes a task keeps.
-BATCH_WORDS, KEPT_WORDS = 300_000, 400_000
+BATCH_WORDS, KEPT_WORDS = 60_000, 100_000
 COVERED, COMPARED, BOTH = 1, 2, 3
 
 
