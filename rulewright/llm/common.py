@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..reuse import shared_folder, written
 
-__all__ = ["SPACE", "WORD", "arrow_schema", "fresh", "running_totals", "shared_folder", "trimmed", "written"]
+__all__ = ["SPACE", "WORD", "arrow_schema", "discard", "fresh", "running_totals", "shared_folder", "trimmed", "written"]
 
 #: White space between words, as the contracts of the operators define it.
 SPACE = "\\x20\\x09-\\x0D"
@@ -54,6 +54,14 @@ def trimmed(scan: Callable) -> Callable:
     return run
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a written table that no later step reads."""
+    files, context = df.inputFiles(), df.sparkSession.sparkContext
+    if files:
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def running_totals(df: DataFrame, order: list[str | Column], value: str, before: str = "before") -> DataFrame:
     """df with the sum of `value` (no nulls, not negative) over all rows that come earlier in `order`.
 

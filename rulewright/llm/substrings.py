@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, trimmed, written
+from .common import discard, fresh, trimmed, written
 from .recompress import U, levels, mix, representatives, span_hashes
 from .tokens import forget
 
@@ -160,9 +160,9 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
     Null texts are without words; shorter texts than a window keep all. Repeated rows are repeats of
     one another. Null doc_ids are kept. k1 and k2 (doc_id, hash of the text) name the row, for joins.
     """
-    parts = written(chunks(keyed(docs), width))
+    all_parts = written(chunks(keyed(docs), width))
     # first document: gives the windows of its chunk for comparison
-    parts = parts.where("symbol is not null and content is not null")
+    parts = all_parts.where("symbol is not null and content is not null")
     known = parts.groupBy("symbol", "content").agg(F.count("*").alias("times"), F.min("k1").alias("giver"))
     # with all columns of known in use here too, Spark shuffles and counts once for both
     shared = known.groupBy("symbol").agg(F.count("*").alias("contents"), F.sum((F.col("times") == 1).cast("int")).alias("single"), F.max("giver").alias("any"))
@@ -176,6 +176,7 @@ def without_repeats(docs: DataFrame, width: int = 35, digest: bool = False, unch
     marked = claims.join(status, (F.col("content") == F.col("c")) & (F.col("check") == F.col("s"))).select("k1", "k2", mark.alias("mark"))
     marks = marked.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(F.collect_set("mark").alias("marks"))
     marks = written(marks)
+    discard(all_parts)
 
     def first_pass(batches):
         known = WordHashes()
