@@ -102,6 +102,97 @@ def test_html_differencing(spark):
     assert got[9] == got[5]
 
 
+HTML_PROBES = [
+    ('<div style="overflow:hidden"><p>kept?</p></div>', "kept?"),
+    ('<p title="a hidden gem">kept</p>', "kept"),
+    ('<p data-id="nav">kept</p>', "kept"),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>x</p></article>', "Title x"),
+    ('<p title="a"">kept?</p>', "kept?"),
+    ('<p title="a>b" class=ad>no</p><p>a < b &lt;i&gt; &amp;amp; c', "a < b <i> &amp; c"),
+    ('<div class="content no-sidebar"><p>yes</p><nav><a>no</a></nav></div>', "yes"),
+    ('<article><p class="notice">n</p><div class="ad">a</div><h1>T<b>x</b></h1><p hidden>z</p></article>', "n Tx"),
+    ('<form><div class="search"><article>kept <i>this</i></article></div></form>', "kept this"),
+    ('<a b="c>d e', "d e"),
+    ("x<!-- c", "x"),
+    ("y<![CDATA[ <b> ]]>z", "y <b> z"),
+    ("<script>if (a</script >b", "b"),
+]
+
+
+@pytest.mark.parametrize("page, want", HTML_PROBES)
+def test_html_probes(page, want):
+    found = html_extract.lines(page)
+    kinds = np.array([k for _, k in found])
+    assert html_extract.main_text([t for t, _ in found], kinds, html_extract.line_hashes(found), [], []) == want
+
+
+@pytest.mark.parametrize("unit", ['<a title="x ', "<b>", "</i>", "<a x='\"", "<", "<!--", '<p class="', "<p><i>", "&amp", "</"])
+def test_html_scanner_is_linear(unit):
+    import time
+
+    began = time.process_time()
+    html_extract.lines(unit * 50_000)
+    assert time.process_time() - began < 5
+
+
+def test_html_against_all_pages(spark):
+    """Differencing by plain tables of the common subsequence and a plain sort of all pages; what neighbours do shows when they are taken away."""
+    r = random.Random(31)
+    rows, bodies = [], {}
+    for host, many in (("a.example", 14), ("b.example", 1), ("c.example", 9)):
+        frame = [prose(r, 6) for _ in range(5)]
+        for k in range(many):
+            own = [f"{prose(r, 12)} {host} {k}" for _ in range(r.randint(1, 6))]
+            body = "".join(f"<div>{x}</div>" for x in frame[:3]) + "".join(f"<p>{x}</p>" for x in own) + "".join(f"<div>{x}</div>" for x in frame[3:])
+            if k % 5 == 4:
+                body = "<main>" + body + "</main>"
+            url = f"http://{host}/{r.choice(['x', 'y'])}/{k}"
+            rows.append((len(rows), url, page(body)))
+            if k % 4 == 0:
+                rows.append((len(rows), url + "?copy", page(body)))
+    rows.append((len(rows), rows[0][1], None))
+
+    def table_of(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best
+
+    def without(texts, other):
+        best, i, j, keep = table_of(texts, other), len(texts), len(other), []
+        while i and j:
+            if texts[i - 1] == other[j - 1]:
+                i, j = i - 1, j - 1
+            elif best[i - 1][j] >= best[i][j - 1]:
+                i -= 1
+                keep.append(i)
+            else:
+                j -= 1
+        return set(keep) | set(range(i))
+
+    def got(rows):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).withColumn("content", F.lit("x"))
+        return {x["page_id"]: x["text"] for x in html_extract.extract(df).collect()}
+
+    found, alone = got(rows), {k: v for i in (4, 9) for k, v in got([rows[i]]).items()}
+    hosts = {}
+    for i, url, h in rows:
+        host, path = re.match(r"http://([^/]*)(.*)", url).groups()
+        hosts.setdefault(host, {}).setdefault(tuple(html_extract.lines(h or "")), []).append(path)
+    for i, url, h in rows:
+        host = re.match(r"http://([^/]*)", url)[1]
+        own, others = html_extract.lines(h or ""), [p for p in hosts[host] if list(p) != html_extract.lines(h or "") and p]
+        texts, main = [t for t, _ in own], any(k == html_extract.MAIN for _, k in own)
+        if others and len(hosts[host]) > 4:  # all have the same frame and nothing else in common
+            frame = set.intersection(*({t for t, _ in p} for p in others))
+            want = " ".join(texts[k] for k in sorted(without(texts, [t for t, _ in others[0]]))) if texts else ""
+            assert not frame or found[i] == want, (i, url, main)
+        elif not others:
+            assert found[i] == " ".join(texts)
+    assert any(found[i] != alone[i] for i in alone)
+
+
 def test_common_subsequence():
     r = random.Random(2)
     for _ in range(300):
