@@ -13,13 +13,14 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, trimmed, written
+from .common import discard, running_totals, trimmed, written
 
 #: Elements whose content is never text of the page.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select".split())
@@ -269,16 +270,14 @@ def shared(a: list[int], b: list[int]) -> np.ndarray:
     return out
 
 
-def main_text(texts: list[str], kinds: np.ndarray, hashes: list[int], neighbours: list[list[int]], far: list[list[int]]) -> str:
+def main_text(page: list[tuple[str, int]], neighbours: list[list[int]], far: list[int]) -> str:
     """The page's text without lines shared with the nearest pages that are no copies of it.
 
-    neighbours: lines of pages of other content, the nearest first; far: of two pages of the host, or none.
+    neighbours: lines of pages of other content, the nearest first; far: lines that far pages of the host have in common.
     """
-    sizes = np.array(list(map(len, texts)), np.float64)
-    own = np.ones(len(texts), bool)
-    others = [set(x) for x in far if x != hashes]
-    if len(others) == 2:
-        own = np.array([not (h in others[0] and h in others[1]) for h in hashes], bool)
+    texts, kinds, hashes = [t for t, _ in page], np.array([k for _, k in page], np.int64), line_hashes(page)
+    sizes, everywhere = np.array(list(map(len, texts)), np.float64), set(far)
+    own = np.array([h not in everywhere for h in hashes], bool)
     gone: list[np.ndarray] = []
     for other in neighbours:
         both = shared(hashes, other)
@@ -303,27 +302,28 @@ def line_hashes(page: list[tuple[str, int]]) -> list[int]:
     return [xxh64_intdigest(t) - (1 << 63) for t, _ in page]
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, content (a hash of all lines), hashes (of each line), and packed (the lines and their kinds)."""
+def parsed(pages: DataFrame, pack: bool) -> DataFrame:
+    """page_id, url, content (a hash of all lines), and packed (the lines and their kinds) or else hashes (of each line)."""
 
     def scan(batches):
         from xxhash import xxh64_intdigest
         from zstandard import ZstdCompressor
 
-        zip_ = ZstdCompressor(level=3)
+        zip_ = ZstdCompressor(level=6)
         for batch in batches:
-            content, hashes, packed = [], [], []
+            content, last = [], []
             for x in batch.column(2):
                 page = lines(x.as_py() or "")
-                hashes.append(np.array(line_hashes(page), np.int64))
-                content.append(xxh64_intdigest(hashes[-1].tobytes()) - (1 << 63))
-                packed.append(zip_.compress("\n".join([*(t for t, _ in page), "".join(str(k) for _, k in page)]).encode("utf-8", "surrogatepass")))
+                hashes = np.array(line_hashes(page), np.int64)
+                content.append(xxh64_intdigest(hashes.tobytes()) - (1 << 63))
+                last.append(zip_.compress("\n".join([*(t for t, _ in page), "".join(str(k) for _, k in page)]).encode("utf-8", "surrogatepass")) if pack else hashes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                names=["page_id", "url", "content", "hashes", "packed"],
+                [batch.column(0), batch.column(1), pa.array(content, pa.int64()), pa.array(last, pa.binary() if pack else pa.list_(pa.int64()))],
+                names=["page_id", "url", "content", "last"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(trimmed(scan), "page_id long, url string, content long, hashes array<long>, packed binary")
+    kind = "packed binary" if pack else "hashes array<long>"
+    return pages.select("page_id", "url", "html").mapInArrow(trimmed(scan), f"page_id long, url string, content long, {kind}")
 
 
 def place(url: Column) -> tuple[Column, Column]:
@@ -333,13 +333,14 @@ def place(url: Column) -> tuple[Column, Column]:
 
 
 def nearest_pages(rows: DataFrame) -> DataFrame:
-    """host, content, near (up to four contents' hashes, the nearest first) and far (two of the host's).
+    """host, content, near (up to four contents' hashes, the nearest first) and far (lines that two of four other pages of the host have).
 
     Pages of one content on a host are one, at the first of their paths. Neighbours are the two before and the two after in the
     order of host, path and content; nearer is one with more leading parts of the path in common. Rows are dealt by range, so that a
     host of very many pages is spread like others.
     """
     host, path = place(F.col("url"))
+    rows = rows.where(F.size("hashes") > 0)  # a page without text tells nothing
     pages = rows.select(host.alias("host"), path.alias("path"), "content", "hashes").groupBy("host", "content").agg(F.min("path").alias("path"), F.min("hashes").alias("hashes"))
     pages = written(pages)
     ranked = written(running_totals(pages.select("host", "path", "content", F.lit(1).alias("one")), ["host", "path", "content"], "one", "rank"))
@@ -357,9 +358,14 @@ def nearest_pages(rows: DataFrame) -> DataFrame:
     known = pages.select(F.col("host").alias("h"), F.col("content").alias("its"), "hashes")
     met = met.join(known, (met["host"] == known["h"]) & (met["its"] == known["its"])).select("host", "content", "order", "hashes")
     near = met.groupBy("host", "content").agg(F.array_sort(F.collect_list(F.struct("order", "hashes"))).alias("near"))  # up to four
-    least, most = (f(F.struct("content", "hashes")).getField("hashes") for f in (F.min, F.max))
-    ends = pages.groupBy("host").agg(F.array(least, most).alias("far"))
-    return near.join(ends, "host").select("host", "content", F.col("near.hashes").alias("near"), "far")
+    picked = [f(F.struct(order.alias("o"), "content", "hashes")).alias(f"p{k}") for k, (f, order) in enumerate((f, o) for f in (F.min, F.max) for o in (F.col("content"), F.xxhash64("content")))]
+    ends = pages.groupBy("host").agg(*picked)
+    both = [F.when(F.col(f"{a}.content") != F.col(f"{b}.content"), F.array_intersect(f"{a}.hashes", f"{b}.hashes")) for a, b in combinations(("p0", "p1", "p2", "p3"), 2)]
+    ends = ends.select("host", F.array_distinct(F.flatten(F.filter(F.array(*both), lambda x: x.isNotNull()))).alias("far"))
+    found = written(near.join(ends, "host", "left").select("host", "content", F.col("near.hashes").alias("near"), "far"))
+    discard(pages)
+    discard(ranked)
+    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -378,12 +384,13 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part, out = batch.slice(at, 256), []
-                for packed, hashes, near, far in zip(*(part.column(k).to_pylist() for k in ("packed", "hashes", "near", "far"))):
+                for packed, near, far in zip(*(part.column(k).to_pylist() for k in ("packed", "near", "far"))):
                     *page, kinds = unzip.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
-                    out.append(main_text(page, np.array(list(map(int, kinds)), np.int64), hashes, near or [], far or []))
+                    page = list(zip(page, map(int, kinds)))
+                    out.append(main_text(page, near or [], far or []))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = written(parsed(pages))
-    near = written(nearest_pages(rows)).withColumnsRenamed({"host": "h", "content": "c"})
+    near = nearest_pages(parsed(pages, pack=False)).withColumnsRenamed({"host": "h", "content": "c"})
+    rows = parsed(pages, pack=True)  # once more, as a table of all lines takes more room than parsing takes time
     joined = rows.join(near, (place(rows["url"])[0] == near["h"]) & (rows["content"] == near["c"]), "left")
-    return joined.select("page_id", "url", "packed", "hashes", "near", "far").mapInArrow(trimmed(texts), "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "packed", "near", "far").mapInArrow(trimmed(texts), "page_id long, url string, text string, n_chars long")
