@@ -14,7 +14,7 @@ import numpy as np
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
 KEPT_WORDS, KEPT_PARTS = 250_000, 400_000
 #: Documents whose ids a task holds at once.
-SLICE = 200
+SLICE = 400
 #: The one letter that, in lower case, is a letter and a mark; and the one whose lower case depends on its place.
 DOTTED, SIGMA = "\u0130", "\u03a3"
 #: Characters of texts whose ids are made at once.
