@@ -54,22 +54,35 @@ def servable(rules: DataFrame, recommendable: DataFrame) -> tuple[DataFrame, Dat
     return real.where(~blocked).drop("may"), real.where(blocked).groupBy("subject").count()
 
 
+def same_slot_events() -> tuple[Column, Column]:
+    """Whether a guard on the considered object is among the events, and whether one is there that may be on it.
+
+    The episode's own events are searched too, with or without a contact. A guard that only its type is known of may be on the object.
+    """
+    slot = F.col("slot")
+    told = F.coalesce("contact_slots", F.array().cast("array<struct<type:string,slots:map<string,string>>>"))
+    same_type = lambda e: F.array_contains("guards", e["type"])
+    found = F.exists(told, lambda e: F.coalesce(same_type(e) & (e["slots"][slot] == F.col("considering_slots")[slot]), F.lit(False)))
+    untold = F.exists(told, lambda e: F.coalesce(same_type(e) & e["slots"][slot].isNull(), F.lit(False)))
+    types = F.transform(told, lambda e: e["type"])
+    seen = F.array_union(F.coalesce("before", F.array().cast("array<string>")), F.coalesce("contact_before", F.array().cast("array<string>")))
+    return found, untold | F.exists("guards", lambda g: F.array_contains(seen, g) & ~F.array_contains(types, g))
+
+
 def keeps() -> Column:
     """Whether an obligation is kept by a request: true, false, or null where the request doesn't tell."""
     guard, types = F.col("guards")[0], F.col("before")
     in_episode = F.array_contains("before", guard)
     contact = F.when(in_episode, True).otherwise(F.array_contains("contact_before", guard))  # null without a contact
     value = F.col("considering_slots")[F.col("slot")]
-    same_type = lambda e: F.array_contains("guards", e["type"])
-    met = F.exists("contact_slots", lambda e: F.coalesce(same_type(e) & (e["slots"][F.col("slot")] == value), F.lit(False)))
-    unsure = F.exists("contact_slots", lambda e: same_type(e) & e["slots"][F.col("slot")].isNull())
+    found, unsure = same_slot_events()
     count = lambda t: F.size(F.filter(types, lambda x: x == t))
     return (
         F.when(F.col("pattern") == IMPLIES, in_episode)
         .when(F.col("pattern") == WITHOUT, contact)
         .when(F.col("pattern") == ONCE, count(F.col("subject")) == 0)
         .when(F.col("pattern") == EXACTLY, count(guard) == 1)
-        .when(F.col("pattern") == SAME, F.when(value.isNull(), None).when(met, True).when(unsure, None).otherwise(False))
+        .when(F.col("pattern") == SAME, F.when(value.isNull(), None).when(found, True).when(F.col("contact_before").isNull() | unsure, None).otherwise(False))
     )
 
 
@@ -80,6 +93,7 @@ def structural_unknowns() -> Column:
     return (
         F.when((F.col("pattern") == WITHOUT) & ~F.array_contains("before", F.col("guards")[0]) & F.col("contact_before").isNull(), F.array(F.lit("contact")))
         .when((F.col("pattern") == SAME) & value.isNull(), F.array(F.concat(F.lit("considering.slot."), "slot")))
+        .when((F.col("pattern") == SAME) & keeps().isNull() & F.col("contact_before").isNull(), F.array(F.lit("contact")))
         .when((F.col("pattern") == SAME) & keeps().isNull(), F.array(F.concat(F.lit("slot."), "slot")))
         .otherwise(none)
     )

@@ -14,9 +14,9 @@ def regions(rules: DataFrame, alignments: DataFrame, clauses: DataFrame, exercis
     confirmed: aligned for certain; undecided: only proposed; tribal: in no clause, and `extended` if the policy has the
     pair of actions for another flow, else `novel`. gap: a clause that is violated, kept though not mined, or never exercised.
     """
-    best = rules.select("id", "subject", "guards").join(alignments.select(F.col("rule").alias("id"), "kind"), "id", "left").groupBy("id", "subject", "guards").agg(F.max(strength(F.col("kind"))).alias("best"))
+    best = rules.select("id", "scope", "subject", "guards").join(alignments.select(F.col("rule").alias("id"), "scope", "kind"), ["id", "scope"], "left").groupBy("id", "scope", "subject", "guards").agg(F.max(strength(F.col("kind"))).alias("best"))
     pairs = clauses.where("guard is not null").select("subject", "guard").distinct().withColumn("written", F.lit(True))
-    known = best.withColumn("guard", F.explode_outer("guards")).join(F.broadcast(pairs), ["subject", "guard"], "left").groupBy("id").agg(F.max("best").alias("best"), F.bool_or("written").alias("written"))
+    known = best.withColumn("guard", F.explode_outer("guards")).join(F.broadcast(pairs), ["subject", "guard"], "left").groupBy("id", "scope").agg(F.max("best").alias("best"), F.bool_or("written").alias("written"))
     region = F.when(F.col("best") >= 2, "confirmed").when(F.col("best") == 1, "undecided").otherwise("tribal")
     kind = F.when(region == "tribal", F.when(F.col("written"), "extended-beyond-policy").otherwise("novel")).otherwise(region)
     ours = known.select(region.alias("region"), kind.alias("kind"), "id")

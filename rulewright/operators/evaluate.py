@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Thresholds
-from .patterns import EXACTLY, IMPLIES, ONCE, SAME, WITHOUT
+from .patterns import IMPLIES, ONCE, SAME, WITHOUT
 
 #: A clause: id, text, expressible, reason, shape (precedence, at-most-one), subject, guard, window, adjacent, fact, value.
 CLAUSES = "id string, text string, expressible boolean, reason string, shape string, subject string, guard string, window string, adjacent boolean, fact string, value string"
 
 
+#: Outcomes that count as good: a fixed value.
+GOOD = ("resolved",)
+
+
 def exercise(found: DataFrame, firsts_in_episode: DataFrame, firsts_in_contact: DataFrame, clauses: DataFrame) -> DataFrame:
     """clause, exercised, violated, kept: each expressible clause at the instances of its subject, in its own window.
 
@@ -30,42 +34,48 @@ def exercise(found: DataFrame, firsts_in_episode: DataFrame, firsts_in_contact:
     return written.select("clause").join(judged, "clause", "left").select("clause", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("exercised", "violated", "kept")))
 
 
-def controls(exercised: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """One row: clauses violated at least once, kept at own_support, never exercised, and the share of failures."""
-    return exercised.agg(
+def controls(exercised: DataFrame, outcomes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """One row: clauses violated at least once, kept at own_support over min_instances, never exercised, and the share of
+    those contacts with an outcome (outcomes: a row each) whose outcome isn't good."""
+    judged = outcomes.where("outcome is not null").agg((F.count_if(~F.col("outcome").isin(*GOOD)) / F.nullif(F.count("*"), F.lit(0))).alias("share"))
+    counts = exercised.agg(
         F.count_if(F.col("violated") > 0).alias("violated_at_least_once"),
-        F.count_if((F.col("exercised") > 0) & (F.col("kept") / F.col("exercised") >= t.own_support)).alias("kept_at_own_support"),
+        F.count_if((F.col("exercised") >= t.min_instances) & (F.col("kept") / F.nullif(F.col("exercised"), F.lit(0)) >= t.own_support)).alias("kept_at_own_support"),
         F.count_if(F.col("exercised") == 0).alias("never_exercised"),
-        F.round(F.sum("violated") / F.nullif(F.sum("exercised"), F.lit(0)), 6).alias("failed_share"),
     )
+    return counts.crossJoin(judged.select(F.round("share", 6).alias("failed_share")))  # one row each
 
 
 def align(rules: DataFrame, clauses: DataFrame) -> DataFrame:
     """rule, scope, clause, kind: exact, general (says less of when) or proposed (a person must look).
 
-    rules: id, scope, pattern, subject, guards, fact, value (of a single condition or null). Same subject and, for precedence, guard
-    are required; the same fact with another value is no pair. A general rule found at every scope of its subject is exact.
+    rules: id, scope, pattern, subject, guards, fact, value (of a single condition or null). The plain precedence patterns and those on
+    the same object meet precedence clauses of their subject and guard; at-most-one rules those of their subject. A rule without condition
+    is exact for a clause without one, and where the clauses of its pair name as many values as all precedence clauses of its subject.
+    A rule of another value of the clause's fact is no pair for precedence, and proposed for at-most-one.
     """
     pair = rules.select(F.col("id").alias("rule"), "scope", "pattern", "subject", F.explode_outer("guards").alias("guard"), F.size("guards").alias("guards"), F.col("fact").alias("rule_fact"), F.col("value").alias("rule_value"))
     terms = clauses.where("expressible").select(F.col("id").alias("clause"), "shape", F.col("subject").alias("clause_subject"), F.col("guard").alias("clause_guard"), "fact", "value")
+    order = terms.where("shape = 'precedence'")
+    values = F.countDistinct(F.when(F.col("fact").isNotNull(), F.col("value")))
+    of_pair = order.groupBy("clause_subject", "clause_guard").agg(values.alias("pair_values"))
+    of_subject = order.groupBy("clause_subject").agg(values.alias("subject_values"))
+    terms = terms.join(of_pair, ["clause_subject", "clause_guard"], "left").join(of_subject, "clause_subject", "left")
     same = (F.col("subject") == F.col("clause_subject")) & (
-        (F.col("pattern") == ONCE) & (F.col("shape") == "at-most-one") | F.col("pattern").isin(IMPLIES, WITHOUT, EXACTLY, SAME) & (F.col("shape") == "precedence") & (F.col("guard") == F.col("clause_guard"))
+        (F.col("pattern") == ONCE) & (F.col("shape") == "at-most-one") | F.col("pattern").isin(IMPLIES, WITHOUT, SAME) & (F.col("shape") == "precedence") & (F.col("guard") == F.col("clause_guard"))
     )
-    met = pair.join(F.broadcast(terms), same)
-    everywhere = rules.groupBy("subject").agg(F.countDistinct("scope").alias("scopes"))
-    covered = met.groupBy("clause", "subject").agg(F.countDistinct("scope").alias("found_at"))
-    met = met.join(everywhere, "subject").join(covered, ["clause", "subject"])
-    alike = (F.col("rule_fact") == F.col("fact")) & (F.col("rule_value") == F.col("value"))
-    other = (F.col("rule_fact") == F.col("fact")) & (F.col("rule_value") != F.col("value"))
-    plain = F.col("rule_fact").isNull()
+    met = pair.join(F.broadcast(terms), same)  # clauses are as many as people wrote
+    alike = F.coalesce((F.col("rule_fact") == F.col("fact")) & (F.col("rule_value") == F.col("value")), F.lit(False))
+    several = (F.col("pattern") == SAME) & (F.col("guards") > 1)
+    other = F.coalesce(F.col("rule_fact") == F.col("fact"), F.lit(False)) & ~alike & (F.col("pattern") != ONCE) & ~several
+    covers = (F.col("pattern") != ONCE) & (F.col("pair_values") > 0) & (F.col("pair_values") == F.col("subject_values"))
     kind = (
-        F.when((F.col("pattern") == SAME) & (F.col("guards") > 1), "proposed")
-        .when(plain & (F.col("fact").isNull() | ((F.col("pattern") != ONCE) & (F.col("scopes") == F.col("found_at")))), "exact")
-        .when(plain, "general")
+        F.when(several, "proposed")
+        .when(F.col("rule_fact").isNull(), F.when(F.col("fact").isNull() | covers, "exact").otherwise("general"))
         .when(alike, "exact")
         .otherwise("proposed")
     )
-    return met.where(~F.coalesce(other, F.lit(False))).select("rule", "scope", "clause", kind.alias("kind")).distinct()
+    return met.where(~other).select("rule", "scope", "clause", kind.alias("kind")).distinct()
 
 
 def strength(kind: Column) -> Column:
@@ -73,7 +83,7 @@ def strength(kind: Column) -> Column:
 
 
 def metrics(rules: DataFrame, refused: DataFrame, clauses: DataFrame, alignments: DataFrame) -> DataFrame:
-    """One row: rules, aligned exactly, aligned, and clauses recovered, strictly and leniently; refused ones no clause wants."""
+    """One row: rules, aligned exactly, aligned, and clauses recovered, strictly and leniently; refused ones that no clause states as they are."""
     best = rules.select(F.col("id").alias("rule"), "scope").join(alignments, ["rule", "scope"], "left").groupBy("rule", "scope").agg(F.max(strength(F.col("kind"))).alias("best"))
     ours = best.agg(F.count("*").alias("rules"), F.count_if(F.col("best") == 3).alias("strict"), F.count_if(F.col("best") >= 2).alias("lenient"), F.count_if(F.col("best") == 1).alias("to_confirm"), F.count_if(F.col("best") == 0).alias("unaligned"))
     firm = alignments.join(rules.select(F.col("id").alias("rule"), "scope"), ["rule", "scope"], "left_semi")
@@ -81,7 +91,7 @@ def metrics(rules: DataFrame, refused: DataFrame, clauses: DataFrame, alignments
     theirs = clauses.where("expressible").select(F.col("id").alias("clause"), "adjacent").join(recovered, "clause", "left").agg(
         F.count("*").alias("clauses"), F.count_if(F.col("best") == 3).alias("recalled_strict"), F.count_if(F.col("best") >= 2).alias("recalled_lenient"), F.count_if((F.col("best") >= 2) & F.col("adjacent")).alias("recalled_adjacent")
     )
-    wrong = refused.select(F.col("id").alias("rule"), "scope").join(alignments.where("kind <> 'proposed'"), ["rule", "scope"], "left_semi").distinct()
+    wrong = refused.select(F.col("id").alias("rule"), "scope").join(alignments.where("kind = 'exact'"), ["rule", "scope"], "left_semi").distinct()
     row = ours.crossJoin(theirs).crossJoin(refused.agg(F.count("*").alias("refused"))).crossJoin(wrong.agg(F.count("*").alias("refused_wrongly")))  # one row each
     ratio = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
     return row.withColumns(
@@ -92,9 +102,9 @@ def metrics(rules: DataFrame, refused: DataFrame, clauses: DataFrame, alignments
 
 def gate(measured: DataFrame) -> DataFrame:
     """measured with gate. Targets 0.7, 0.5, 0.8; below 0.4 precision, or refusal at chance 0.5, is falsified."""
-    precision, recall, refusal = F.col("precision_lenient"), F.col("recall_lenient"), F.col("refusal_correct")
+    precision, recall, refusal = F.col("precision_lenient"), F.coalesce("recall_lenient", F.lit(0.0)), F.col("refusal_correct")
     verdict = (
-        F.when(precision.isNull() | recall.isNull(), "unmeasured")
+        F.when(precision.isNull(), "unmeasured")
         .when((precision < 0.4) | (refusal <= 0.5), "falsified")
         .when((precision >= 0.7) & (recall >= 0.5) & (F.coalesce(refusal, F.lit(1.0)) >= 0.8), "target")
         .otherwise("between")
@@ -103,17 +113,17 @@ def gate(measured: DataFrame) -> DataFrame:
 
 
 def gold_report(gold: DataFrame, alignments: DataFrame) -> DataFrame:
-    """One row: pairs, double-rated, agreed, matcher agreement with the majority (a tie confirms), missed pairs.
+    """One row: pairs, double-rated, agreed, matcher agreement with the majority (a tie confirms), pairs the matcher never proposed.
 
     gold: rule, clause, verdict (confirmed, rejected), rater.
     """
     said = gold.groupBy("rule", "clause").agg(F.countDistinct("rater").alias("raters"), F.countDistinct("verdict").alias("verdicts"), F.count_if(F.col("verdict") == "confirmed").alias("yes"), F.count("*").alias("all"))
-    paired = alignments.where("kind <> 'proposed'").select("rule", "clause").distinct().withColumn("matched", F.lit(True))
+    paired = alignments.select("rule", "clause").distinct().withColumn("matched", F.lit(True))
     rows = said.join(paired, ["rule", "clause"], "left").withColumn("confirmed", F.col("yes") * 2 >= F.col("all"))
     matched = F.coalesce("matched", F.lit(False))
     return rows.agg(
         F.count("*").alias("pairs"), F.count_if(F.col("raters") > 1).alias("double_rated"), F.count_if((F.col("raters") > 1) & (F.col("verdicts") == 1)).alias("raters_agree"),
-        F.count_if(matched == F.col("confirmed")).alias("matcher_agrees"), F.count_if(F.col("confirmed") & ~matched).alias("missed"),
+        F.count_if(matched == F.col("confirmed")).alias("matcher_agrees"), F.count_if(~matched).alias("missed"),
     )
 
 

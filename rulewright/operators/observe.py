@@ -41,7 +41,7 @@ def calls(found: DataFrame, budget: int | None = None) -> DataFrame:
 
 def pattern_observer(text: Column, pattern: Column) -> Column:
     """1 where the predicate's pattern is met, with 0.6 for half-matches of its first word, else 0.05."""
-    word = F.regexp_extract(pattern, r"\w+", 0)
+    word = F.regexp_extract(F.regexp_replace(pattern, r"\\[a-zA-Z]", " "), r"\w+", 0)  # \b and the like are no letters
     return F.when(F.regexp_like(text, pattern), 0.97).when((word != "") & F.contains(F.lower(text), F.lower(word)), 0.6).otherwise(0.05)
 
 

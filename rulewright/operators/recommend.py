@@ -54,22 +54,25 @@ def subsets(rows: DataFrame) -> DataFrame:
 def recommend(points: DataFrame, recommendable: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
     """(rules, withheld): operator, node, items, conditions, action, matched, selected, good, judged; and operator, action, candidates.
 
-    Shortest first: a node under which an action reaches its floor is explained and not extended, and nodes with an explained
-    part are left out. A longer one must beat each part by recommend_gain. Actions that may not be recommended explain all
+    Shortest first: a node under which an action reaches its floor is explained, and a node is visited only as an extension of
+    one that was visited, had no explained part and explained nothing. Parts that weren't visited are measured all the same. A longer one must beat each part by recommend_gain. Actions that may not be recommended explain all
     the same, but are withheld and counted. recommendable: action, may.
     """
     items = items_of(points, t)
     having = points.select("operator", "point", "action", "good", F.explode("facts").alias("fact", "value")).join(F.broadcast(items), ["operator", "fact", "value"])
     having = written(having.select("operator", "point", "action", "good", "item", "fact"))
     members = having.select("operator", F.col("item").cast("string").alias("node"), F.array("item").alias("items"), "point", "action", "good")
-    rules, known, explained = None, None, None
+    rules, known, explained, going_on = None, None, None, None
     for length in range(1, t.antecedent_max_length + 1):
         found = written(agreements(members).where(F.col("selected") >= t.min_instances))
         known = found if known is None else known.unionByName(found)
         live = found
+        if going_on is not None:
+            start = found.withColumn("sub", node_key(F.slice("items", 1, length - 1)))
+            live = start.join(going_on, ["operator", "sub"], "left_semi").drop("sub")
         if explained is not None:
             dead = subsets(found.select("operator", "node", "items").distinct()).join(explained, ["operator", "sub"], "left_semi").select("operator", "node").distinct()
-            live = found.join(dead, ["operator", "node"], "left_anti")
+            live = live.join(dead, ["operator", "node"], "left_anti")
         clears = live.where((F.col("matched") / F.col("selected") >= t.recommend_agreement) & (F.col("matched") >= floor_of(length, t)))
         fresh = clears
         if length > 1:
@@ -79,6 +82,7 @@ def recommend(points: DataFrame, recommendable: DataFrame, t: Thresholds = Thres
             fresh = clears.join(beaten.select("operator", "node", "action").distinct(), ["operator", "node", "action"], "left_anti")
         rules = fresh if rules is None else rules.unionByName(fresh)
         done = clears.select("operator", F.col("node").alias("sub")).distinct()
+        going_on = live.select("operator", F.col("node").alias("sub")).distinct().join(done, ["operator", "sub"], "left_anti")
         explained = done if explained is None else explained.unionByName(done)
         if length < t.antecedent_max_length:
             nodes = members.select("operator", "node", "items", "point", "action", "good")

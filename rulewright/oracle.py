@@ -190,11 +190,13 @@ k AS (
   SELECT 'c1' AS clause, {earlier('interaction', "'action:AF'")} AS ok FROM inst i WHERE subject = 'action:RF'
   UNION ALL SELECT 'c3', {earlier('episode', "'action:RF'")} FROM inst i WHERE subject = 'action:AF'
   UNION ALL SELECT 'c4', {earlier('interaction', "'action:NO'")} FROM inst i WHERE subject = 'action:RF' AND intent = 'intent:1-URGENT'
+  UNION ALL SELECT 'c6', {earlier('interaction', "'action:NO'")} FROM inst i WHERE subject = 'action:RF' AND intent = 'intent:2-HIGH'
+  UNION ALL SELECT 'c7', {earlier('interaction', "'action:AF'")} FROM inst i WHERE subject = 'action:RF' AND intent = 'intent:1-URGENT'
   UNION ALL SELECT 'c2', count(*) <= 1 FROM inst WHERE subject = 'action:RF' GROUP BY interaction, episode),
 ex AS (SELECT clause, count(*) AS exercised, count(*) FILTER (NOT ok) AS violated, count(*) FILTER (ok) AS kept FROM k GROUP BY clause)"""
 CONTROLS = f"""{EXERCISE}
-SELECT count(*) FILTER (violated > 0) AS violated_at_least_once, count(*) FILTER (kept / exercised >= 0.6) AS kept_at_own_support,
-  4 - count(*) AS never_exercised, round(sum(violated) / sum(exercised), 6) AS failed_share FROM ex"""
+SELECT count(*) FILTER (violated > 0) AS violated_at_least_once, count(*) FILTER (exercised >= 5 AND kept / exercised >= 0.6) AS kept_at_own_support, 6 - count(*) AS never_exercised,
+  (SELECT round(count(*) FILTER (outcome <> 'resolved') / nullif(count(outcome), 0), 6) FROM (SELECT DISTINCT episode, outcome FROM ev)) AS failed_share FROM ex"""
 POLICY = f"""{EXERCISE}{PAIRS},
 c AS (
   SELECT operator, 'X-implies-prior-Y' AS pattern, subject, p.guard AS guards, {earlier('episode')} AS ok FROM inst i JOIN pairs p USING (subject)
@@ -204,17 +206,18 @@ sup AS (SELECT operator, pattern, subject, guards, {RATIO} FROM c GROUP BY opera
 pr AS (
   SELECT CASE WHEN guards = '' THEN operator || '/' || pattern || '/' || subject || '/' ELSE operator || '/' || pattern || '/' || subject || '/' || guards END AS id,
     operator AS scope, pattern, subject, guards, holds / "of" >= 0.3 AS good FROM sup),
-cl(clause, shape, subject, guard, plain) AS (VALUES ('c1', 'p', 'action:RF', 'action:AF', TRUE), ('c2', 'o', 'action:RF', '', TRUE), ('c3', 'p', 'action:AF', 'action:RF', TRUE), ('c4', 'p', 'action:RF', 'action:NO', FALSE))"""
+cl(clause, shape, subject, guard, flow) AS (VALUES ('c1', 'p', 'action:RF', 'action:AF', NULL), ('c2', 'o', 'action:RF', '', NULL), ('c3', 'p', 'action:AF', 'action:RF', NULL),
+  ('c4', 'p', 'action:RF', 'action:NO', 'intent:1-URGENT'), ('c6', 'p', 'action:RF', 'action:NO', 'intent:2-HIGH'), ('c7', 'p', 'action:RF', 'action:AF', 'intent:1-URGENT'))"""
 
 
 def aligned(which: str, name: str = "al") -> str:
-    """Without conditions a rule is exact if the clause has none, or if rules cover every scope of the subject."""
+    """Without conditions a rule is exact for a clause without a flow, or if its pair's clauses name all the flows that clauses of the subject name."""
     return f""",
-{name}_m AS (SELECT r.*, cl.clause, cl.plain FROM ({which}) r JOIN cl ON r.subject = cl.subject AND r.guards = cl.guard AND (r.pattern = 'at-most-one-X') = (cl.shape = 'o')),
 {name} AS (
-  SELECT m.id AS rule, m.scope, m.clause, CASE WHEN m.plain OR (m.pattern <> 'at-most-one-X' AND f.n = s.n) THEN 'exact' ELSE 'general' END AS kind
-  FROM {name}_m m JOIN (SELECT subject, count(DISTINCT scope) AS n FROM ({which}) GROUP BY subject) s USING (subject)
-  JOIN (SELECT clause, count(DISTINCT scope) AS n FROM {name}_m GROUP BY clause) f USING (clause))"""
+  SELECT r.id AS rule, r.scope, cl.clause, CASE WHEN cl.flow IS NULL THEN 'exact' WHEN cl.shape = 'p'
+    AND (SELECT count(DISTINCT c2.flow) FROM cl c2 WHERE c2.shape = 'p' AND c2.subject = cl.subject AND c2.guard = cl.guard)
+      = (SELECT count(DISTINCT c3.flow) FROM cl c3 WHERE c3.shape = 'p' AND c3.subject = cl.subject) THEN 'exact' ELSE 'general' END AS kind
+  FROM ({which}) r JOIN cl ON r.subject = cl.subject AND r.guards = cl.guard AND (r.pattern = 'at-most-one-X') = (cl.shape = 'o'))"""
 
 
 GOOD_RULES, ALL_RULES = aligned("SELECT * FROM pr WHERE good"), aligned("SELECT * FROM pr")
@@ -224,15 +227,15 @@ METRICS = f"""{POLICY}{ALL_RULES},
 best AS (SELECT p.id, p.scope, max(CASE kind WHEN 'exact' THEN 3 WHEN 'general' THEN 2 ELSE 0 END) AS b FROM pr p LEFT JOIN al ON al.rule = p.id WHERE p.good GROUP BY ALL),
 ours AS (SELECT count(*) AS rules, count(*) FILTER (b = 3) AS strict, count(*) FILTER (b >= 2) AS lenient, count(*) FILTER (b = 1) AS to_confirm, count(*) FILTER (b = 0) AS unaligned FROM best),
 rec AS (SELECT clause, max(CASE kind WHEN 'exact' THEN 3 ELSE 2 END) AS b FROM al JOIN pr ON pr.id = al.rule AND pr.good GROUP BY clause),
-theirs AS (SELECT 4 AS clauses, count(*) FILTER (b = 3) AS recalled_strict, count(*) AS recalled_lenient, count(*) FILTER (clause = 'c3') AS recalled_adjacent FROM rec),
-ref AS (SELECT count(*) AS refused, count(DISTINCT al.rule) AS refused_wrongly FROM (SELECT * FROM pr WHERE NOT good) p LEFT JOIN (SELECT DISTINCT rule FROM al) al ON al.rule = p.id),
+theirs AS (SELECT 6 AS clauses, count(*) FILTER (b = 3) AS recalled_strict, count(*) AS recalled_lenient, count(*) FILTER (clause = 'c3') AS recalled_adjacent FROM rec),
+ref AS (SELECT count(*) AS refused, count(DISTINCT al.rule) AS refused_wrongly FROM (SELECT * FROM pr WHERE NOT good) p LEFT JOIN (SELECT DISTINCT rule FROM al WHERE kind = 'exact') al ON al.rule = p.id),
 m AS (
   SELECT *, round(strict / nullif(rules, 0), 6) AS precision_strict, round(lenient / nullif(rules, 0), 6) AS precision_lenient, round(recalled_strict / clauses, 6) AS recall_strict,
     round(recalled_lenient / clauses, 6) AS recall_lenient, round(1 - refused_wrongly / nullif(refused, 0), 6) AS refusal_correct FROM ours, theirs, ref)"""
 GATE = f"""{METRICS}
-SELECT precision_lenient, recall_lenient, refusal_correct, CASE WHEN precision_lenient IS NULL OR recall_lenient IS NULL THEN 'unmeasured'
+SELECT precision_lenient, recall_lenient, refusal_correct, CASE WHEN precision_lenient IS NULL THEN 'unmeasured'
   WHEN precision_lenient < 0.4 OR refusal_correct <= 0.5 THEN 'falsified'
-  WHEN precision_lenient >= 0.7 AND recall_lenient >= 0.5 AND coalesce(refusal_correct, 1) >= 0.8 THEN 'target' ELSE 'between' END AS gate FROM m"""
+  WHEN precision_lenient >= 0.7 AND coalesce(recall_lenient, 0) >= 0.5 AND coalesce(refusal_correct, 1) >= 0.8 THEN 'target' ELSE 'between' END AS gate FROM m"""
 DIFF = f"""{POLICY}{GOOD_RULES}
 SELECT CASE WHEN a.rule IS NOT NULL THEN 'confirmed' ELSE 'tribal' END AS region,
   CASE WHEN a.rule IS NOT NULL THEN 'confirmed' WHEN EXISTS (SELECT 1 FROM cl WHERE cl.guard <> '' AND cl.subject = p.subject AND cl.guard = p.guards) THEN 'extended-beyond-policy' ELSE 'novel' END AS kind, p.id
@@ -241,8 +244,14 @@ UNION ALL SELECT 'gap', CASE WHEN coalesce(exercised, 0) = 0 THEN 'never-exercis
 FROM cl LEFT JOIN ex USING (clause) WHERE cl.clause NOT IN (SELECT clause FROM al)
 UNION ALL SELECT 'inexpressible', 'tone', 'c5'"""
 GOLD = f"""{POLICY}{GOOD_RULES},
-p AS (SELECT DISTINCT rule, clause FROM al)
-SELECT count(*) AS pairs, count(*) AS double_rated, count(*) FILTER (rule NOT LIKE '%ASIA%') AS raters_agree, count(*) AS matcher_agrees, 0 AS missed FROM p"""
+votes AS (
+  SELECT rule, clause, rater, CASE WHEN rater = 'bo' AND rule LIKE '%ASIA%' THEN 'rejected' ELSE 'confirmed' END AS verdict
+  FROM (SELECT DISTINCT rule, clause FROM al UNION ALL SELECT 'a rule nobody mined', 'c1'), (VALUES ('ann'), ('bo')) r(rater)),
+p AS (
+  SELECT rule, clause, count(DISTINCT rater) AS raters, count(DISTINCT verdict) AS verdicts, 2 * count(*) FILTER (verdict = 'confirmed') >= count(*) AS yes FROM votes GROUP BY rule, clause),
+m AS (SELECT p.*, EXISTS (SELECT 1 FROM al WHERE al.rule = p.rule AND al.clause = p.clause) AS matched FROM p)
+SELECT count(*) AS pairs, count(*) FILTER (raters > 1) AS double_rated, count(*) FILTER (raters > 1 AND verdicts = 1) AS raters_agree,
+  count(*) FILTER (matched = yes) AS matcher_agrees, count(*) FILTER (NOT matched) AS missed FROM m"""
 
 SERVED = f"""{ORDERS},
 pt AS (SELECT * FROM inst QUALIFY row_number() OVER (PARTITION BY episode ORDER BY seq) = 1),
@@ -268,7 +277,7 @@ whole AS (
 long_ AS (
   SELECT interaction, episode, seq, regexp_replace(regexp_replace(regexp_replace(raw, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '\+?\d[\d ()-]{7,}\d', '<phone>', 'g'), '\d{4,}', '<digits>', 'g') AS t FROM whole),
 answers AS (
-  SELECT interaction, episode, seq, t, CASE WHEN regexp_matches(t, '\bthe\b') THEN 0.97 WHEN contains(lower(t), 'bthe') THEN 0.6 ELSE 0.05 END AS p FROM clean WHERE length(trim(t)) > 0)"""
+  SELECT interaction, episode, seq, t, CASE WHEN regexp_matches(t, '\bthe\b') THEN 0.97 WHEN contains(lower(t), 'the') THEN 0.6 ELSE 0.05 END AS p FROM clean WHERE length(trim(t)) > 0)"""
 VALUE = "CASE WHEN p >= 0.9 THEN 'true' WHEN p <= 0.1 THEN 'false' END"
 
 LIFECYCLE = """

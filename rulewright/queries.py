@@ -31,6 +31,8 @@ CLAUSES = [
     ("c2", "one open return an order", True, None, "at-most-one", "action:RF", None, "episode", False, None, None),
     ("c3", "acknowledge before closing", True, None, "precedence", "action:AF", "action:RF", "episode", True, None, None),
     ("c4", "urgent orders are settled first", True, None, "precedence", "action:RF", "action:NO", "interaction", False, "episode.intent", "intent:1-URGENT"),
+    ("c6", "high priority is settled first", True, None, "precedence", "action:RF", "action:NO", "interaction", False, "episode.intent", "intent:2-HIGH"),
+    ("c7", "urgent returns were shipped", True, None, "precedence", "action:RF", "action:AF", "interaction", False, "episode.intent", "intent:1-URGENT"),
     ("c5", "be polite", False, "tone", None, None, None, "interaction", False, None, None),
 ]
 
@@ -293,7 +295,8 @@ def clause_exercise(spark, sf_dir):
 
 
 def controls(spark, sf_dir):
-    return evaluate.controls(_exercised(spark, sf_dir))
+    outcomes = order_lines(spark, sf_dir)[0].select("episode", "outcome").distinct()
+    return evaluate.controls(_exercised(spark, sf_dir), outcomes)
 
 
 def _policy_rules(spark, sf_dir):
@@ -327,7 +330,8 @@ def diff_regions(spark, sf_dir):
 
 def gold_report(spark, sf_dir):
     rules = _policy_rules(spark, sf_dir).where("good")
-    pairs = evaluate.align(rules, _clauses(spark)).select("rule", "clause")
+    pairs = evaluate.align(rules, _clauses(spark)).select("rule", "clause").distinct()
+    pairs = pairs.unionByName(spark.createDataFrame([("a rule nobody mined", "c1")], "rule string, clause string"))
     raters = F.explode(F.array(F.lit("ann"), F.lit("bo")))
     gold = pairs.withColumn("rater", raters).withColumn("verdict", F.when((F.col("rater") == "bo") & F.col("rule").contains("ASIA"), "rejected").otherwise("confirmed"))
     return evaluate.gold_report(gold, evaluate.align(rules, _clauses(spark)))
