@@ -163,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxicity:
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int")  # at most 2 * sample rows
     taken = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toPandas()
     taken = taken.sort_values(["doc_id", "text", "toxic"], kind="stable")
+    if not len(taken):  # labels of no document
+        return Toxicity(np.zeros(BUCKETS), 0.0)
     toxic = taken["toxic"].to_numpy(np.float64)
     weight = np.where(toxic == 1, counts[1] / max(1, toxic.sum()), counts[0] / max(1, (1 - toxic).sum()))
     return fit(taken["text"].tolist(), toxic, weight)

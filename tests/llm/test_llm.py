@@ -682,6 +682,12 @@ def test_toxicity(spark, nothing):
 # --- the pipeline
 
 
+def test_toxicity_of_labels_without_documents(spark, nothing):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    model = toxicity.train(nothing, labels)
+    assert toxicity.score(table(spark, corpus()[:3]), model).count() == 3
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
