@@ -16,8 +16,8 @@ from ..schema import Thresholds
 from .instances import ACTOR, KEY, earlier, firsts, slot_firsts, slot_values
 
 IMPLIES, WITHOUT, ONCE, EXACTLY, SAME = "X-implies-prior-Y", "no-X-without-prior-Y", "at-most-one-X", "exactly-one-Y-per-X", "no-X-without-prior-Y-same-S"
-VACUOUS_EPISODE = "vacuous: no episode in the corpus could have violated it"
-VACUOUS_CONTACT = "uninformative: every contact that did this had already done the guard first, so no instance in the corpus could have violated it"
+VACUOUS_EPISODE = "nothing to learn: the corpus has no episode in which this could fail"
+VACUOUS_CONTACT = "nothing to learn: in all contacts with this action the guard was there already"
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,11 @@ class Pattern:
 
 
 PATTERNS = (
-    Pattern(IMPLIES, "episode", False, "implies_support", "Before you {x}, {y} — every time, in the same episode.", "{y} came first every time it mattered", "first_in_episode['{Y}'] < seq"),
-    Pattern(WITHOUT, "interaction", False, "own_support", "Before you {x}, {y} — at some point earlier in the contact.", "the contact had {y} somewhere before it, most of the time", "first_in_contact['{Y}'] < seq"),
-    Pattern(ONCE, "episode", True, "implies_support", "{X} at most once per episode.", "a second {x} in one episode is the shape of a retry that was really a duplicate", "times_in_episode['{X_type}'] <= 1"),
-    Pattern(EXACTLY, "episode", True, "implies_support", "When you {x}, {y} exactly once in that episode — not twice, and not never.", "{y} happened once per episode, never twice", "times_in_episode['{Y}'] = 1"),
-    Pattern(SAME, "interaction", False, "own_support", "Before you {x}, {y} — the same {s}, earlier in the contact.", "the same {s} had been through {y} first, most of the time", "first_on_same_{s}['{Y}'] < seq"),
+    Pattern(IMPLIES, "episode", False, "implies_support", "{X} only after this episode has had: {y}.", "episodes with this action had {y} ahead of it", "first_in_episode['{Y}'] < seq"),
+    Pattern(WITHOUT, "interaction", False, "own_support", "{X} only after the contact, in this episode or an older one, has had: {y}.", "contacts with this action mostly had {y} ahead of it", "first_in_contact['{Y}'] < seq"),
+    Pattern(ONCE, "episode", True, "implies_support", "No episode has this twice: {x}.", "episodes that did this did it one time", "times_in_episode['{X_type}'] <= 1"),
+    Pattern(EXACTLY, "episode", True, "implies_support", "An episode with {x} has {y} one time, neither more nor less.", "episodes with this action counted one {y}", "times_in_episode['{Y}'] = 1"),
+    Pattern(SAME, "interaction", False, "own_support", "{X} only for a {s} that the contact has seen in: {y}.", "mostly the {s} had been in {y} ahead of it", "first_on_same_{s}['{Y}'] < seq"),
 )
 BY_NAME = {p.name: p for p in PATTERNS}
 

@@ -37,14 +37,9 @@ def verdicts(support: DataFrame, t: Thresholds, classify=own) -> DataFrame:
 
 
 def evidence(why: Column) -> Column:
-    """The sentence a rule is offered with."""
-    figures = F.concat(F.col("holds"), F.lit("/"), F.col("of"))
-    where = F.when(F.col("level") == "operator", "").otherwise(F.concat(F.lit(" — for "), "level", F.lit(" "), "scope", F.lit(" only ("), "corpus_holds", F.lit("/"), "corpus_of", F.lit(" across the operator)")))
-    kept = F.when(F.col("holds") == F.col("of"), F.concat(F.lit("never violated ("), figures, F.lit(")"))).otherwise(
-        F.concat(F.lit("held "), "holds", F.lit(" of "), "of", F.lit(" times, and it would have stopped the other "), F.col("of") - F.col("holds"))
-    )
-    return (
-        F.when(F.col("verdict") == "own", F.concat(kept, where, F.lit("; "), why))
-        .when(F.col("verdict") == "borrowed", F.concat(F.size("found_in"), F.lit(" other operator(s) keep this rule; this one does not ("), figures, F.lit(" here)")))
-        .otherwise(F.concat(F.lit("no own evidence anywhere ("), figures, F.lit(" here)")))
-    )
+    """What a reviewer reads beside a rule: its figures, where they are from, and what speaks for it."""
+    counted = F.format_string("kept in %d of %d cases", "holds", "of")
+    narrower = F.when(F.col("level") != "operator", F.format_string(" of %s %s; in all of the operator %d of %d", "level", "scope", "corpus_holds", "corpus_of"))
+    others = F.format_string("seen at %d more operator(s), here ", F.size("found_in"))
+    own = F.concat(counted, F.coalesce(narrower, F.lit("")), F.lit(": "), why)
+    return F.when(F.col("verdict") == "own", own).when(F.col("verdict") == "borrowed", F.concat(others, counted)).otherwise(F.concat(F.lit("seen at no operator, here "), counted))

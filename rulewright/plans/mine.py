@@ -88,7 +88,7 @@ def mine(events: DataFrame, alphabet: DataFrame, t: Thresholds = Thresholds(), f
     status = F.when(vacuous, "suppressed").when(F.col("verdict") == "neither", "refused").otherwise("proposed")
     rules = identified(rules).withColumns({"status": status, "reason": F.when(vacuous, VACUOUS_EPISODE)})
     rules = settle(rules)
-    when = F.when(F.size("conditions") > 0, F.concat(F.regexp_replace(by_template("text"), r"\.$", ""), F.lit(" — when "), condition_text(), F.lit("."))).otherwise(by_template("text"))
+    when = F.concat(F.when(F.size("conditions") > 0, F.concat(F.lit("Where "), condition_text(), F.lit(": "))).otherwise(""), by_template("text"))
     rules = rules.withColumns({"text": when, "why": by_template("why"), "predicate": by_template("predicate")})
     return rules.withColumn("evidence", evidence(F.col("why")))
 

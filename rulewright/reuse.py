@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not top and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not top:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoint-"))
         top = context.getCheckpointDir()
