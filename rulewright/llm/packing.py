@@ -21,7 +21,7 @@ from .tokens import SLICE, encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32 and, if asked for, ids.
 
     A text's ids (null: none) and end_id are one piece, or several of `capacity` ids if they are more; the last
@@ -30,7 +30,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     ids_type = pa.list_(pa.int64())
 
     def cut(batches):
-        codes = encoder(tokenizer_path)
+        codes = encoder(tokenizer_path, lean)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), codes.encode(batch.column(1).to_pylist())):
@@ -158,6 +158,9 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     return ranked.select(*pieces.columns, "rank").mapInArrow(trimmed(place), schema)
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Every document's pieces, packed."""
-    return pack(written(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
+def packed_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, lean: bool = False) -> DataFrame:
+    """Every document's pieces, packed: see token_pieces for null, empty and repeated rows, and pack for empty tables.
+
+    lean: with less memory a task, and more time, for executors whose heap other steps have filled.
+    """
+    return pack(written(token_pieces(docs, tokenizer_path, capacity, end_id, lean=lean)), capacity)

@@ -12,19 +12,20 @@ from itertools import chain
 import numpy as np
 
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
-KEPT_WORDS, KEPT_PARTS = 250_000, 400_000
+KEPT_WORDS, KEPT_PARTS = 500_000, 750_000
 #: Documents whose ids a task holds at once.
 SLICE = 400
 #: The one letter that, in lower case, is a letter and a mark; and the one whose lower case depends on its place.
 DOTTED, SIGMA = "\u0130", "\u03a3"
 #: Characters of texts whose ids are made at once.
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 1_500_000
 
 
 class WordEncoder:
     """encode(texts) gives an array of ids for each text, as the library does with add_special_tokens=False."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
+        """lean: less is held at once, in half the memory and more time."""
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -32,6 +33,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.share = 2 if lean else 1
         self.reset()
 
     def reset(self) -> None:
@@ -93,15 +95,15 @@ class WordEncoder:
         for text in texts:
             chunk.append(text.replace("\n", " ") if text else "")
             chars += len(chunk[-1])
-            if chars > CHUNK_CHARS:
+            if chars > CHUNK_CHARS // self.share:
                 out += self._encode(chunk)
                 chunk, chars = [], 0
         return out + self._encode(chunk) if chunk else out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > KEPT_PARTS:
+        if len(self.parts) > KEPT_PARTS // self.share:
             self.reset()
-        elif len(self.words) > KEPT_WORDS:
+        elif len(self.words) > KEPT_WORDS // self.share:
             self.words.clear()
         words = " ".join(texts).split(" ")
         known = list(map(self.words.get, words))
@@ -119,14 +121,14 @@ class WordEncoder:
         return np.split(ids, ends[last][:-1])
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, lean: bool = False) -> WordEncoder:
     """The worker's own encoder of this file, kept for its next task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, lean) not in _encoders:
+        _encoders[path, lean] = WordEncoder(path, lean)
+    return _encoders[path, lean]
 
 
 def forget() -> None:
