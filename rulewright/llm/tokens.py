@@ -40,7 +40,7 @@ class WordEncoder:
         #: A word is two parts, letters and the marks after them: their numbers, the second in the upper 32 bits.
         self.words: dict[str, int] = {}
         self.parts: dict[str, int] = {"": 0}
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def learn(self, words: list[str]) -> None:
         """Marks after letters are tokens of their own, and the tokenizer lowers letters: so are parts met again."""
@@ -73,19 +73,19 @@ class WordEncoder:
         first = len(self.start)
         letters = np.fromiter((p.isalpha() and DOTTED not in p for p in unseen), bool, len(unseen))
         words = [p for p, is_word in zip(unseen, letters) if is_word]
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(words):  # a letter to one library and none to the other
             letters[:], ids, ends = False, ids[:0], ends[:0]
         rest = [p for p, is_word in zip(unseen, letters) if not is_word]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        start, length = np.zeros(len(unseen), np.int64), np.zeros(len(unseen), np.int64)
+        start, length = np.zeros(len(unseen), np.int32), np.zeros(len(unseen), np.int32)
         length[letters] = np.diff(ends, prepend=0)
         start[letters] = ends - length[letters]
         length[~letters] = list(map(len, found))
         start[~letters] = len(ids) + np.cumsum(length[~letters]) - length[~letters]
         more = np.fromiter(chain.from_iterable(found), np.uint32, int(length[~letters].sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + start])
+        self.start = np.concatenate([self.start, np.int32(len(self.flat)) + start])
         self.length = np.concatenate([self.length, length])
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32), more])
         assert len(self.start) == first + len(unseen) == len(self.parts)
@@ -112,11 +112,10 @@ class WordEncoder:
             self.learn(list(dict.fromkeys([words[i] for i in missing])))
             for i in missing:
                 known[i] = self.words[words[i]]
-        both = np.array(known, np.int64)
-        numbers = np.stack([both & 0xFFFFFFFF, both >> 32], 1).ravel()
+        numbers = np.array(known, "<i8").view("<u4")  # both parts of each word, in order
         length = self.length[numbers]
-        ends = np.cumsum(length)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + length, length)]
+        ends = np.cumsum(length, dtype=np.int32)  # a chunk's ids are far fewer than 2 ** 31
+        ids = self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.start[numbers] - ends + length, length)]
         last = 2 * np.cumsum([t.count(" ") + 1 for t in texts]) - 1  # each text's last part
         return np.split(ids, ends[last][:-1])
 
