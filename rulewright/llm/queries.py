@@ -87,6 +87,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
@@ -137,7 +144,39 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone,
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
-SQL = {"op3_exact_top_k": OP3_SQL, "op5_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+#: The 256 entries of CRC-32's table follow from its polynomial; each distinct n-gram's bytes are folded once.
+OP11_SQL = r"""
+WITH crc AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))),
+texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT TRUE AS d, doc_id, text FROM documents UNION ALL SELECT FALSE, item_id, text FROM benchmark)),
+placed AS (
+  SELECT r, d, w AS w1, lead(w, 1) OVER (PARTITION BY r ORDER BY i) AS w2, lead(w, 2) OVER (PARTITION BY r ORDER BY i) AS w3
+  FROM (SELECT r, d, unnest(w) AS w, unnest(range(len(w))) AS i FROM texts)),
+grams AS MATERIALIZED (
+  SELECT r, d, w1 AS g, count(*) AS n FROM placed GROUP BY ALL
+  UNION ALL SELECT r, d, w1 || ' ' || w2, count(*) FROM placed WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT r, d, w1 || ' ' || w2 || ' ' || w3, count(*) FROM placed WHERE w3 IS NOT NULL GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length(h) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g, hex(g) AS h FROM grams), crc),
+counts AS (SELECT b, sum(n) FILTER (d) AS s, sum(n) FILTER (NOT d) AS t FROM grams JOIN buckets USING (g) GROUP BY b),
+totals AS (SELECT CAST(sum(s) AS DOUBLE) AS ss, CAST(coalesce(sum(t), 0) AS DOUBLE) AS tt FROM counts),
+gains AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (ss + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM counts, totals),
+weights AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM grams JOIN buckets USING (g) JOIN gains USING (b) WHERE d GROUP BY r),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (r) WHERE d),
+ranked AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id NULLS LAST, n_features) AS rank, 5 * sum(able::INT) OVER () // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND rank <= most THEN rank END AS rank FROM ranked
+"""
+
+SQL = {"op11_importance_resampling": OP11_SQL, "op3_exact_top_k": OP3_SQL, "op5_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
