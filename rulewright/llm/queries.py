@@ -94,6 +94,19 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    found = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dialogue import conversation_reports
+
+    return conversation_reports(table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS x FROM embeddings
@@ -144,12 +157,16 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone,
 FROM words w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
 
-#: The 256 entries of CRC-32's table follow from its polynomial; each distinct n-gram's bytes are folded once.
-OP11_SQL = r"""
-WITH crc AS MATERIALIZED (
+#: The 256 entries of CRC-32's table follow from its polynomial.
+CRC_SQL = """crc AS MATERIALIZED (
   SELECT list(c ORDER BY b) AS t FROM (
     SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), [CAST(k AS BIGINT) FOR k IN range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM (SELECT unnest(range(256)) AS b))),
+    FROM (SELECT unnest(range(256)) AS b))),"""
+
+OP11_SQL = (
+    "WITH "
+    + CRC_SQL
+    + r"""
 texts AS MATERIALIZED (
   SELECT row_number() OVER () AS r, d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM (SELECT TRUE AS d, doc_id, text FROM documents UNION ALL SELECT FALSE, item_id, text FROM benchmark)),
@@ -175,8 +192,90 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id NULLS LAST, n_features) AS rank, 5 * sum(able::INT) OVER () // 100 AS most FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND rank <= most THEN rank END AS rank FROM ranked
 """
+)
+
+OP12_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+trusted AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+placed AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM docs),
+windows AS MATERIALIZED (
+  SELECT r, i, win FROM (
+    SELECT r, i, w || ' ' || lead(w, 1) OVER p || ' ' || lead(w, 2) OVER p || ' ' || lead(w, 3) OVER p || ' ' || lead(w, 4) OVER p AS win
+    FROM placed WINDOW p AS (PARTITION BY r ORDER BY i)) WHERE win IS NOT NULL),
+again AS (SELECT r, win FROM windows GROUP BY r, win HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM windows JOIN again USING (r, win), (SELECT unnest(range(5)) AS k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+chars AS (SELECT r, doc_id, unnest(c) AS c, unnest(range(len(c))) AS i FROM (SELECT r, doc_id, regexp_extract_all(text, '(?s).') AS c FROM docs)),
+grams AS (SELECT r, doc_id, c || lead(c, 1) OVER p || lead(c, 2) OVER p AS g FROM chars WINDOW p AS (PARTITION BY r ORDER BY i)),
+counted AS MATERIALIZED (SELECT r, doc_id, g, count(*) AS n FROM grams WHERE g IS NOT NULL GROUP BY ALL),
+buckets AS (
+  SELECT g, (unicode(g) * 1000006000009 + unicode(substr(g, 2, 1)) * 1000003 + unicode(substr(g, 3, 1))) % 65521 AS b FROM (SELECT DISTINCT g FROM counted)),
+counts AS (
+  SELECT b, CAST(sum(n) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (doc_id IN (SELECT doc_id FROM trusted)), 0) AS DOUBLE) AS t FROM counted JOIN buckets USING (g) GROUP BY b),
+totals AS (SELECT sum(s) AS ss, sum(t) AS tt FROM counts),
+gains AS (SELECT b, CASE WHEN tt > 0 THEN CAST(floor(1000000 * ln((t + 1) * (ss + 65521) / ((s + 1) * (tt + 65521)))) AS BIGINT) ELSE 0 END AS gain FROM counts, totals),
+scores AS (SELECT r, sum(n * gain) AS gain, sum(n) AS n FROM counted JOIN buckets USING (g) JOIN gains USING (b) GROUP BY r),
+found AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(dups.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words, coalesce(gain, 0) >= -50000 * coalesce(scores.n, 0) AS good
+  FROM docs LEFT JOIN dups USING (r) LEFT JOIN covered USING (r) LEFT JOIN scores USING (r))
+SELECT * EXCLUDE (good), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, good AND NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS kept FROM found
+"""
+
+#: States are 1 to 4 here: nothing yet, after a system turn, after a user's, after an assistant's.
+OP13_SQL = (
+    "WITH RECURSIVE "
+    + CRC_SQL
+    + r"""
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) FOR k IN range(length(h) // 2)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM (SELECT *, hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS h FROM conversations), crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM kinds WHERE kind <> 0)),
+ordered AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+faults AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial,
+    lag(CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END) OVER (PARTITION BY c ORDER BY i) AS earlier
+  FROM ordered),
+back AS (
+  SELECT DISTINCT c, n + 1 AS i, [0, 6, 3, 0] AS v FROM faults
+  UNION ALL
+  SELECT c, i, [least(w[1], 3 + w[3], 6 + w[4]), least(w[2], 3 + w[3], 6 + w[4]), least(w[3], 3 + w[4]), least(w[4], 3 + w[3])] FROM (
+    SELECT f.c, f.i, [least(4 + v[s], CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END + least(3 + v[CASE WHEN s = 3 THEN 4 ELSE 3 END],
+        CASE WHEN initial = 's' AND s = 1 THEN v[2] WHEN initial = 'u' AND s <> 3 THEN v[3] WHEN initial = 'a' AND s = 3 THEN v[4] ELSE 1000000000 END) END) FOR s IN [1, 2, 3, 4]] AS w
+    FROM back b JOIN faults f ON f.c = b.c AND f.i = b.i - 1)),
+steps AS MATERIALIZED (
+  SELECT b.c, b.i, b.v, coalesce(a.v, [0, 0, 0, 0]) AS after, fault, initial, role, text, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS pen
+  FROM back b LEFT JOIN back a ON a.c = b.c AND a.i = b.i + 1 LEFT JOIN faults f ON f.c = b.c AND f.i = b.i),
+walk AS (
+  SELECT c, CAST(1 AS BIGINT) AS i, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS lines, CAST(0 AS BIGINT) AS cost FROM (SELECT DISTINCT c FROM faults)
+  UNION ALL
+  SELECT c, i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND initial = 's' THEN 2 WHEN s = 3 THEN 4 ELSE 3 END, audit || e,
+    CASE WHEN e = 'D' THEN lines ELSE list_append(lines, CASE WHEN e = 'K' THEN role WHEN s = 3 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END) END,
+    cost + CASE e WHEN 'D' THEN 4 WHEN 'I' THEN 3 WHEN 'K' THEN pen ELSE 3 + pen END
+  FROM (
+    SELECT w.*, d.initial, d.role, d.text, d.pen,
+      CASE WHEN d.fault IS NOT NULL AND 4 + after[s] = v[s] THEN 'D' WHEN 3 + v[CASE WHEN s = 3 THEN 4 ELSE 3 END] = v[s] THEN 'I'
+        WHEN pen + CASE WHEN initial = 's' AND s = 1 THEN after[2] WHEN initial = 'u' AND s <> 3 THEN after[3] WHEN initial = 'a' AND s = 3 THEN after[4] ELSE 1000000000 END = v[s] THEN 'K' ELSE 'R' END AS e
+    FROM walk w JOIN steps d ON d.c = w.c AND d.i = w.i WHERE d.fault IS NOT NULL OR s IN (2, 3))),
+ended AS (SELECT c, max_by(audit, length(audit)) AS audit, max_by(lines, length(audit)) AS lines, max_by(cost, length(audit)) AS cost FROM walk GROUP BY c),
+sums AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY c)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN (sums JOIN ended USING (c)) x ON x.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
+)
 
-SQL = {"op11_importance_resampling": OP11_SQL, "op3_exact_top_k": OP3_SQL, "op5_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+SQL = {"op13_conversation_repair": OP13_SQL, "op12_quality_rules": OP12_SQL, "op11_importance_resampling": OP11_SQL, "op3_exact_top_k": OP3_SQL, "op5_mixing": OP5_SQL, "op7_substring_dedup": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
