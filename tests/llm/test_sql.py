@@ -26,4 +26,4 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {n.split("_")[0] for n in names} >= {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names} >= {f"op{k}" for k in range(1, 14)} and "pipeline" in names
