@@ -47,12 +47,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return known.select("source", "source_size", "weight", target.alias("target"))
 
 
-def sampling_key(doc_id: Column, quality: Column, seed: int) -> Column:
+def sampling_key(doc_id: Column, text: Column, quality: Column, seed: int) -> Column:
     """Efraimidis and Spirakis: the smallest of exponential variates divided by weights are a weighted sample.
 
-    The variate comes from an md5 of seed and doc_id, so that it is the same in every run.
+    The variate comes from an md5 of seed and doc_id, or of the text where there is none, so that it is the same in every run.
     """
-    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12)
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), name)), 1, 12)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
     return -F.log(uniform) / quality
 
@@ -62,16 +63,16 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, most
 
     A source gets as many complete epochs as its target holds. What is left of the target is filled by documents
     in the order of their keys, each whole: those whose middle lies before the end of the budget. Rows without
-    words take nothing. Null sources are a source; repeated rows have the same key and follow one another, each
-    counted for itself; an empty table gives an empty one; other columns of docs play no part. row: a column of docs
+    words take nothing. Null sources are a source; rows without doc_id are told apart by their text; repeated rows have the same key and
+    follow one another, each counted for itself; an empty table gives an empty one; other columns of docs play no part. row: a column of docs
     that tells its rows apart, returned as `row`.
     """
     text, own = F.col("text"), [F.col(row).alias("row")] if row else []
     rows = written(
-        docs.select(*own, "doc_id", "source", word_count(text).alias("size"), sampling_key(F.col("doc_id"), text_quality(text), seed).alias("key"))
+        docs.select(*own, "doc_id", "source", word_count(text).alias("size"), sampling_key(F.col("doc_id"), text, text_quality(text), seed).alias("key"), F.xxhash64("text").alias("content"))
     )
     plan = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    total = running_totals(rows, [F.col("source").asc_nulls_last(), "key", "doc_id", "size", *(["row"] if row else [])], "size")
+    total = running_totals(rows, [F.col("source").asc_nulls_last(), "key", "doc_id", "size", "content", *(["row"] if row else [])], "size")
     earlier = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     plan = plan.withColumn("first", F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))
     plan = plan.withColumnRenamed("source", "name")

@@ -215,7 +215,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         if shards:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*shards)], names=["shard", "documents", "ids"])
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, are told apart, so that they too are dealt over many tasks
+    order = ["doc_id", "content", "place"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("content"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     rows.mapInArrow(trimmed(write), "shard string, documents long, ids long").agg(F.sum("documents")).collect()  # one number
     return folder
 
