@@ -291,7 +291,30 @@ k AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN now IS NULL THEN CASE
 SELECT id, scope, coalesce(h2, h1) AS holds, coalesce(n2, n1) AS "of", CASE change WHEN 'retired' THEN 'retired' WHEN 'reproposed' THEN 'proposed' WHEN 'kept' THEN was WHEN 'removed' THEN was ELSE now END AS status,
   CASE WHEN change = 'retired' AND now IS NULL THEN 'not mined by run r2' WHEN change = 'retired' THEN 'support is gone in run r2' WHEN change = 'reproposed' THEN 'support changed in run r2' ELSE '' END AS reason, change FROM k"""
 
+STORE = """
+WITH x AS (SELECT o_orderpriority AS id, o_orderstatus AS scope, o_orderkey, o_orderkey % 2 AS half, o_totalprice > 200000 AS kept FROM orders),
+a AS (
+  SELECT id, scope, count(*) FILTER (kept) AS h, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey = first) AS proof,
+    CASE WHEN id = '1-URGENT' THEN 'real' WHEN id = '2-HIGH' THEN 'not_real' WHEN id = '3-MEDIUM' AND scope = 'F' THEN 'narrowed' WHEN id = '5-LOW' THEN 'refused' ELSE 'proposed' END AS was
+  FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY id, scope, half) AS first FROM x) WHERE half = 0 GROUP BY ALL),
+b AS (
+  SELECT id, scope, count(*) FILTER (kept) AS h, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey = first) AS proof, CASE WHEN scope = 'O' THEN 'refused' ELSE 'proposed' END AS now
+  FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY id, scope, half) AS first FROM x) WHERE half = 1 AND NOT (id = '5-LOW' AND scope = 'F') AND NOT (id = '4-NOT SPECIFIED' AND scope = 'P') GROUP BY ALL),"""
+
 SQL = {
+    "rule_store": f"""{STORE}
+j AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.scope, b.scope) AS scope, was, now, a.h AS h1, a.n AS n1, b.h AS h2, b.n AS n2, a.proof AS p1, b.proof AS p2 FROM a FULL JOIN b ON a.id = b.id AND a.scope = b.scope),
+k AS (
+  SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN now IS NULL THEN CASE WHEN was = 'refused' THEN 'removed' ELSE 'retired' END WHEN was = 'real' AND (n2 < 5 OR now = 'refused') THEN 'retired'
+    WHEN was = 'not_real' AND abs(h2 / n2 - h1 / n1) >= 0.1 THEN 'reproposed' WHEN was IN ('real', 'not_real', 'narrowed') THEN 'kept' ELSE 'updated' END AS change FROM j)
+SELECT id, scope, coalesce(h2, h1) AS holds, coalesce(n2, n1) AS "of", CASE change WHEN 'retired' THEN 'retired' WHEN 'reproposed' THEN 'proposed' WHEN 'kept' THEN was ELSE now END AS status, 'r2' AS run,
+  CASE WHEN change = 'retired' AND now IS NULL THEN 'not mined by run r2' WHEN change = 'retired' THEN 'support is gone in run r2' ELSE '' END AS retired_reason,
+  CASE WHEN change = 'reproposed' THEN 'support changed in run r2' ELSE '' END AS reproposed_reason, coalesce(p2, p1) AS proof, CAST(1 AS BIGINT) AS proofs
+FROM k WHERE change <> 'removed'""",
+    "verdict_history": f"""{STORE}
+said AS (SELECT *, id = '3-MEDIUM' AS narrow FROM a WHERE id IN ('1-URGENT', '2-HIGH') OR id = '3-MEDIUM' AND scope = 'F')
+SELECT id, scope, was AS verdict, CASE WHEN id = '2-HIGH' THEN '{{not json' ELSE '' END AS note, CASE WHEN narrow THEN 'episode.intent' ELSE '' END AS fact, CASE WHEN narrow THEN 'intent:x' ELSE '' END AS value,
+  h AS holds, n AS "of", 'ann' AS reviewer FROM said""",
     "audit_counts": f"""{USERS},
 s AS (SELECT subject, count(*) AS n FROM inst GROUP BY ALL)
 SELECT count(DISTINCT interaction) AS interactions, count(*) AS events, count(DISTINCT episode) AS episodes, count(DISTINCT operator) AS operators, count(DISTINCT team) AS teams, 0 AS agents,

@@ -13,8 +13,9 @@ from .operators import advise as serve
 from .operators import audit, diff, evaluate, facts, observe, patterns, provenance, recommend, rulesets, store
 from .operators.instances import KEY, as_of, decision_points, earlier, firsts, instances
 from .plans.mine import identified
-from .reuse import kept, written
+from .reuse import kept, shared_folder, written
 from .schema import Thresholds
+from .sources import rulestore
 from .sources.corpora import conversations, order_lines, table, user_events
 
 #: The test data are near random: precedence shares lie near 0.6, and these thresholds let something through.
@@ -442,6 +443,39 @@ def lifecycle_merge(spark, sf_dir):
     return merged.select("id", "scope", "holds", "of", "status", F.coalesce("reason", F.lit("")).alias("reason"), "change")
 
 
+def _replayed_store(spark, sf_dir):
+    """A store after a run over the orders of even keys, people's verdicts, and a run over those of odd keys."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("id"), F.col("o_orderstatus").alias("scope"), (F.col("o_totalprice") > 200000).alias("kept"))
+    run = lambda half: rows.where(F.col("o_orderkey") % 2 == half).groupBy("id", "scope").agg(F.count_if("kept").alias("holds"), F.count("*").alias("of"), F.min("o_orderkey").cast("string").alias("least"))
+    proof = lambda mined: mined.select("id", "scope", F.lit("c").alias("interaction"), F.col("least").alias("episode"), F.lit(0).alias("seq"), F.lit(True).alias("holds"))
+    rules = rulestore.open_rules(spark, shared_folder(spark))
+    first = written(run(0).withColumns({"status": F.when(F.col("id") == "5-LOW", "refused").otherwise("proposed"), "verdict": F.lit("own")}))
+    rulestore.persist_mined(rules, "orders", "r1", first, proof(first))
+    said = first.where("id in ('1-URGENT', '2-HIGH') or id = '3-MEDIUM' and scope = 'F'").select(
+        "id", F.lit("orders").alias("corpus"), "scope", F.when(F.col("id") == "1-URGENT", "real").when(F.col("id") == "2-HIGH", "not_real").otherwise("narrowed").alias("verdict"),
+        F.when(F.col("id") == "2-HIGH", "{not json").alias("note"), F.when(F.col("id") == "3-MEDIUM", "episode.intent").alias("fact"), F.when(F.col("id") == "3-MEDIUM", "intent:x").alias("value"),
+        F.lit("ann").alias("reviewer"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("at"),
+    )
+    rulestore.record_verdicts(rules, said)
+    second = written(run(1).where("not (id = '5-LOW' and scope = 'F') and not (id = '4-NOT SPECIFIED' and scope = 'P')").withColumn("status", F.when(F.col("scope") == "O", "refused").otherwise("proposed")))
+    rulestore.persist_mined(rules, "orders", "r2", second, proof(second))
+    return rules
+
+
+def rule_store(spark, sf_dir):
+    """What the store says of each rule after both runs, with the number of its evidence rows and the first of them."""
+    rules = _replayed_store(spark, sf_dir)
+    proof = rules.table("evidence").groupBy("id", "scope").agg(F.count("*").alias("proofs"), F.min("episode").alias("proof"))
+    rows = rules.table("rules").join(proof, ["id", "scope"], "left")
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("retired_reason", "reproposed_reason", "proof")]
+    return rows.select("id", "scope", "holds", "of", "status", "run", *text, F.coalesce("proofs", F.lit(0)).alias("proofs"))
+
+
+def verdict_history(spark, sf_dir):
+    rows = rulestore.history(_replayed_store(spark, sf_dir))
+    return rows.select("id", "scope", "verdict", F.coalesce("note", F.lit("")).alias("note"), F.coalesce("condition.fact", F.lit("")).alias("fact"), F.coalesce(F.col("condition.values")[0], F.lit("")).alias("value"), "holds", "of", "reviewer")
+
+
 def review_pace(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id") % 20).alias("reviewer"), F.col("ts").alias("at"))
     return store.pace(rows, 0, 6000).select("reviewer", "gaps", F.round("median_seconds", 3).alias("median_seconds"))
