@@ -82,24 +82,50 @@ def strength(kind: Column) -> Column:
     return F.when(kind == "exact", 3).when(kind == "general", 2).when(kind == "proposed", 1).otherwise(0)
 
 
-def metrics(rules: DataFrame, refused: DataFrame, clauses: DataFrame, alignments: DataFrame) -> DataFrame:
-    """One row: rules, aligned exactly, aligned, and clauses recovered, strictly and leniently; refused ones that no clause states as they are."""
-    best = rules.select(F.col("id").alias("rule"), "scope").join(alignments, ["rule", "scope"], "left").groupBy("rule", "scope").agg(F.max(strength(F.col("kind"))).alias("best"))
-    ours = best.agg(F.count("*").alias("rules"), F.count_if(F.col("best") == 3).alias("strict"), F.count_if(F.col("best") >= 2).alias("lenient"), F.count_if(F.col("best") == 1).alias("to_confirm"), F.count_if(F.col("best") == 0).alias("unaligned"))
-    firm = alignments.join(rules.select(F.col("id").alias("rule"), "scope"), ["rule", "scope"], "left_semi")
-    recovered = firm.groupBy("clause").agg(F.max(strength(F.col("kind"))).alias("best"))
-    theirs = clauses.where("expressible").select(F.col("id").alias("clause"), "adjacent").join(recovered, "clause", "left").agg(
-        F.count("*").alias("clauses"), F.count_if(F.col("best") == 3).alias("recalled_strict"), F.count_if(F.col("best") >= 2).alias("recalled_lenient"), F.count_if((F.col("best") >= 2) & F.col("adjacent")).alias("recalled_adjacent")
+#: Patterns that a clause can state.
+ALIGNABLE = (IMPLIES, WITHOUT, SAME, ONCE)
+
+
+def metrics(rules: DataFrame, refused: DataFrame, clauses: DataFrame, alignments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row: rules, aligned exactly, aligned, and clauses recovered, strictly and leniently; refused ones that no clause states as they are.
+
+    by: columns of rules, refused and alignments that name sets of rules, each measured for itself; a set that only has refused rules has a row.
+    """
+    own = [*by, "rule", "scope"]
+    named = lambda rows, *more: rows.select(*by, F.col("id").alias("rule"), "scope", *more)
+
+    def met(one: DataFrame, other: DataFrame) -> DataFrame:
+        return one.join(other, list(by), "left") if by else one.crossJoin(other)  # one row each
+
+    best = named(rules, F.col("pattern").isin(*ALIGNABLE).alias("alignable")).join(alignments, own, "left").groupBy(*own, "alignable").agg(F.max(strength(F.col("kind"))).alias("best"))
+    ours = best.groupBy(*by).agg(
+        F.count("*").alias("rules"), F.count_if(F.col("best") == 3).alias("strict"), F.count_if(F.col("best") >= 2).alias("lenient"), F.count_if(F.col("best") == 1).alias("to_confirm"),
+        F.count_if(F.col("best") == 0).alias("unaligned"), F.count_if("alignable").alias("alignable"), F.count_if(~F.col("alignable") & (F.col("best") == 0)).alias("unalignable"),
+    )
+    firm = alignments.join(named(rules), own, "left_semi")
+    recovered = firm.groupBy(*by, "clause").agg(F.max(strength(F.col("kind"))).alias("best"))
+    stated = F.broadcast(clauses.where("expressible").select(F.col("id").alias("clause"), "adjacent"))  # as many as people wrote
+    found = recovered.join(stated, "clause").groupBy(*by).agg(
+        F.count_if(F.col("best") == 3).alias("recalled_strict"), F.count_if(F.col("best") >= 2).alias("recalled_lenient"), F.count_if((F.col("best") >= 2) & F.col("adjacent")).alias("recalled_adjacent")
     )
-    wrong = refused.select(F.col("id").alias("rule"), "scope").join(alignments.where("kind = 'exact'"), ["rule", "scope"], "left_semi").distinct()
-    row = ours.crossJoin(theirs).crossJoin(refused.agg(F.count("*").alias("refused"))).crossJoin(wrong.agg(F.count("*").alias("refused_wrongly")))  # one row each
+    wrong = named(refused).join(alignments.where("kind = 'exact'").select(own).distinct(), own, "left_semi").distinct().groupBy(*by).agg(F.count("*").alias("refused_wrongly"))
+    rejected = refused.groupBy(*by).agg(F.count("*").alias("refused"))
+    start = rules.select(*by).unionByName(refused.select(*by)).distinct() if by else None
+    row = met(met(met(met(start, ours) if by else ours, found), rejected), wrong).crossJoin(stated.agg(F.count("*").alias("clauses")))
+    counts = ("rules", "strict", "lenient", "to_confirm", "unaligned", "alignable", "unalignable", "recalled_strict", "recalled_lenient", "recalled_adjacent", "refused", "refused_wrongly")
+    row = row.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     ratio = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
     return row.withColumns(
-        {"precision_strict": ratio("strict", "rules"), "precision_lenient": ratio("lenient", "rules"), "recall_strict": ratio("recalled_strict", "clauses"), "recall_lenient": ratio("recalled_lenient", "clauses"),
-         "refusal_correct": F.round(1 - F.col("refused_wrongly") / F.nullif(F.col("refused"), F.lit(0)), 6)}
+        {"precision_strict": ratio("strict", "rules"), "precision_lenient": ratio("lenient", "rules"), "precision_alignable": ratio("lenient", "alignable"), "recall_strict": ratio("recalled_strict", "clauses"),
+         "recall_lenient": ratio("recalled_lenient", "clauses"), "refusal_correct": F.round(1 - F.col("refused_wrongly") / F.nullif(F.col("refused"), F.lit(0)), 6)}
     )
 
 
+def inexpressible(clauses: DataFrame) -> DataFrame:
+    """reason, clauses: why clauses can't be stated as rules."""
+    return clauses.where("not expressible").groupBy(F.coalesce("reason", F.lit("unstated")).alias("reason")).agg(F.count("*").alias("clauses"))
+
+
 def gate(measured: DataFrame) -> DataFrame:
     """measured with gate. Targets 0.7, 0.5, 0.8; below 0.4 precision, or refusal at chance 0.5, is falsified."""
     precision, recall, refusal = F.col("precision_lenient"), F.coalesce("recall_lenient", F.lit(0.0)), F.col("refusal_correct")

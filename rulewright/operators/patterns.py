@@ -76,42 +76,58 @@ def spec_key() -> Column:
     return F.concat_ws("|", "pattern", "subject", F.array_join("guards", "+"), F.coalesce("slot", F.lit("")), F.array_join(F.array_sort(conditions), "&"))
 
 
-def candidates(found: DataFrame, events: DataFrame, alphabet: DataFrame, t: Thresholds) -> DataFrame:
-    """operator and the specs that its own history suggests, without conditions."""
-    nothing = F.lit(None).cast("string")
+def ranked(found: DataFrame, events: DataFrame, alphabet: DataFrame) -> DataFrame:
+    """operator, pattern, subject, slot, guard, n, instances, covered (share on a slot, else null), rank: all that could be a rule, before any threshold.
+
+    A rank is among guards in the order of n, so that a floor of n or of its share takes the first ranks only, whichever it is.
+    """
+    nothing, keys = F.lit(None), ["operator", "subject"]
 
-    def shaped(rows: DataFrame, pattern: str, guards: Column, slot: Column = nothing) -> DataFrame:
-        return rows.select("operator", F.lit(pattern).alias("pattern"), "subject", guards.cast("array<string>").alias("guards"), slot.alias("slot"), F.expr(NO_CONDITIONS).alias("conditions"))
+    def shaped(rows: DataFrame, pattern: str, slot: Column = nothing, covered: Column = nothing) -> DataFrame:
+        guard = F.col("guard") if "guard" in rows.columns else nothing
+        return rows.select("operator", F.lit(pattern).alias("pattern"), "subject", slot.cast("string").alias("slot"), guard.cast("string").alias("guard"), "n", "instances", covered.cast("double").alias("covered"), "rank")
 
     episode, contact = guard_stats(found, events, "episode"), guard_stats(found, events, "interaction")
-    often = (F.col("share") >= t.guard_support) & (F.col("rank") <= t.max_guard_rules)
-    one = F.array("guard")
-    # exactly one: always there, and never twice in an episode of the subject
-    most = found.select("operator", "subject", "episode").distinct().join(firsts(events, "episode"), "episode").groupBy("operator", "subject", "guard").agg(F.max("times").alias("most"))
-    single = episode.where(F.col("share") >= t.implies_support).join(most.where("most <= 1"), ["operator", "subject", "guard"])
-    again = Window.partitionBy("operator", "subject").orderBy(F.col("n").desc(), "guard")
-    single = single.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= t.max_guard_rules)
+    # exactly one: never twice in an episode of the subject
+    most = found.select(*keys, "episode").distinct().join(firsts(events, "episode"), "episode").groupBy(*keys, "guard").agg(F.max("times").alias("most"))
+    again = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "guard")
+    single = episode.join(most.where("most <= 1"), [*keys, "guard"]).withColumn("rank", F.row_number().over(again))
+    alone = found.groupBy(*keys).agg(F.count("*").alias("instances")).withColumns({"n": F.col("instances"), "rank": F.lit(1)})
     guards, totals = same_slot_stats(found, events, alphabet)
-    best = Window.partitionBy("operator", "subject", "slot").orderBy(F.col("n").desc(), "guard")
-    guards = guards.where(F.col("n") >= t.min_instances).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= t.max_guard_rules)
-    sets = guards.groupBy("operator", "subject", "slot").agg(F.array_sort(F.collect_list("guard")).alias("guards"))
-    slots = totals.where((F.col("valued") == F.col("instances")) & (F.col("covered") / F.col("instances") >= t.guard_support)).join(sets, ["operator", "subject", "slot"])
-    out = shaped(episode.where(often), IMPLIES, one)
-    for more in (
-        shaped(contact.where(often), WITHOUT, one),
-        shaped(found.select("operator", "subject").distinct(), ONCE, F.array()),
-        shaped(single, EXACTLY, one),
-        shaped(slots, SAME, F.col("guards"), F.col("slot")),
-    ):
+    best = Window.partitionBy(*keys, "slot").orderBy(F.col("n").desc(), "guard")
+    slots = guards.withColumn("rank", F.row_number().over(best)).join(totals.where("valued = instances"), [*keys, "slot"])
+    out = shaped(episode, IMPLIES)
+    for more in (shaped(contact, WITHOUT), shaped(alone, ONCE), shaped(single, EXACTLY), shaped(slots, SAME, F.col("slot"), F.col("covered") / F.col("instances"))):
         out = out.unionByName(more)
     return out
 
 
-def union_of(specs: DataFrame) -> DataFrame:
+def suggested(rows: DataFrame, t: Thresholds, also: tuple[str, ...] = ()) -> DataFrame:
+    """also, operator and the specs that its own history suggests, without conditions; rows: ranked(). Thresholds may be columns, then of the sets `also` names."""
+    share, pattern = F.col("n") / F.col("instances"), F.col("pattern")
+    enough = (F.col("instances") >= t.min_instances) & (F.col("rank") <= t.max_guard_rules)
+    often = (
+        F.when(pattern.isin(IMPLIES, WITHOUT), share >= t.guard_support)
+        .when(pattern == EXACTLY, share >= t.implies_support)
+        .when(pattern == SAME, (F.col("covered") >= t.guard_support) & (F.col("n") >= t.min_instances))
+        .otherwise(True)
+    )
+    kept, keys = rows.where(enough & often), [*also, "operator", "pattern", "subject", "slot"]
+    one = kept.where(pattern != SAME).select(*keys, F.when(F.col("guard").isNull(), F.array().cast("array<string>")).otherwise(F.array("guard")).alias("guards"))
+    sets = kept.where(pattern == SAME).groupBy(*keys).agg(F.array_sort(F.collect_list("guard")).alias("guards"))
+    return one.unionByName(sets).withColumn("conditions", F.expr(NO_CONDITIONS))
+
+
+def candidates(found: DataFrame, events: DataFrame, alphabet: DataFrame, t: Thresholds) -> DataFrame:
+    """operator and the specs that its own history suggests, without conditions."""
+    return suggested(ranked(found, events, alphabet), t)
+
+
+def union_of(specs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """One spec for all operators that suggest it; guard sets on one slot are united."""
     sets = F.array_sort(F.array_distinct(F.flatten(F.collect_list("guards"))))
-    united = specs.where(F.col("pattern") == SAME).groupBy("pattern", "subject", "slot", "conditions").agg(sets.alias("guards"))
-    others = specs.where(F.col("pattern") != SAME).select("pattern", "subject", "guards", "slot", "conditions").distinct()
+    united = specs.where(F.col("pattern") == SAME).groupBy(*also, "pattern", "subject", "slot", "conditions").agg(sets.alias("guards"))
+    others = specs.where(F.col("pattern") != SAME).select(*also, "pattern", "subject", "guards", "slot", "conditions").distinct()
     return others.unionByName(united).withColumn("spec", spec_key())
 
 

@@ -291,6 +291,58 @@ k AS (SELECT *, CASE WHEN was IS NULL THEN 'inserted' WHEN now IS NULL THEN CASE
 SELECT id, scope, coalesce(h2, h1) AS holds, coalesce(n2, n1) AS "of", CASE change WHEN 'retired' THEN 'retired' WHEN 'reproposed' THEN 'proposed' WHEN 'kept' THEN was WHEN 'removed' THEN was ELSE now END AS status,
   CASE WHEN change = 'retired' AND now IS NULL THEN 'not mined by run r2' WHEN change = 'retired' THEN 'support is gone in run r2' WHEN change = 'reproposed' THEN 'support changed in run r2' ELSE '' END AS reason, change FROM k"""
 
+SWEEP = f"""{USERS},
+grid(point, own_support, guard_support, min_instances) AS (
+  SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INTEGER), CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS INTEGER) FROM (VALUES (0.45), (0.6)) x(a), (VALUES (0.3), (0.6)) y(b), (VALUES (5), (400)) z(c)),
+total AS (SELECT operator, subject, count(*) AS instances FROM inst GROUP BY ALL),
+met AS (
+  SELECT DISTINCT 'X-implies-prior-Y' AS pattern, i.operator, i.subject, i.interaction, i.seq, e.type AS guard FROM inst i JOIN acts e ON e.episode = i.episode AND e.seq < i.seq AND e.type <> i.subject
+  UNION ALL SELECT DISTINCT 'no-X-without-prior-Y', i.operator, i.subject, i.interaction, i.seq, e.type FROM inst i JOIN acts e ON e.interaction = i.interaction AND e.seq < i.seq AND e.type <> i.subject),
+counted AS (SELECT pattern, operator, subject, guard, count(*) AS n FROM met GROUP BY ALL),
+times AS (SELECT episode, type AS guard, count(*) AS times FROM acts GROUP BY ALL),
+single AS (SELECT operator, subject, guard FROM (SELECT DISTINCT operator, subject, episode FROM inst) JOIN times USING (episode) GROUP BY ALL HAVING max(times) <= 1),
+places AS (
+  SELECT *, row_number() OVER (PARTITION BY pattern, operator, subject ORDER BY n DESC, guard) AS rank FROM counted
+  UNION ALL SELECT 'exactly-one-Y-per-X', operator, subject, guard, n, row_number() OVER (PARTITION BY operator, subject ORDER BY n DESC, guard) FROM counted JOIN single USING (operator, subject, guard) WHERE pattern = 'X-implies-prior-Y'
+  UNION ALL SELECT 'at-most-one-X', operator, subject, '', instances, 1 FROM total),
+specs AS (
+  SELECT DISTINCT point, own_support, guard_support, min_instances, pattern, subject, guard FROM places JOIN total USING (operator, subject), grid
+  WHERE rank <= 3 AND instances >= min_instances AND CASE pattern WHEN 'exactly-one-Y-per-X' THEN n / instances >= 0.5 WHEN 'at-most-one-X' THEN TRUE ELSE n / instances >= guard_support END),
+asked AS (SELECT DISTINCT pattern, subject, guard FROM specs),
+units AS (
+  SELECT a.*, i.operator, i.team, m.guard IS NOT NULL AS ok, 1 AS n FROM inst i JOIN asked a USING (subject) LEFT JOIN met m
+  ON m.pattern = a.pattern AND m.interaction = i.interaction AND m.seq = i.seq AND m.subject = i.subject AND m.guard = a.guard WHERE a.pattern IN ('X-implies-prior-Y', 'no-X-without-prior-Y')
+  UNION ALL
+  SELECT a.*, i.operator, i.team, CASE WHEN a.guard = '' THEN coalesce(t.times, 0) <= 1 ELSE coalesce(t.times, 0) = 1 END, i.n
+  FROM (SELECT operator, team, subject, episode, count(*) AS n FROM inst GROUP BY ALL) i JOIN asked a USING (subject) LEFT JOIN times t ON t.episode = i.episode AND t.guard = CASE WHEN a.guard = '' THEN a.subject ELSE a.guard END
+  WHERE a.pattern IN ('at-most-one-X', 'exactly-one-Y-per-X')),
+levels AS (
+  SELECT pattern, subject, guard, operator, 0 AS level, operator AS scope, count(*) FILTER (ok) AS h, count(*) AS "of", sum(n) AS n FROM units GROUP BY ALL
+  UNION ALL SELECT pattern, subject, guard, operator, 1, team, count(*) FILTER (ok), count(*), sum(n) FROM units GROUP BY ALL),
+here AS (SELECT * FROM specs JOIN levels USING (pattern, subject, guard) JOIN total USING (operator, subject) WHERE instances >= min_instances),
+own AS (
+  SELECT point, pattern, subject, guard, operator, h, "of" FROM here WHERE "of" >= min_instances AND h / "of" >= own_support
+  QUALIFY row_number() OVER (PARTITION BY point, pattern, subject, guard, operator ORDER BY level, n DESC, scope) = 1),
+whole AS (SELECT * FROM here WHERE level = 0 AND n >= min_instances),
+keepers AS (SELECT point, pattern, subject, guard, list(operator) AS them FROM whole WHERE "of" >= min_instances AND h / "of" >= own_support GROUP BY ALL),
+verdicts AS (
+  SELECT w.point, w.pattern, w.subject, w.guard, w.operator, w.own_support, w.h AS corpus_holds, w."of" AS corpus_of, coalesce(o.h, w.h) AS holds, coalesce(o."of", w."of") AS "of",
+    CASE WHEN o.h IS NOT NULL THEN 'own' WHEN len([x FOR x IN coalesce(k.them, []) IF x <> w.operator]) >= 3 THEN 'borrowed' ELSE 'neither' END AS verdict
+  FROM whole w LEFT JOIN own o USING (point, pattern, subject, guard, operator) LEFT JOIN keepers k USING (point, pattern, subject, guard)),
+first AS (
+  SELECT *, CASE WHEN pattern = 'at-most-one-X' AND corpus_holds = corpus_of THEN 'suppressed' WHEN verdict = 'neither' THEN 'refused' ELSE 'proposed' END AS s1 FROM verdicts
+  WHERE verdict <> 'own' OR holds / "of" >= CASE WHEN pattern = 'no-X-without-prior-Y' THEN own_support ELSE 0.5 END),
+second AS (
+  SELECT f.*, CASE WHEN s1 = 'proposed' AND pattern IN ('X-implies-prior-Y', 'no-X-without-prior-Y')
+    AND EXISTS (SELECT 1 FROM first g WHERE g.point = f.point AND g.operator = f.operator AND g.pattern = f.pattern AND g.subject = f.guard AND g.guard = f.subject AND g.s1 = 'proposed') THEN 'contradicted' ELSE s1 END AS s2 FROM first f),
+plain AS (SELECT point, operator, subject, guard FROM second WHERE pattern = 'X-implies-prior-Y' AND s2 = 'proposed'),
+third AS (
+  SELECT s.*, CASE WHEN s2 <> 'proposed' THEN s2
+    WHEN pattern IN ('no-X-without-prior-Y', 'exactly-one-Y-per-X') AND EXISTS (SELECT 1 FROM plain p WHERE p.point = s.point AND p.operator = s.operator AND p.subject = s.subject AND p.guard = s.guard) THEN 'suppressed'
+    WHEN pattern = 'X-implies-prior-Y' AND EXISTS (SELECT 1 FROM plain p JOIN plain q ON q.point = p.point AND q.operator = p.operator AND q.subject = p.guard
+      WHERE p.point = s.point AND p.operator = s.operator AND p.subject = s.subject AND p.guard <> s.guard AND q.guard = s.guard) THEN 'suppressed'
+    WHEN pattern = 'no-X-without-prior-Y' AND corpus_holds = corpus_of THEN 'suppressed' ELSE 'proposed' END AS status FROM second s)"""
+
 STORE = """
 WITH x AS (SELECT o_orderpriority AS id, o_orderstatus AS scope, o_orderkey, o_orderkey % 2 AS half, o_totalprice > 200000 AS kept FROM orders),
 a AS (
@@ -302,6 +354,15 @@ b AS (
   FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY id, scope, half) AS first FROM x) WHERE half = 1 AND NOT (id = '5-LOW' AND scope = 'F') AND NOT (id = '4-NOT SPECIFIED' AND scope = 'P') GROUP BY ALL),"""
 
 SQL = {
+    "swept_rules": f'{SWEEP}\nSELECT point, operator, pattern, subject, guard, verdict, status, holds, "of", corpus_holds, corpus_of FROM third',
+    "mining_sweep": f"""{SWEEP},
+clauses(clause, pattern, subject, guard) AS (VALUES ('u1', 'X-implies-prior-Y', 'action:purchase', 'action:signup'), ('u1', 'no-X-without-prior-Y', 'action:purchase', 'action:signup'), ('u2', 'at-most-one-X', 'action:signup', ''),
+  ('u3', 'X-implies-prior-Y', 'action:signup', 'action:view'), ('u3', 'no-X-without-prior-Y', 'action:signup', 'action:view')),
+r AS (SELECT t.*, clause FROM third t LEFT JOIN clauses c USING (pattern, subject, guard) WHERE status IN ('proposed', 'refused'))
+SELECT min_instances, own_support, guard_support, proposed, refused, round(aligned / nullif(proposed, 0), 6) AS precision_lenient, round(recalled / 3, 6) AS recall_lenient, round(1 - wrong / nullif(refused, 0), 6) AS refusal_correct FROM (
+  SELECT g.*, count(*) FILTER (status = 'proposed') AS proposed, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'proposed' AND clause IS NOT NULL) AS aligned,
+    count(DISTINCT clause) FILTER (status = 'proposed') AS recalled, count(*) FILTER (status = 'refused' AND clause IS NOT NULL) AS wrong
+  FROM grid g LEFT JOIN (SELECT point, status, clause FROM r) r USING (point) GROUP BY ALL)""",
     "rule_store": f"""{STORE}
 j AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.scope, b.scope) AS scope, was, now, a.h AS h1, a.n AS n1, b.h AS h2, b.n AS n2, a.proof AS p1, b.proof AS p2 FROM a FULL JOIN b ON a.id = b.id AND a.scope = b.scope),
 k AS (

@@ -79,18 +79,22 @@ def mine(events: DataFrame, alphabet: DataFrame, t: Thresholds = Thresholds(), f
     if requested is not None:
         specs = specs.unionByName(union_of(requested.withColumn("operator", F.lit("")).select(suggested.columns))).dropDuplicates(["spec"])
     support = written(measured(checks(found, specs, events, alphabet)))
-    rules = verdicts(support, t).join(F.broadcast(specs), ["spec", "pattern"])
+    rules = judged(verdicts(support, t).join(F.broadcast(specs), ["spec", "pattern"]), t)
+    rules = settle(rules)
+    when = F.concat(F.when(F.size("conditions") > 0, F.concat(F.lit("Where "), condition_text(), F.lit(": "))).otherwise(""), by_template("text"))
+    rules = rules.withColumns({"text": when, "why": by_template("why"), "predicate": by_template("predicate")})
+    return rules.withColumn("evidence", evidence(F.col("why")))
+
+
+def judged(rules: DataFrame, t: Thresholds) -> DataFrame:
+    """Measured specs with their verdicts as rules: also window, condition_key, id, status, reason. Those kept here that don't reach their pattern's floor go."""
+    floors = of_pattern(F.col("pattern"), {p.name: getattr(t, p.floor) for p in PATTERNS})
     window = of_pattern(F.col("pattern"), {p.name: p.window for p in PATTERNS})
     rules = rules.withColumns({"window": window, "condition_key": F.coalesce(F.to_json("conditions"), F.lit("[]"))})
-    # a rule of one's own must also reach its pattern's floor
     rules = rules.where((F.col("verdict") != "own") | (F.col("holds") / F.col("of") >= floors))
     vacuous = (F.col("pattern") == ONCE) & (F.col("corpus_holds") == F.col("corpus_of"))
     status = F.when(vacuous, "suppressed").when(F.col("verdict") == "neither", "refused").otherwise("proposed")
-    rules = identified(rules).withColumns({"status": status, "reason": F.when(vacuous, VACUOUS_EPISODE)})
-    rules = settle(rules)
-    when = F.concat(F.when(F.size("conditions") > 0, F.concat(F.lit("Where "), condition_text(), F.lit(": "))).otherwise(""), by_template("text"))
-    rules = rules.withColumns({"text": when, "why": by_template("why"), "predicate": by_template("predicate")})
-    return rules.withColumn("evidence", evidence(F.col("why")))
+    return identified(rules).withColumns({"status": status, "reason": F.when(vacuous, VACUOUS_EPISODE)})
 
 
 def ordered(rules: DataFrame) -> DataFrame:

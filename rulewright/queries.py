@@ -12,6 +12,7 @@ from .functions.logic import CONDITION, NO_CONDITIONS, all_of, unknown_facts
 from .operators import advise as serve
 from .operators import audit, diff, evaluate, facts, observe, patterns, provenance, recommend, rulesets, store
 from .operators.instances import KEY, as_of, decision_points, earlier, firsts, instances
+from .plans import sweep as sweeping
 from .plans.mine import identified
 from .reuse import kept, shared_folder, written
 from .schema import Thresholds
@@ -500,6 +501,34 @@ def threshold_sweep(spark, sf_dir):
     return rows.groupBy("min_instances", "support").agg(F.count("*").alias("candidates"), F.sum("n").alias("kept"))
 
 
+#: A policy for users' actions, and thresholds to be tried against it.
+USER_CLAUSES = [
+    ("u1", "sign up before buying", True, None, "precedence", "action:purchase", "action:signup", "interaction", False, None, None),
+    ("u2", "one sign-up a session", True, None, "at-most-one", "action:signup", None, "episode", False, None, None),
+    ("u3", "look before signing up", True, None, "precedence", "action:signup", "action:view", "episode", True, None, None),
+    ("u4", "be polite", False, "tone", None, None, None, "interaction", False, None, None),
+]
+GRID = "own_support=0.45,0.6;guard_support=0.3,0.6;min_instances=5,400"
+
+
+def _grid(spark):
+    return sweeping.points_table(spark, sweeping.grid_of(GRID), LOW)
+
+
+def swept_rules(spark, sf_dir):
+    """The rules of users' actions that each point of the grid mines."""
+    events, _, terms, _ = users(spark, sf_dir)
+    rules = sweeping.swept_rules(events, terms, _grid(spark), FLOOR)
+    return rules.select("point", "operator", "pattern", "subject", listed("guards").alias("guard"), "verdict", "status", "holds", "of", "corpus_holds", "corpus_of")
+
+
+def mining_sweep(spark, sf_dir):
+    events, _, terms, _ = users(spark, sf_dir)
+    clauses = spark.createDataFrame(USER_CLAUSES, evaluate.CLAUSES)
+    rows = sweeping.sweep(events, terms, _grid(spark), clauses, FLOOR)
+    return rows.select("min_instances", "own_support", "guard_support", "proposed", "refused", "precision_lenient", "recall_lenient", "refusal_correct")
+
+
 def timeline_runs(spark, sf_dir):
     """Each contact's turns with runs of one role collapsed to a count."""
     order = Window.partitionBy("interaction").orderBy("seq", "kind")

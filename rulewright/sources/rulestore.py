@@ -89,13 +89,15 @@ class Store:
         return Snapshot(at, said["version"], said["tables"])
 
     def table(self, name: str, snapshot: Snapshot | None = None, part: str | None = None) -> DataFrame:
-        """A table as of a commit, of one part or of all."""
-        known = (snapshot or self.snapshot()).tables.get(name)
+        """A table as of a commit, of one part or of all; of a commit of this version with all its columns."""
+        at = snapshot or self.snapshot()
+        known = at.tables.get(name)
         schema = T.StructType.fromJson(known["schema"]) if known else schema_of(TABLES[name])
         folders = [f for p, own in (known or {"parts": {}})["parts"].items() if part is None or p == part for f in own]
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{f}" for f in folders))
+            return self.spark.createDataFrame([], schema_of(TABLES[name]) if at.version == SCHEMA_VERSION else schema)
+        rows = self.spark.read.schema(schema).parquet(*(f"{self.folder}/data/{f}" for f in folders))
+        return shaped(rows, name) if at.version == SCHEMA_VERSION else rows
 
     def commit(self, base: Snapshot, changes: list[tuple[str, str, DataFrame, bool]], version: int | None = None) -> Snapshot:
         """A new commit on top of base. changes: table, part, rows, and whether they replace the part's rows or are added to them."""
