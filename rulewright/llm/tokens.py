@@ -13,6 +13,8 @@ import numpy as np
 
 #: Words, and their parts, whose ids a worker keeps; beyond it, it starts again.
 KEPT_WORDS, KEPT_PARTS = 500_000, 750_000
+#: By how much less is kept and made at once where memory is scarce.
+LEAN = 5
 #: Documents whose ids a task holds at once.
 SLICE = 400
 #: The one letter that, in lower case, is a letter and a mark; and the one whose lower case depends on its place.
@@ -25,7 +27,7 @@ class WordEncoder:
     """encode(texts) gives an array of ids for each text, as the library does with add_special_tokens=False."""
 
     def __init__(self, path: str, lean: bool = False):
-        """lean: less is held at once, in half the memory and more time."""
+        """lean: a LEANth of the words is kept, and of the text made at once, in less memory and more time."""
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
@@ -33,7 +35,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.share = 2 if lean else 1
+        self.share = LEAN if lean else 1
         self.reset()
 
     def reset(self) -> None:
