@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..reuse import written
 from ..schema import Thresholds
 from .patterns import IMPLIES, ONCE, SAME, WITHOUT
 
@@ -22,8 +23,8 @@ def exercise(found: DataFrame, firsts_in_episode: DataFrame, firsts_in_contact:
     found: instances with facts. A clause of a fact is exercised where that is known to have its value. At most one is
     judged by episode. firsts: as instances.firsts gives them.
     """
-    written = clauses.where("expressible").select(F.col("id").alias("clause"), "shape", "subject", "guard", "window", "fact", "value")
-    rows = found.join(F.broadcast(written), "subject").where(F.col("fact").isNull() | (F.element_at("facts", F.col("fact")) == F.col("value")))
+    stated = clauses.where("expressible").select(F.col("id").alias("clause"), "shape", "subject", "guard", "window", "fact", "value")
+    rows = found.join(F.broadcast(stated), "subject").where(F.col("fact").isNull() | (F.element_at("facts", F.col("fact")) == F.col("value")))
     order, once = rows.where("shape = 'precedence'"), rows.where("shape = 'at-most-one'")
     keys = ["clause", "interaction", "episode", "seq"]
     episode = order.where("window = 'episode'").join(firsts_in_episode, ["episode", "guard"], "left").select(*keys, (F.coalesce("first", F.lit(1 << 30)) < F.col("seq")).alias("kept"))
@@ -31,7 +32,7 @@ def exercise(found: DataFrame, firsts_in_episode: DataFrame, firsts_in_contact:
     single = once.drop("guard").withColumn("guard", F.col("subject")).join(firsts_in_episode, ["episode", "guard"]).groupBy("clause", "interaction", "episode").agg(F.min("seq").alias("seq"), F.max("times").alias("times"))
     single = single.select(*keys, (F.col("times") <= 1).alias("kept"))
     judged = episode.unionByName(contact).unionByName(single).groupBy("clause").agg(F.count("*").alias("exercised"), F.count_if(~F.col("kept")).alias("violated"), F.count_if("kept").alias("kept"))
-    return written.select("clause").join(judged, "clause", "left").select("clause", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("exercised", "violated", "kept")))
+    return stated.select("clause").join(judged, "clause", "left").select("clause", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("exercised", "violated", "kept")))
 
 
 def controls(exercised: DataFrame, outcomes: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -160,11 +161,23 @@ def latest(verdicts: DataFrame) -> DataFrame:
 
 
 def spread(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
-    """At most `most` rows of each group, evenly spread over its order: the first, the last and those between."""
+    """At most `most` rows of each group, evenly spread over its order: the first, the last and those between.
+
+    Rows are sorted over all tasks, also those of one group. A row for each group and task says which of its places
+    are wanted, and only those rows are taken.
+    """
+    at, part, place = "at_", "part_", "place_"
+    keys = [F.asc_nulls_first(c) for c in (*by, *order)]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    placed = written(placed.withColumns({part: F.shiftright(at, 33).cast("int"), place: F.col(at).bitwiseAND(F.lit((1 << 33) - 1))}))
+    pieces = placed.groupBy(*by, part).agg(F.min(place).alias("first"), F.count("*").alias("many"))
     group = Window.partitionBy(*by)
-    placed = rows.withColumns({"place": F.row_number().over(group.orderBy(*order)) - 1, "size": F.count("*").over(group)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("size") - 1) / max(1, most - 1) + 0.5))
-    return placed.where((F.col("size") <= most) | F.array_contains(wanted, F.col("place").cast("long"))).drop("place", "size")
+    pieces = pieces.withColumns({"size": F.sum("many").over(group), "before": F.sum("many").over(group.orderBy(part)) - F.col("many")})
+    every = F.sequence(F.lit(0), F.col("size") - 1)
+    even = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.floor(k * (F.col("size") - 1) / max(1, most - 1) + 0.5))
+    wanted = pieces.withColumn("wanted", F.explode(F.array_distinct(F.when(F.col("size") <= most, every).otherwise(even))))
+    wanted = wanted.where("wanted >= before and wanted < before + many").select(F.col(part).alias("p"), (F.col("wanted") - F.col("before") + F.col("first")).alias("q"))
+    return placed.join(wanted, (F.col(part) == F.col("p")) & (F.col(place) == F.col("q"))).select(*rows.columns)
 
 
 def hash_sample(rows: DataFrame, key: Column, salt: str, most: int) -> DataFrame:

@@ -6,7 +6,6 @@ level is a join of the nodes with the items of the decision points they select;
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,33 +99,55 @@ def recommend(points: DataFrame, recommendable: DataFrame, t: Thresholds = Thres
     return rules.where("may").drop("may"), withheld
 
 
+def matches(rules: DataFrame, points: DataFrame) -> DataFrame:
+    """rule, point: the points of each rule's operator and action for which all its conditions are true. rules: rule, operator, action, conditions."""
+    known = points.select("operator", "action", "point", F.explode(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))).alias("condition"))
+    asked = rules.select("rule", "operator", "action", F.size("conditions").alias("many"), F.explode("conditions").alias("condition"))
+    met = asked.join(known, ["operator", "action", "condition"]).groupBy("rule", "point", "many").agg(F.count("*").alias("met"))
+    return met.where("met = many").select("rule", "point")
+
+
 def covered(rules: DataFrame, points: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """The rules that answer something new, for each operator and action the broadest first.
 
-    One whose points are mostly answered already stays only if it lies in a single broader rule and is more accurate. This is
-    a greedy choice, one rule after another; it needs each rule's points of one operator and action, matched before.
+    One whose points are mostly answered already stays only if it lies in a single broader rule and is more accurate. The
+    choice is greedy, one rule after another, but made for all groups at once and for as many rules as can be decided: one that would be
+    new even if all open rules before it stayed; one that isn't new and beats no rule before it; and one that meets no open rule before it,
+    by what it shares with those that stayed. The first open rule of a group always is of the last kind. Counts are by point and by rule, so
+    that a group's points are never in one task.
     """
-    facts = points.select("operator", "point", "action", F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"])).alias("known"))
-    rows = rules.select("operator", "action", "node", "conditions", "matched", "selected")
-    met = rows.join(facts, ["operator", "action"]).where(F.size(F.array_except("conditions", "known")) == 0)
-    lists = met.groupBy("operator", "action", "node", "conditions", "matched", "selected").agg(F.array_sort(F.collect_list("point")).alias("points"))
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(text=[" and ".join(c) for c in group["conditions"]]).sort_values(["matched", "text"], ascending=[False, True])
-        seen: set[str] = set()
-        kept: list[tuple[int, set[str], float]] = []
-        for at, row in zip(group.index, group.itertuples()):
-            mine, rate = set(row.points), row.matched / row.selected
-            if len(mine - seen) < t.recommend_novelty * len(mine):
-                host = max(kept, key=lambda k: len(k[1] & mine), default=None)
-                if host is None or len(host[1] & mine) < 0.9 * len(mine) or rate <= host[2] + t.recommend_gain:
-                    continue
-            kept.append((at, mine, rate))
-            seen |= mine
-        return group.loc[[at for at, _, _ in kept], ["operator", "action", "node"]]
-
-    chosen = lists.groupBy("operator", "action").applyInPandas(choose, "operator string, action string, node string")
-    return rules.join(chosen, ["operator", "action", "node"], "left_semi")
+    named = rules.select("operator", "action", "node", "conditions", (F.col("matched") / F.col("selected")).alias("rate"), "matched")
+    order = Window.partitionBy("operator", "action").orderBy(F.col("matched").desc(), F.array_join("conditions", " and "), "node")
+    open_ = written(named.withColumns({"rank": F.row_number().over(order), "rule": F.concat_ws("\x1f", "operator", "action", "node")}))
+    met = matches(open_, points).join(open_.select("rule", "operator", "action", "rank", "rate"), "rule")
+    met = written(met.withColumn("place", F.concat_ws("\x1f", "operator", "action", "point")).select("rule", "place", "rank", "rate"))
+    size = met.groupBy("rule").agg(F.count("*").alias("size"))
+    state = written(open_.select("rule", "operator", "action", "rank", "rate").join(size, "rule").withColumn("stays", F.lit(None).cast("boolean")))
+    earlier = Window.partitionBy("operator", "action").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    while not state.where("stays is null").isEmpty():
+        some = met.join(state.select("rule", "stays"), "rule").where("stays or stays is null")
+        first = some.groupBy("place").agg(F.min(F.when(F.col("stays"), F.col("rank"))).alias("taken"), F.min(F.when(F.col("stays").isNull(), F.col("rank"))).alias("asked"))
+        rows = some.where("stays is null").join(first, "place")
+        taken, asked = F.coalesce(F.col("taken") < F.col("rank"), F.lit(False)), F.col("asked") < F.col("rank")
+        counts = rows.groupBy("rule").agg(F.count_if(~taken).alias("new"), F.count_if(~taken & ~asked).alias("new_at_least"), F.count_if(asked).alias("shared"))
+        lowest = F.min(F.when(F.col("stays") | F.col("stays").isNull(), F.col("rate"))).over(earlier)
+        known = written(state.withColumn("lowest", lowest).join(counts, "rule", "left"))
+        old = F.col("new") < t.recommend_novelty * F.col("size")
+        sure = F.when(F.col("new_at_least") >= t.recommend_novelty * F.col("size"), True).when(old & (F.col("lowest").isNull() | (F.col("rate") <= F.col("lowest") + t.recommend_gain)), False)
+        known = known.withColumn("now", F.coalesce("stays", sure))
+        # alone: nothing before them is open, so that those that stayed are the rules they are compared with
+        alone = known.where(F.col("now").isNull() & (F.col("shared") == 0)).select("rule", "size")
+        mine = met.join(alone, "rule").select("rule", "place", "rank", "rate", "size")
+        theirs = met.join(state.where("stays").select("rule"), "rule", "left_semi").select("place", F.col("rule").alias("host"), F.col("rank").alias("host_rank"), F.col("rate").alias("host_rate"))
+        shared = mine.join(theirs, "place").where("host_rank < rank").groupBy("rule", "size", "rate", "host", "host_rank", "host_rate").agg(F.count("*").alias("both"))
+        best = shared.groupBy("rule", "size", "rate").agg(F.max_by(F.struct("both", "host_rate"), F.struct("both", -F.col("host_rank"))).alias("best"))
+        better = (F.col("best.both") >= 0.9 * F.col("size")) & (F.col("rate") > F.col("best.host_rate") + t.recommend_gain)
+        chosen = alone.join(best.select("rule", better.alias("better")), "rule", "left").select("rule", F.coalesce("better", F.lit(False)).alias("decided"))
+        fresh = ~old & (F.col("shared") == 0)
+        now = known.join(chosen, "rule", "left").withColumn("stays", F.coalesce("now", F.when(fresh, True), F.when(F.col("shared") == 0, F.col("decided"))))
+        state = written(now.select(*state.columns))
+    kept = state.where("stays").join(open_.select("rule", "node"), "rule").select("operator", "action", "node")
+    return rules.join(kept, ["operator", "action", "node"], "left_semi")
 
 
 def lift(rules: DataFrame, points: DataFrame) -> DataFrame:

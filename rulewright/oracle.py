@@ -175,6 +175,26 @@ LEFT JOIN one y ON y.operator = b.operator AND y.action = b.action AND y.item =
 WHERE b.selected >= 5 AND b.matched / b.selected >= 0.28 AND b.matched >= 10
   AND b.matched / b.selected >= coalesce(x.matched / x.selected, 0) + 0.005 AND b.matched / b.selected >= coalesce(y.matched / y.selected, 0) + 0.005
   AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.operator = b.operator AND r.item IN ('contact.segment = ' || agent, 'episode.intent = ' || intent))"""
+COVER = DEPTH2.replace(POINTS, POINTS.replace("WITH ev", "WITH RECURSIVE ev", 1), 1)
+COVER_HEAD, COVER_TAIL = COVER.rsplit("\nSELECT b.operator", 1)
+#: The choice one rule after another, with the points answered so far and the rules kept as lists.
+COVER = f"""{COVER_HEAD},
+every AS (
+  SELECT operator, item AS conditions, action, matched, selected FROM rules
+  UNION ALL SELECT operator, conditions, action, matched, selected FROM (SELECT b.operator{COVER_TAIL})),
+matched AS (
+  SELECT e.*, row_number() OVER (PARTITION BY operator, action ORDER BY matched DESC, conditions) AS rank,
+    (SELECT list(point) FROM pt WHERE pt.operator = e.operator AND pt.action = e.action AND list_has_all(['contact.segment = ' || agent, 'episode.intent = ' || intent], string_split(e.conditions, ' and '))) AS mine FROM every e),
+walk AS (
+  SELECT operator, action, CAST(0 AS BIGINT) AS rank, CAST([] AS VARCHAR[]) AS seen, CAST([] AS STRUCT(points VARCHAR[], rate DOUBLE, conditions VARCHAR)[]) AS kept FROM (SELECT DISTINCT operator, action FROM matched)
+  UNION ALL
+  SELECT operator, action, rank, CASE WHEN stays THEN list_concat(seen, fresh) ELSE seen END, CASE WHEN stays THEN list_append(kept, {{'points': mine, 'rate': rate, 'conditions': conditions}}) ELSE kept END FROM (
+    SELECT *, len(fresh) >= 0.5 * len(mine) OR coalesce(len(list_intersect(host.points, mine)) >= 0.9 * len(mine) AND rate > host.rate + 0.005, FALSE) AS stays FROM (
+      SELECT w.operator, w.action, m.rank, w.seen, w.kept, m.mine, m.matched / m.selected AS rate, m.conditions, [p FOR p IN m.mine IF NOT list_contains(w.seen, p)] AS fresh,
+        list_reduce(w.kept, lambda a, b: CASE WHEN len(list_intersect(b.points, m.mine)) > len(list_intersect(a.points, m.mine)) THEN b ELSE a END, CAST({{'points': [], 'rate': 9.0, 'conditions': ''}} AS STRUCT(points VARCHAR[], rate DOUBLE, conditions VARCHAR))) AS host
+      FROM walk w JOIN matched m ON m.operator = w.operator AND m.action = w.action AND m.rank = w.rank + 1))),
+last AS (SELECT operator, action, unnest([k.conditions FOR k IN max_by(kept, rank)]) AS conditions FROM walk GROUP BY operator, action)
+SELECT operator, conditions, action, matched, selected FROM every JOIN last USING (operator, action, conditions)"""
 WITHHELD = f"""{ONE_FACT}
 SELECT operator, action, count(*) AS candidates FROM rules WHERE action LIKE 'action:R%' GROUP BY ALL"""
 LIFT = f"""{ONE_FACT},
@@ -406,6 +426,7 @@ SELECT count(DISTINCT interaction) AS interactions, count(*) AS events, count(DI
     "decision_points": f"{POINTS}\nSELECT operator, action, count(*) AS points, count(DISTINCT interaction) AS contacts FROM pt GROUP BY ALL",
     "recommend_depth1": DEPTH1,
     "recommend_depth2": DEPTH2,
+    "recommend_cover": COVER,
     "withheld_actions": WITHHELD,
     "outcome_precision": f"{POINTS}\nSELECT operator, action, count(*) AS points, count(outcome) AS judged, count(*) FILTER (outcome = 'resolved') AS good FROM pt GROUP BY ALL",
     "lift_context": LIFT,
