@@ -11,6 +11,10 @@ from .instances import KEY
 from .patterns import BY_NAME, EXACTLY, IMPLIES, ONCE, SAME, WITHOUT, of_pattern
 
 
+#: What redaction puts in place of a value: a fixed form.
+SURROGATE = r"^[A-Za-z0-9_.]+#[0-9a-f]{6,}$"
+
+
 def with_facts(found: DataFrame, contact_facts: DataFrame | None = None, intents: DataFrame | None = None, slots: DataFrame | None = None, observed: DataFrame | None = None) -> DataFrame:
     """found with facts: observations, then slots, then the episode's one intent, then the contact's own; later ones win.
 
@@ -39,6 +43,21 @@ def with_facts(found: DataFrame, contact_facts: DataFrame | None = None, intents
     return found.withColumn("facts", F.map_filter(merged, lambda k, v: v.isNotNull())).drop(*layers)
 
 
+def slots_before(found: DataFrame, events: DataFrame) -> DataFrame:
+    """KEY, slots: for each instance, of each slot the last value that the episode's events strictly before it had; nulls take nothing back.
+
+    A key is a slot of an episode: its values and the instances that ask for it are read once, in order, with one value held. Instances
+    without earlier slots have no row.
+    """
+    said = events.select("episode", "seq", F.explode("slots").alias("slot", "value")).where("value is not null")
+    asked = found.select(*KEY).join(said.select("episode", "slot").distinct(), "episode")
+    both = asked.select(*KEY, "slot", F.lit(None).cast("string").alias("value"), F.lit(True).alias("site"))
+    both = both.unionByName(said.withColumn("site", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy("episode", "slot").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    last = both.withColumn("last", F.last("value", ignorenulls=True).over(before)).where("site and last is not null")
+    return last.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", "last"))).alias("slots"))
+
+
 def overlaid(lower: Column, upper: Column) -> Column:
     """Both maps' entries; of keys that both have, upper's."""
     return F.map_concat(F.map_filter(lower, lambda k, v: ~F.map_contains_key(upper, k)), upper)
@@ -47,11 +66,11 @@ def overlaid(lower: Column, upper: Column) -> Column:
 def vocabulary(rows: DataFrame, t: Thresholds, by: tuple[str, ...] = ("operator", "subject")) -> DataFrame:
     """by, fact, value, n: conditions that select enough rows of a group and not all that could be known.
 
-    A fact of one value is a constant. Only an observed one (obs.*) may have one value, if it is absent somewhere.
+    What stands for a redacted value is none. A fact of one value is a constant. Only an observed one (obs.*) may have one value, if it is absent somewhere.
     """
     keys = list(by)
     total = rows.groupBy(*keys).agg(F.count("*").alias("rows"))
-    counts = rows.select(*keys, F.explode("facts").alias("fact", "value")).groupBy(*keys, "fact", "value").agg(F.count("*").alias("n"))
+    counts = rows.select(*keys, F.explode("facts").alias("fact", "value")).where(~F.col("value").rlike(SURROGATE)).groupBy(*keys, "fact", "value").agg(F.count("*").alias("n"))
     kinds = counts.groupBy(*keys, "fact").agg(F.count("*").alias("values"), F.sum("n").alias("present"))
     splits = (F.col("values") >= 2) | (F.col("fact").startswith("obs.") & (F.col("present") < F.col("rows")))
     return counts.join(kinds, [*keys, "fact"]).join(total, keys).where(splits & (F.col("n") >= t.min_instances)).select(*keys, "fact", "value", "n")

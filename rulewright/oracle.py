@@ -374,6 +374,12 @@ b AS (
   FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY id, scope, half) AS first FROM x) WHERE half = 1 AND NOT (id = '5-LOW' AND scope = 'F') AND NOT (id = '4-NOT SPECIFIED' AND scope = 'P') GROUP BY ALL),"""
 
 SQL = {
+    "slots_before": f"""{USERS.replace("'op-' ||", "json_extract_string(props, '$.k') AS k, 'op-' ||", 1)}
+SELECT i.interaction, i.episode, i.seq, arg_max(e.k, e.seq) AS k FROM inst i JOIN ev e ON e.episode = i.episode AND e.seq < i.seq WHERE e.k IS NOT NULL GROUP BY ALL""",
+    "slot_vocabulary": f"""{ORDERS},
+known AS (SELECT i.operator, i.subject, i.interaction, i.seq, arg_max(e.supplier, e.seq) AS supplier FROM inst i JOIN ev e ON e.episode = i.episode AND e.seq < i.seq GROUP BY ALL),
+n AS (SELECT operator, subject, supplier, count(*) AS n FROM known GROUP BY ALL)
+SELECT operator, subject, 'slot.supplier' AS fact, CAST(supplier AS VARCHAR) AS value, n FROM n QUALIFY count(*) OVER (PARTITION BY operator, subject) >= 2 AND n >= 5""",
     "swept_rules": f'{SWEEP}\nSELECT point, operator, pattern, subject, guard, verdict, status, holds, "of", corpus_holds, corpus_of FROM third',
     "mining_sweep": f"""{SWEEP},
 clauses(clause, pattern, subject, guard) AS (VALUES ('u1', 'X-implies-prior-Y', 'action:purchase', 'action:signup'), ('u1', 'no-X-without-prior-Y', 'action:purchase', 'action:signup'), ('u2', 'at-most-one-X', 'action:signup', ''),

@@ -143,6 +143,19 @@ def condition_vocabulary(spark, sf_dir):
     return facts.vocabulary(orders(spark, sf_dir, True)[3], Thresholds()).select("operator", "subject", "fact", "value", "n")
 
 
+def slots_before(spark, sf_dir):
+    """What users' sessions had told before each action that matters."""
+    events, _, _, found = users(spark, sf_dir)
+    return facts.slots_before(found, events).select("interaction", "episode", "seq", F.col("slots")["k"].alias("k"))
+
+
+def slot_vocabulary(spark, sf_dir):
+    """Conditions on the supplier last met in an order, before actions that matter."""
+    events, _, _, found = orders(spark, sf_dir)
+    known = facts.with_facts(found, slots=facts.slots_before(found, events))
+    return facts.vocabulary(known, Thresholds()).select("operator", "subject", "fact", "value", "n")
+
+
 def _support_at(spark, sf_dir, level):
     events, _, terms, found = orders(spark, sf_dir)
     specs = specs_of(spark, [(patterns.WITHOUT, s, g, None) for s, g in PAIRS])
@@ -547,10 +560,11 @@ def mined_rules(spark, sf_dir):
 
 
 def mined_conditioned(spark, sf_dir):
-    """The mining plan over orders, with variants under the intent."""
+    """The mining plan over orders, with variants under the intent and the suppliers met before."""
     from .plans.mine import mine
 
-    events, _, terms, found = orders(spark, sf_dir, True)
+    events, _, terms, found = orders(spark, sf_dir)
+    found = facts.with_facts(found, intents=events.select("episode", "intent").distinct(), slots=facts.slots_before(found, events))
     t = replace(LOW, implies_support=0.36, guard_support=0.2)
     rules = mine(events, terms, t, facts=found.select(*KEY, "facts"))
     return rules.select("id", "operator", "pattern", "condition_key", "verdict", "status", "holds", "of", "text")

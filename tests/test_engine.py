@@ -311,3 +311,16 @@ def test_library_does_not_import_the_training_data_operators():
     for p in top.rglob("*.py"):
         if "llm" not in p.relative_to(top).parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_slots_before(spark):
+    from rulewright.operators.facts import slots_before, vocabulary, with_facts
+
+    rows = [("i", "e", 0, {"file": "a"}), ("i", "e", 1, {"file": None, "x": "1"}), ("i", "e", 2, {"file": "b"}), ("i", "e", 2, {}), ("i", "e", 3, {"x": "2"}), ("i", "f", 9, {"file": "z"})]
+    logs = spark.createDataFrame(rows, "interaction string, episode string, seq int, slots map<string,string>")
+    got = {(r["episode"], r["seq"]): r["slots"] for r in slots_before(logs.dropDuplicates(["episode", "seq"]), logs).collect()}
+    assert got == {("e", 1): {"file": "a"}, ("e", 2): {"file": "a", "x": "1"}, ("e", 3): {"file": "b", "x": "1"}}
+    points = spark.createDataFrame([("o", "s", {"slot.k": v}) for v in ["h#0a1b2c3d"] * 9 + ["x"] * 9 + ["y"] * 9], "operator string, subject string, facts map<string,string>")
+    assert {r["value"] for r in vocabulary(points, Thresholds()).collect()} == {"x", "y"}
+    known = with_facts(logs.select("interaction", "episode", "seq").dropDuplicates(), slots=slots_before(logs.dropDuplicates(["episode", "seq"]), logs))
+    assert {r["seq"]: r["facts"] for r in known.where("episode = 'e'").collect()}[2] == {"slot.file": "a", "slot.x": "1"}
