@@ -47,15 +47,22 @@ def controls(exercised: DataFrame, outcomes: DataFrame, t: Thresholds = Threshol
     return counts.crossJoin(judged.select(F.round("share", 6).alias("failed_share")))  # one row each
 
 
+def stated_conditions(rules: DataFrame) -> Column:
+    """fact and value (null for any but one equal to it) of each condition of a rule: of conditions, or of fact and value."""
+    if "conditions" in rules.columns:
+        return F.transform("conditions", lambda c: F.named_struct(F.lit("fact"), c["fact"], F.lit("value"), F.when((c["op"] == "eq") & (F.size(c["values"]) == 1), c["values"][0])))
+    return F.when(F.col("fact").isNull(), F.array().cast("array<struct<fact:string,value:string>>")).otherwise(F.array(F.struct("fact", "value")))
+
+
 def align(rules: DataFrame, clauses: DataFrame) -> DataFrame:
     """rule, scope, clause, kind: exact, general (says less of when) or proposed (a person must look).
 
-    rules: id, scope, pattern, subject, guards, fact, value (of a single condition or null). The plain precedence patterns and those on
+    rules: id, scope, pattern, subject, guards, and conditions, or fact and value of a single one or null; of several, any may be the clause's. The plain precedence patterns and those on
     the same object meet precedence clauses of their subject and guard; at-most-one rules those of their subject. A rule without condition
     is exact for a clause without one, and where the clauses of its pair name as many values as all precedence clauses of its subject.
     A rule of another value of the clause's fact is no pair for precedence, and proposed for at-most-one.
     """
-    pair = rules.select(F.col("id").alias("rule"), "scope", "pattern", "subject", F.explode_outer("guards").alias("guard"), F.size("guards").alias("guards"), F.col("fact").alias("rule_fact"), F.col("value").alias("rule_value"))
+    pair = rules.select(F.col("id").alias("rule"), "scope", "pattern", "subject", F.explode_outer("guards").alias("guard"), F.size("guards").alias("guards"), stated_conditions(rules).alias("terms"))
     terms = clauses.where("expressible").select(F.col("id").alias("clause"), "shape", F.col("subject").alias("clause_subject"), F.col("guard").alias("clause_guard"), "fact", "value")
     order = terms.where("shape = 'precedence'")
     values = F.countDistinct(F.when(F.col("fact").isNotNull(), F.col("value")))
@@ -66,13 +73,14 @@ def align(rules: DataFrame, clauses: DataFrame) -> DataFrame:
         (F.col("pattern") == ONCE) & (F.col("shape") == "at-most-one") | F.col("pattern").isin(IMPLIES, WITHOUT, SAME) & (F.col("shape") == "precedence") & (F.col("guard") == F.col("clause_guard"))
     )
     met = pair.join(F.broadcast(terms), same)  # clauses are as many as people wrote
-    alike = F.coalesce((F.col("rule_fact") == F.col("fact")) & (F.col("rule_value") == F.col("value")), F.lit(False))
+    fact, value = F.col("fact"), F.col("value")
+    alike = F.coalesce(F.exists("terms", lambda c: (c["fact"] == fact) & (c["value"] == value)), F.lit(False))
     several = (F.col("pattern") == SAME) & (F.col("guards") > 1)
-    other = F.coalesce(F.col("rule_fact") == F.col("fact"), F.lit(False)) & ~alike & (F.col("pattern") != ONCE) & ~several
+    other = F.coalesce(F.exists("terms", lambda c: c["fact"] == fact), F.lit(False)) & ~alike & (F.col("pattern") != ONCE) & ~several
     covers = (F.col("pattern") != ONCE) & (F.col("pair_values") > 0) & (F.col("pair_values") == F.col("subject_values"))
     kind = (
         F.when(several, "proposed")
-        .when(F.col("rule_fact").isNull(), F.when(F.col("fact").isNull() | covers, "exact").otherwise("general"))
+        .when(F.size("terms") == 0, F.when(F.col("fact").isNull() | covers, "exact").otherwise("general"))
         .when(alike, "exact")
         .otherwise("proposed")
     )

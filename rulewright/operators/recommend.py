@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..reuse import written
 from ..schema import GOOD_OUTCOMES, Thresholds
 from .facts import vocabulary
+from .instances import ACTOR
+from .provenance import verdicts
 
 
 def points_of(decided: DataFrame) -> DataFrame:
-    """point, operator, action, facts, good (null: unknown) from decision points with facts and outcome."""
+    """point, ACTOR, action, facts, good (null: unknown) from decision points with facts and outcome."""
     good = F.when(F.col("outcome").isNotNull(), F.col("outcome").isin(*GOOD_OUTCOMES))
-    return decided.select(F.col("episode").alias("point"), "operator", F.col("subject").alias("action"), "facts", good.alias("good"))
+    return decided.select(F.col("episode").alias("point"), *ACTOR, F.col("subject").alias("action"), "facts", good.alias("good"))
 
 
 def items_of(points: DataFrame, t: Thresholds) -> DataFrame:
@@ -99,6 +101,24 @@ def recommend(points: DataFrame, recommendable: DataFrame, t: Thresholds = Thres
     return rules.where("may").drop("may"), withheld
 
 
+def with_provenance(rules: DataFrame, points: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """rules (operator, conditions, action) with verdict, level, scope, found_in, holds, of, corpus_holds, corpus_of: whether the operator, one of its teams or agents does so, or others do.
+
+    A rule is an antecedent and an action; it is scored once at every operator, team and agent that meets the antecedent,
+    by joining its conditions with the facts of all decision points. The points of a fact are spread over tasks by the join, and counted before they are shuffled again.
+    """
+    spec = F.concat_ws("\x1f", F.array_join("conditions", " and "), "action")
+    asked = rules.select(spec.alias("spec"), "conditions", F.col("action").alias("advised")).dropDuplicates(["spec"])
+    terms = asked.select("spec", "advised", F.size("conditions").alias("many"), F.explode("conditions").alias("condition"))
+    known = points.select("point", *ACTOR, "action", F.explode(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))).alias("condition"))
+    met = terms.join(known, "condition").groupBy("spec", "advised", "many", "point", *ACTOR, "action").agg(F.count("*").alias("met")).where("met = many")
+    levels = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), F.col(level).alias("scope")) for level in ACTOR)))
+    at = met.withColumn("at", levels).select("*", "at.*").where("scope is not null").withColumn("pattern", F.lit("antecedent-implies-action"))
+    support = at.groupBy("spec", "pattern", "operator", "level", "scope").agg(F.count_if(F.col("action") == F.col("advised")).alias("holds"), F.count("*").alias("of"))
+    judged = verdicts(support.withColumns({"n": F.col("of"), "failing": F.lit(None).cast("string")}), t).drop("pattern", "failing")
+    return rules.withColumn("spec", spec).join(judged, ["spec", "operator"]).drop("spec")
+
+
 def matches(rules: DataFrame, points: DataFrame) -> DataFrame:
     """rule, point: the points of each rule's operator and action for which all its conditions are true. rules: rule, operator, action, conditions."""
     known = points.select("operator", "action", "point", F.explode(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit(" = "), e["value"]))).alias("condition"))
@@ -169,7 +189,8 @@ def lift_in_strata(points: DataFrame, fact: str, value: str, stratum: str) -> Da
 def as_rules(rules: DataFrame, points: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Recommendations as rows of the rule table: id, operator, pattern, window, action, conditions, holds, of, verdict, status, text.
 
-    Agreement is support; a rule is one's own if it reaches own_support with enough decision points, else refused.
+    Agreement is support; the verdict is that of with_provenance, or, where rules have none, own if it reaches own_support with enough
+    decision points. Rules found nowhere are refused.
     """
     from ..functions.identity import condition_json, rule_id
     from ..functions.text import label
@@ -179,8 +200,10 @@ def as_rules(rules: DataFrame, points: DataFrame, t: Thresholds = Thresholds())
     conditions = F.transform(parts, lambda p: condition_json(p[0], F.lit("eq"), value(p[1])))
     pattern, window = F.lit("antecedent-implies-action"), F.lit("episode")
     own = (F.col("selected") >= t.min_instances) & (F.col("matched") / F.col("selected") >= t.own_support)
+    verdict = F.col("verdict") if "verdict" in rules.columns else F.when(own, "own").otherwise("neither")
+    holds, of = ("holds", "of") if "holds" in rules.columns else ("matched", "selected")
     return rules.select(
         rule_id(F.lit("recommendation"), pattern, {"action": F.col("action")}, conditions, window).alias("id"), "operator", pattern.alias("pattern"), window.alias("window"), "action", "conditions",
-        F.col("matched").alias("holds"), F.col("selected").alias("of"), "good", "judged", F.when(own, "own").otherwise("neither").alias("verdict"), F.when(own, "proposed").otherwise("refused").alias("status"),
+        F.col(holds).alias("holds"), F.col(of).alias("of"), "good", "judged", verdict.alias("verdict"), F.when(verdict == "neither", "refused").otherwise("proposed").alias("status"),
         F.concat(F.lit("When "), F.array_join("conditions", " and "), F.lit(", "), label(F.col("action")), F.lit(".")).alias("text"),
     )

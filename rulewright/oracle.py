@@ -245,12 +245,12 @@ ALIGNMENT = f"""{POLICY}{GOOD_RULES}
 SELECT DISTINCT rule, scope, clause, kind FROM al"""
 METRICS = f"""{POLICY}{ALL_RULES},
 best AS (SELECT p.id, p.scope, max(CASE kind WHEN 'exact' THEN 3 WHEN 'general' THEN 2 ELSE 0 END) AS b FROM pr p LEFT JOIN al ON al.rule = p.id WHERE p.good GROUP BY ALL),
-ours AS (SELECT count(*) AS rules, count(*) FILTER (b = 3) AS strict, count(*) FILTER (b >= 2) AS lenient, count(*) FILTER (b = 1) AS to_confirm, count(*) FILTER (b = 0) AS unaligned FROM best),
+ours AS (SELECT count(*) AS rules, count(*) FILTER (b = 3) AS strict, count(*) FILTER (b >= 2) AS lenient, count(*) FILTER (b = 1) AS to_confirm, count(*) FILTER (b = 0) AS unaligned, count(*) AS alignable, CAST(0 AS BIGINT) AS unalignable FROM best),
 rec AS (SELECT clause, max(CASE kind WHEN 'exact' THEN 3 ELSE 2 END) AS b FROM al JOIN pr ON pr.id = al.rule AND pr.good GROUP BY clause),
 theirs AS (SELECT 6 AS clauses, count(*) FILTER (b = 3) AS recalled_strict, count(*) AS recalled_lenient, count(*) FILTER (clause = 'c3') AS recalled_adjacent FROM rec),
 ref AS (SELECT count(*) AS refused, count(DISTINCT al.rule) AS refused_wrongly FROM (SELECT * FROM pr WHERE NOT good) p LEFT JOIN (SELECT DISTINCT rule FROM al WHERE kind = 'exact') al ON al.rule = p.id),
 m AS (
-  SELECT *, round(strict / nullif(rules, 0), 6) AS precision_strict, round(lenient / nullif(rules, 0), 6) AS precision_lenient, round(recalled_strict / clauses, 6) AS recall_strict,
+  SELECT *, round(strict / nullif(rules, 0), 6) AS precision_strict, round(lenient / nullif(rules, 0), 6) AS precision_lenient, round(lenient / nullif(alignable, 0), 6) AS precision_alignable, round(recalled_strict / clauses, 6) AS recall_strict,
     round(recalled_lenient / clauses, 6) AS recall_lenient, round(1 - refused_wrongly / nullif(refused, 0), 6) AS refusal_correct FROM ours, theirs, ref)"""
 GATE = f"""{METRICS}
 SELECT precision_lenient, recall_lenient, refusal_correct, CASE WHEN precision_lenient IS NULL THEN 'unmeasured'
@@ -373,7 +373,37 @@ b AS (
   SELECT id, scope, count(*) FILTER (kept) AS h, count(*) AS n, min(CAST(o_orderkey AS VARCHAR)) FILTER (o_orderkey = first) AS proof, CASE WHEN scope = 'O' THEN 'refused' ELSE 'proposed' END AS now
   FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY id, scope, half) AS first FROM x) WHERE half = 1 AND NOT (id = '5-LOW' AND scope = 'F') AND NOT (id = '4-NOT SPECIFIED' AND scope = 'P') GROUP BY ALL),"""
 
+FLOWS = f"""{ORDERS}{PAIRS},
+met AS (
+  SELECT i.operator, i.subject, i.intent, p.guard, {earlier('episode')} AS ok, 'X-implies-prior-Y' AS pattern FROM inst i JOIN pairs p USING (subject)
+  UNION ALL SELECT i.operator, i.subject, i.intent, p.guard, {earlier('interaction')}, 'no-X-without-prior-Y' FROM inst i JOIN pairs p USING (subject)),
+rules AS (
+  SELECT operator, subject, guard, intent, operator || '/' || pattern || '/' || subject || '/' || guard || '/' || intent AS id FROM met GROUP BY operator, subject, guard, intent, pattern HAVING count(*) FILTER (ok) / count(*) >= 0.3),
+clauses(clause, subject, guard, intent) AS (VALUES ('c1', 'action:RF', 'action:AF', NULL), ('c3', 'action:AF', 'action:RF', NULL), ('c4', 'action:RF', 'action:NO', 'intent:1-URGENT'), ('c6', 'action:RF', 'action:NO', 'intent:2-HIGH'), ('c7', 'action:RF', 'action:AF', 'intent:1-URGENT')),
+pairs_of AS (SELECT r.*, c.clause, c.intent AS flow, CASE WHEN c.intent IS NULL THEN 'proposed' ELSE 'exact' END AS kind FROM rules r JOIN clauses c USING (subject, guard) WHERE c.intent IS NULL OR c.intent = r.intent)"""
+
 SQL = {
+    "recommend_provenance": f"""{ONE_FACT.replace("intent, agent, outcome FROM inst", "intent, team, agent, outcome FROM inst", 1)},
+known AS (SELECT operator, team, agent, action, unnest(['contact.segment = ' || agent, 'episode.intent = ' || intent]) AS item FROM pt),
+asked AS (SELECT DISTINCT item, action AS advised FROM rules),
+scored AS (SELECT a.*, operator, team, agent, action = advised AS ok FROM asked a JOIN known USING (item)),
+levels AS (
+  SELECT item, advised, operator, 0 AS rank, 'operator' AS level, operator AS scope, count(*) FILTER (ok) AS h, count(*) AS n FROM scored GROUP BY ALL
+  UNION ALL SELECT item, advised, operator, 1, 'team', team, count(*) FILTER (ok), count(*) FROM scored GROUP BY ALL
+  UNION ALL SELECT item, advised, operator, 2, 'agent', agent, count(*) FILTER (ok), count(*) FROM scored GROUP BY ALL),
+own AS (SELECT * FROM levels WHERE n >= 30 AND h / n >= 0.3 QUALIFY row_number() OVER (PARTITION BY item, advised, operator ORDER BY rank, n DESC, scope) = 1),
+whole AS (SELECT * FROM levels WHERE rank = 0 AND n >= 30),
+keepers AS (SELECT item, advised, list(operator ORDER BY operator) AS them FROM whole WHERE h / n >= 0.3 GROUP BY ALL)
+SELECT r.operator, r.item AS conditions, r.action, CASE WHEN o.h IS NOT NULL THEN 'own' WHEN len(e) >= 2 THEN 'borrowed' ELSE 'neither' END AS verdict, coalesce(o.level, '') AS level, coalesce(o.scope, '') AS scope,
+  CASE WHEN o.h IS NULL AND len(e) >= 2 THEN array_to_string(e, '|') ELSE '' END AS found_in, coalesce(o.h, w.h) AS holds, coalesce(o.n, w.n) AS "of", w.h AS corpus_holds, w.n AS corpus_of
+FROM rules r JOIN (SELECT w.*, [x FOR x IN coalesce(k.them, []) IF x <> w.operator] AS e FROM whole w LEFT JOIN keepers k USING (item, advised)) w ON w.item = r.item AND w.advised = r.action AND w.operator = r.operator
+LEFT JOIN own o ON o.item = r.item AND o.advised = r.action AND o.operator = r.operator""",
+    "alignment_of_flows": f"{FLOWS}\nSELECT id AS rule, operator AS scope, clause, kind FROM pairs_of",
+    "diff_of_flows": f"""{FLOWS},
+best AS (SELECT r.id, r.subject, r.guard, r.intent, max(CASE p.kind WHEN 'exact' THEN 3 WHEN 'proposed' THEN 1 ELSE 0 END) AS b FROM rules r LEFT JOIN pairs_of p USING (id) GROUP BY ALL),
+other AS (SELECT b.id, string_agg(DISTINCT coalesce(c.intent, '(every flow)'), '|' ORDER BY coalesce(c.intent, '(every flow)')) AS elsewhere FROM best b JOIN clauses c USING (subject, guard) WHERE coalesce(c.intent, '') <> b.intent GROUP BY b.id)
+SELECT CASE WHEN b = 3 THEN 'confirmed' WHEN b = 1 THEN 'undecided' ELSE 'tribal' END AS region, CASE WHEN b = 3 THEN 'confirmed' WHEN b = 1 THEN 'undecided' WHEN elsewhere IS NULL THEN 'novel' ELSE 'extended-beyond-policy' END AS kind, id,
+  CASE WHEN b > 0 THEN '' ELSE coalesce(elsewhere, '') END AS elsewhere FROM best LEFT JOIN other USING (id)""",
     "slots_before": f"""{USERS.replace("'op-' ||", "json_extract_string(props, '$.k') AS k, 'op-' ||", 1)}
 SELECT i.interaction, i.episode, i.seq, arg_max(e.k, e.seq) AS k FROM inst i JOIN ev e ON e.episode = i.episode AND e.seq < i.seq WHERE e.k IS NOT NULL GROUP BY ALL""",
     "slot_vocabulary": f"""{ORDERS},

@@ -275,6 +275,14 @@ def recommend_cover(spark, sf_dir):
     return recommend.covered(rules, points, RECOMMEND).select("operator", F.array_join("conditions", " and ").alias("conditions"), "action", "matched", "selected")
 
 
+def recommend_provenance(spark, sf_dir):
+    """Where what is advised under one fact is done: here, by a team or an agent, or elsewhere."""
+    points, rules = _recommended(spark, sf_dir)
+    found = recommend.with_provenance(rules.where(F.size("items") == 1), points, replace(RECOMMEND, own_support=0.3, borrowed_operators=2, min_instances=30))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("level", "scope")]
+    return found.select("operator", F.array_join("conditions", " and ").alias("conditions"), "action", "verdict", *text, F.coalesce(listed("found_in"), F.lit("")).alias("found_in"), "holds", "of", "corpus_holds", "corpus_of")
+
+
 def withheld_actions(spark, sf_dir):
     terms = order_lines(spark, sf_dir)[2].select(F.col("type").alias("action"), F.col("recommendable").alias("may"))
     return recommend.recommend(_points(spark, sf_dir), terms, replace(RECOMMEND, antecedent_max_length=1))[1]
@@ -343,6 +351,29 @@ def diff_regions(spark, sf_dir):
     return found.select("region", "kind", "id")
 
 
+def _rules_of_flows(spark, sf_dir):
+    """Precedence rules of orders under each intent, at each operator with support of at least 0.3."""
+    events, _, terms, found = orders(spark, sf_dir, True)
+    plain = specs_of(spark, [(p, s, g, None) for p in (patterns.IMPLIES, patterns.WITHOUT) for s, g in PAIRS]).drop("spec")
+    words = facts.vocabulary(found, replace(Thresholds(), min_instances=1)).where("fact = 'episode.intent'")
+    owned = plain.join(words.select("operator", "subject").distinct(), "subject")
+    specs = facts.conditioned(owned, words).drop("operator").withColumn("spec", patterns.spec_key()).dropDuplicates(["spec"])
+    support = patterns.measured(patterns.checks(found, specs, events, terms)).where("level = 'operator'").join(F.broadcast(specs), ["spec", "pattern"])
+    name = F.concat_ws("/", "operator", "pattern", "subject", listed("guards"), F.col("conditions")[0]["values"][0])
+    return written(support.where(F.col("holds") / F.col("of") >= 0.3).select(name.alias("id"), F.col("operator").alias("scope"), "pattern", "subject", "guards", "conditions"))
+
+
+def alignment_of_flows(spark, sf_dir):
+    return evaluate.align(_rules_of_flows(spark, sf_dir), _clauses(spark))
+
+
+def diff_of_flows(spark, sf_dir):
+    """The regions of rules under an intent, with the flows that the policy has their pair for."""
+    rules = _rules_of_flows(spark, sf_dir)
+    found = diff.regions(rules, evaluate.align(rules, _clauses(spark)), _clauses(spark), _exercised(spark, sf_dir))
+    return found.where("region not in ('gap', 'inexpressible')").select("region", "kind", "id", F.coalesce(F.array_join("elsewhere", "|"), F.lit("")).alias("elsewhere"))
+
+
 def gold_report(spark, sf_dir):
     rules = _policy_rules(spark, sf_dir).where("good")
     pairs = evaluate.align(rules, _clauses(spark)).select("rule", "clause").distinct()
