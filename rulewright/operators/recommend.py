@@ -47,52 +47,59 @@ def agreements(members: DataFrame) -> DataFrame:
 
 
 def subsets(rows: DataFrame) -> DataFrame:
-    """rows with sub: each node key with one item left out."""
-    without = F.transform(F.sequence(F.lit(0), F.size("items") - 1), lambda k: node_key(F.filter("items", lambda x, i: i != k)))
-    return rows.withColumn("sub", F.explode(without))
+    """rows with sub and sub_items: each node with one item left out, and its key."""
+    without = F.transform(F.sequence(F.lit(0), F.size("items") - 1), lambda k: F.filter("items", lambda x, i: i != k))
+    return rows.withColumn("sub_items", F.explode(without)).withColumn("sub", node_key(F.col("sub_items")))
+
+
+def members_of(nodes: DataFrame, having: DataFrame) -> DataFrame:
+    """The members of nodes (operator, node, items) that the search didn't visit: the points that have all their items."""
+    terms = nodes.withColumn("item", F.explode("items"))
+    met = terms.join(having, ["operator", "item"]).groupBy("operator", "node", "items", "point", "action", "good").agg(F.count("*").alias("met"))
+    return met.where("met = size(items)").drop("met")
 
 
 def recommend(points: DataFrame, recommendable: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
     """(rules, withheld): operator, node, items, conditions, action, matched, selected, good, judged; and operator, action, candidates.
 
     Shortest first: a node under which an action reaches its floor is explained, and a node is visited only as an extension of
-    one that was visited, had no explained part and explained nothing. Parts that weren't visited are measured all the same. A longer one must beat each part by recommend_gain. Actions that may not be recommended explain all
+    one that was visited, had no explained part and explained nothing. A longer one must beat each part by recommend_gain; of parts that weren't visited,
+    those of nodes that would be rules are measured for it. Actions that may not be recommended explain all
     the same, but are withheld and counted. recommendable: action, may.
     """
     items = items_of(points, t)
     having = points.select("operator", "point", "action", "good", F.explode("facts").alias("fact", "value")).join(F.broadcast(items), ["operator", "fact", "value"])
     having = written(having.select("operator", "point", "action", "good", "item", "fact"))
     members = having.select("operator", F.col("item").cast("string").alias("node"), F.array("item").alias("items"), "point", "action", "good")
-    rules, known, explained, going_on = None, None, None, None
+    rules, known, explained = None, None, None
     for length in range(1, t.antecedent_max_length + 1):
-        found = written(agreements(members).where(F.col("selected") >= t.min_instances))
-        known = found if known is None else known.unionByName(found)
-        live = found
-        if going_on is not None:
-            start = found.withColumn("sub", node_key(F.slice("items", 1, length - 1)))
-            live = start.join(going_on, ["operator", "sub"], "left_semi").drop("sub")
+        live = found = written(agreements(members).where(F.col("selected") >= t.min_instances))
         if explained is not None:
             dead = subsets(found.select("operator", "node", "items").distinct()).join(explained, ["operator", "sub"], "left_semi").select("operator", "node").distinct()
             live = live.join(dead, ["operator", "node"], "left_anti")
-        clears = live.where((F.col("matched") / F.col("selected") >= t.recommend_agreement) & (F.col("matched") >= floor_of(length, t)))
-        fresh = clears
+        clears = fresh = live.where((F.col("matched") / F.col("selected") >= t.recommend_agreement) & (F.col("matched") >= floor_of(length, t)))
         if length > 1:
-            # parts were measured at the level before, also where the search didn't go on from them
-            parts = known.select("operator", F.col("node").alias("sub"), "action", (F.col("matched") / F.col("selected")).alias("part"))
+            clears = written(clears)
+            asked = subsets(clears.select("operator", "node", "items").distinct()).select("operator", F.col("sub").alias("node"), F.col("sub_items").alias("items")).distinct()
+            unseen = asked.join(known.select("operator", "node").distinct(), ["operator", "node"], "left_anti")
+            parts = known.unionByName(agreements(members_of(unseen, having)))
+            parts = parts.select("operator", F.col("node").alias("sub"), "action", (F.col("matched") / F.col("selected")).alias("part"))
             beaten = subsets(clears).join(parts, ["operator", "sub", "action"], "left").where(F.col("matched") / F.col("selected") < F.coalesce("part", F.lit(0.0)) + t.recommend_gain)
             fresh = clears.join(beaten.select("operator", "node", "action").distinct(), ["operator", "node", "action"], "left_anti")
         rules = fresh if rules is None else rules.unionByName(fresh)
+        known = found
+        if length == t.antecedent_max_length:
+            break
         done = clears.select("operator", F.col("node").alias("sub")).distinct()
-        going_on = live.select("operator", F.col("node").alias("sub")).distinct().join(done, ["operator", "sub"], "left_anti")
+        going_on = live.select("operator", "node").distinct().join(done.withColumnRenamed("sub", "node"), ["operator", "node"], "left_anti")
         explained = done if explained is None else explained.unionByName(done)
-        if length < t.antecedent_max_length:
-            nodes = members.select("operator", "node", "items", "point", "action", "good")
-            more = having.select("operator", "point", "item", F.col("fact").alias("new"))
-            grown = nodes.join(more, ["operator", "point"]).where(F.col("item") > F.element_at("items", -1))
-            # one value a fact: a point has one value of each, so that two items of one fact never meet
-            members = grown.select("operator", F.concat_ws(",", "node", F.col("item").cast("string")).alias("node"), F.concat("items", F.array("item")).alias("items"), "point", "action", "good")
-            large = members.groupBy("operator", "node").count().where(F.col("count") >= t.min_instances).select("operator", "node")
-            members = written(members.join(large, ["operator", "node"], "left_semi"))
+        nodes = members.select("operator", "node", "items", "point", "action", "good").join(going_on, ["operator", "node"], "left_semi")
+        more = having.select("operator", "point", "item")
+        grown = nodes.join(more, ["operator", "point"]).where(F.col("item") > F.element_at("items", -1))
+        # one value a fact: a point has one value of each, so that two items of one fact never meet
+        members = grown.select("operator", F.concat_ws(",", "node", F.col("item").cast("string")).alias("node"), F.concat("items", F.array("item")).alias("items"), "point", "action", "good")
+        large = members.groupBy("operator", "node").count().where(F.col("count") >= t.min_instances).select("operator", "node")
+        members = written(members.join(large, ["operator", "node"], "left_semi"))
     named = rules.withColumn("item", F.explode("items")).join(F.broadcast(items), ["operator", "item"])
     text = F.concat("fact", F.lit(" = "), "value")
     conditions = named.groupBy("operator", "node").agg(F.array_sort(F.collect_set(text)).alias("conditions"))
