@@ -94,11 +94,22 @@ def active(predicates: DataFrame, corpus_revision: str, alphabet_version: int) -
     return rows.where("why is null").drop("why"), rows.where("why is not null")
 
 
+#: An edge keeps so many hundredths from a mode, which is a p of at least one in MODE answers.
+NEAR, MODE = 2, 10
+
+
+def observed_distribution(labelled: DataFrame) -> DataFrame:
+    """pred, label (yes, no, unsure), p (in hundredths; null where none was given), n: what an observer said of what people labelled, and how often they weren't sure."""
+    label = F.when(F.col("label").isNull(), "unsure").when(F.col("label"), "yes").otherwise("no")
+    return labelled.groupBy("pred", label.alias("label"), F.round("p", 2).alias("p")).agg(F.count("*").alias("n"))
+
+
 def derive_bands(labelled: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """pred, assert_at, refute_at, problem of labelled answers (pred, p, label: boolean, null if unsure).
 
     A grid of hundredths: assert_at is the least p from which labels are true often enough, refute_at the largest up to which
-    they are false often enough. Refused first if the labels' mean p lie too near, then for too few labels.
+    they are false often enough. Refused first if the labels' mean p lie too near, then for too few labels. No edge lies within
+    NEAR hundredths of a mode, a p that a MODEth of the predicate's answers have, as a small change of the observer would move them all across it.
     """
     sure = labelled.where("label is not null").withColumn("q", F.round(F.col("p") * 100).cast("int"))
     size = sure.groupBy("pred").agg(F.count("*").alias("n"), F.count_if("label").alias("yes"), (F.avg(F.when(F.col("label"), F.col("p"))) - F.avg(F.when(~F.col("label"), F.col("p")))).alias("apart"))
@@ -108,6 +119,10 @@ def derive_bands(labelled: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
         F.count_if(F.col("q") <= F.col("at")).alias("below"), F.count_if((F.col("q") <= F.col("at")) & ~F.col("label")).alias("false_below"),
     )
     sharp = t.min_predicate_precision
+    every = Window.partitionBy("pred")  # a row for each hundredth
+    modes = sure.groupBy("pred", "q").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(every)).where(F.col("n") * MODE >= F.col("all"))
+    close = modes.select("pred", F.explode(F.sequence(F.col("q") - NEAR, F.col("q") + NEAR)).alias("at")).distinct()
+    counts = counts.join(close, ["pred", "at"], "left_anti")
     edges = counts.groupBy("pred").agg(
         F.min(F.when((F.col("above") > 0) & (F.col("true_above") / F.nullif("above", F.lit(0)) >= sharp), F.col("at"))).alias("up"),
         F.max(F.when((F.col("below") > 0) & (F.col("false_below") / F.nullif("below", F.lit(0)) >= sharp), F.col("at"))).alias("down"),
@@ -115,7 +130,7 @@ def derive_bands(labelled: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
     few = (F.col("n") < t.min_calibration) | (F.col("yes") < t.min_label) | (F.col("n") - F.col("yes") < t.min_label)
     problem = F.when(F.coalesce("apart", F.lit(0.0)) < t.min_label_separation, "labels not separated").when(few, "too few labels").when(F.col("up").isNull(), "not precise anywhere")
     wide = F.col("up") - F.col("down") >= 20
-    return size.join(edges, "pred").select("pred", F.when(problem.isNull(), F.col("up") / 100).alias("assert_at"), F.when(problem.isNull() & wide, F.col("down") / 100).alias("refute_at"), problem.alias("problem"))
+    return size.join(edges, "pred", "left").select("pred", F.when(problem.isNull(), F.col("up") / 100).alias("assert_at"), F.when(problem.isNull() & wide, F.col("down") / 100).alias("refute_at"), problem.alias("problem"))
 
 
 def calibration_progress(sample: DataFrame) -> DataFrame:

@@ -382,7 +382,20 @@ rules AS (
 clauses(clause, subject, guard, intent) AS (VALUES ('c1', 'action:RF', 'action:AF', NULL), ('c3', 'action:AF', 'action:RF', NULL), ('c4', 'action:RF', 'action:NO', 'intent:1-URGENT'), ('c6', 'action:RF', 'action:NO', 'intent:2-HIGH'), ('c7', 'action:RF', 'action:AF', 'intent:1-URGENT')),
 pairs_of AS (SELECT r.*, c.clause, c.intent AS flow, CASE WHEN c.intent IS NULL THEN 'proposed' ELSE 'exact' END AS kind FROM rules r JOIN clauses c USING (subject, guard) WHERE c.intent IS NULL OR c.intent = r.intent)"""
 
+LABELLED = """
+WITH s AS (SELECT lang AS pred, (least(n_chars, 2000) + 10) // 20 AS q, quality = 1 AS label FROM documents JOIN labels USING (doc_id))"""
+
 SQL = {
+    "observed_distribution": f"{LABELLED}\nSELECT pred, CASE WHEN label THEN 'yes' ELSE 'no' END AS label, q / 100 AS p, count(*) AS n FROM s GROUP BY ALL",
+    "calibration_bands": f"""{LABELLED},
+size AS (SELECT pred, count(*) AS n, count(*) FILTER (label) AS yes, avg(q / 100) FILTER (label) - avg(q / 100) FILTER (NOT label) AS apart FROM s GROUP BY pred),
+modes AS (SELECT s.pred, q FROM s JOIN size USING (pred) GROUP BY s.pred, q, n HAVING count(*) * 10 >= n),
+c AS (SELECT pred, edge, count(*) FILTER (q >= edge) AS above, count(*) FILTER (q >= edge AND label) AS sure FROM s, (SELECT unnest(range(101)) AS edge) GROUP BY ALL),
+e AS (SELECT pred, min(edge) FILTER (above > 0 AND sure / above >= 0.85) AS up FROM c WHERE NOT EXISTS (SELECT 1 FROM modes m WHERE m.pred = c.pred AND abs(m.q - c.edge) <= 2) GROUP BY pred),
+p AS (
+  SELECT pred, up, CASE WHEN coalesce(apart, 0) < 0 THEN 'labels not separated' WHEN n < 40 OR yes < 5 OR n - yes < 5 THEN 'too few labels' WHEN up IS NULL THEN 'not precise anywhere' ELSE '' END AS problem
+  FROM size LEFT JOIN e USING (pred))
+SELECT pred, CASE WHEN problem = '' THEN up / 100 END AS assert_at, problem FROM p""",
     "recommend_provenance": f"""{ONE_FACT.replace("intent, agent, outcome FROM inst", "intent, team, agent, outcome FROM inst", 1)},
 known AS (SELECT operator, team, agent, action, unnest(['contact.segment = ' || agent, 'episode.intent = ' || intent]) AS item FROM pt),
 asked AS (SELECT DISTINCT item, action AS advised FROM rules),

@@ -469,11 +469,18 @@ def redaction_preview(spark, sf_dir):
     return rows.select("doc_id", F.length("text").alias("length"), F.length(F.regexp_replace("text", "<(email|phone|digits)>", "")).alias("plain"))
 
 
+def _labelled_answers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return docs.select(F.col("lang").alias("pred"), (F.expr("(least(n_chars, 2000) + 10) div 20") / 100).alias("p"), (F.col("quality") == 1).alias("label"))
+
+
+def observed_distribution(spark, sf_dir):
+    return observe.observed_distribution(_labelled_answers(spark, sf_dir))
+
+
 def calibration_bands(spark, sf_dir):
     """Quality labels as answers about documents, with a probability from the text's length."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = docs.select(F.concat("lang").alias("pred"), F.round(F.least(F.col("n_chars"), F.lit(2000)) / 2000.0, 2).alias("p"), (F.col("quality") == 1).alias("label"))
-    size = observe.derive_bands(rows, replace(Thresholds(), min_label_separation=0.0, min_calibration=40, min_label=5, min_predicate_precision=0.85))
+    size = observe.derive_bands(_labelled_answers(spark, sf_dir), replace(Thresholds(), min_label_separation=0.0, min_calibration=40, min_label=5, min_predicate_precision=0.85))
     return size.select("pred", "assert_at", F.coalesce("problem", F.lit("")).alias("problem"))
 
 
