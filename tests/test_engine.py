@@ -324,3 +324,41 @@ def test_slots_before(spark):
     assert {r["value"] for r in vocabulary(points, Thresholds()).collect()} == {"x", "y"}
     known = with_facts(logs.select("interaction", "episode", "seq").dropDuplicates(), slots=slots_before(logs.dropDuplicates(["episode", "seq"]), logs))
     assert {r["seq"]: r["facts"] for r in known.where("episode = 'e'").collect()}[2] == {"slot.file": "a", "slot.x": "1"}
+
+
+def test_provenance_of_recommendations(spark):
+    rows = [(f"{o}{k}", o, f"{o}-t{k % 2}", None, "send" if k < n else "hold", {"a": "1", "b": str(k % 2)}) for o, n in (("o1", 10), ("o2", 9), ("o3", 8), ("o4", 2)) for k in range(10)]
+    rows += [(f"o5{k}", "o5", "o5-t", None, "send" if k % 2 else "hold", {"a": "1", "b": str(k % 2)}) for k in range(10)]
+    points = spark.createDataFrame(rows, "point string, operator string, team string, agent string, action string, facts map<string,string>")
+    rules = spark.createDataFrame([(o, ["a = 1"], "send") for o in ("o1", "o4")] + [("o5", ["a = 1", "b = 1"], "send"), ("o5", ["a = 1", "b = 0"], "send"), ("o4", ["a = 9"], "send")], "operator string, conditions array<string>, action string")
+    got = {(r["operator"], " and ".join(r["conditions"])): r for r in recommend.with_provenance(rules, points, Thresholds(borrowed_operators=3)).collect()}
+    own, lent = got["o1", "a = 1"], got["o4", "a = 1"]
+    assert (own["verdict"], own["level"], own["holds"], own["of"]) == ("own", "operator", 10, 10)
+    assert (lent["verdict"], lent["found_in"], lent["holds"], lent["of"]) == ("borrowed", ["o1", "o2", "o3"], 2, 10)
+    assert got["o5", "a = 1 and b = 1"]["verdict"] == "own" and got["o5", "a = 1 and b = 0"]["verdict"] == "borrowed"
+    assert ("o4", "a = 9") not in got  # nothing was decided there
+    listed = recommend.as_rules(recommend.with_provenance(rules, points).withColumns({c: F.lit(0) for c in ("matched", "selected", "good", "judged")}), points)
+    assert {r["status"] for r in listed.collect()} == {"proposed"}
+
+
+def test_tribal_rules_and_their_flows(spark):
+    from rulewright.operators import diff
+
+    clauses = spark.createDataFrame([("c1", "", True, None, "precedence", "pay", "check", "interaction", False, "episode.intent", "a"), ("c2", "", False, "tone", None, None, None, "interaction", False, None, None)], evaluate.CLAUSES)
+    flow = lambda v: [("episode.intent", "eq", [v]), ("vip", "eq", ["true"])]
+    rows = [("one", patterns.EXACTLY, ["check"], flow("a")), ("two", patterns.EXACTLY, ["check"], flow("b")), ("three", patterns.IMPLIES, ["check"], flow("a")), ("four", patterns.IMPLIES, ["look"], []), ("five", patterns.EXACTLY, ["check"], [])]
+    rules = spark.createDataFrame([(i, "s", p, "pay", g, c, i) for i, p, g, c in rows], f"id string, scope string, pattern string, subject string, guards array<string>, conditions array<{CONDITION}>, text string")
+    exercised = spark.createDataFrame([("c1", 1, 0, 1)], "clause string, exercised long, violated long, kept long")
+    got = {r["id"]: (r["kind"], r["elsewhere"]) for r in diff.regions(rules, evaluate.align(rules, clauses), clauses, exercised).collect()}
+    assert got == {"one": ("novel", None), "two": ("extended-beyond-policy", ["a"]), "three": ("confirmed", None), "four": ("novel", None), "five": ("extended-beyond-policy", ["a"]), "c2": ("tone", None)}
+    pairs = spark.createDataFrame([("s", "two", "one", "cycle"), ("s", "one", "two", "cycle"), ("s", "one", "gone", "cycle")], "scope string, rule_a string, rule_b string, reason string")
+    assert [(r["a"], r["b"], r["b_text"]) for r in diff.disputed(pairs, rules).collect()] == [("one", "two", "two")]
+    assert [tuple(r) for r in evaluate.inexpressible(clauses).collect()] == [("tone", 1)]
+
+
+def test_edges_keep_off_modes(spark):
+    rows = [("p", 0.9, True)] * 30 + [("p", 0.93, True)] * 10 + [("p", 0.91 + k / 100, True) for k in range(5)] + [("p", 0.1, False)] * 40 + [("p", None, None)]
+    labelled = spark.createDataFrame(rows, "pred string, p double, label boolean")
+    got = observe.derive_bands(labelled, Thresholds(min_predicate_precision=0.99)).first()
+    assert (got["assert_at"], got["refute_at"]) == (0.13, None)  # 0.11 is too near to 0.1; what would refute lies above
+    assert {(r["label"], r["p"]): r["n"] for r in observe.observed_distribution(labelled).collect()}["unsure", None] == 1
