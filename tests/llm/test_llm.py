@@ -371,6 +371,23 @@ def test_near_texts_against_all_pairs(spark, monkeypatch, chunk):
     assert all(top(i) == top(j) for i, j in pairs)
 
 
+def test_near_texts_lose_no_link(spark, monkeypatch):
+    """Many pairs just above the least similarity, and a text that is like a farther one only: groups are those of all pairs."""
+    monkeypatch.setattr(near_texts, "SHOWN", 1)  # each set, hence a line that many texts have is frequent
+    r = random.Random(41)
+    line, texts = [f"l{k}" for k in range(12)], []
+    for k in range(70):
+        base = line + [f"b{r.randint(0, 10**6)}" for _ in range(90)]
+        other = list(base)
+        for at in (20, 60):  # 10 of 98 shingles on each side: a similarity of 88 / 108
+            other[at] = f"x{r.randint(0, 10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [near_texts.shingle_set(t.encode(), 5) for t in texts]
+    assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2]))
+    got = near_texts.without_near_duplicates(table(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(0, 140, 2))
+
+
 def test_near_texts_of_nothing(nothing):
     assert near_texts.without_near_duplicates(nothing).count() == 0
 
