@@ -82,25 +82,36 @@ def conditioned(specs: DataFrame, vocabulary_: DataFrame) -> DataFrame:
     return specs.drop("conditions").join(vocabulary_, ["operator", "subject"]).withColumn("conditions", one).drop("fact", "value", "n")
 
 
-def discriminating(checked_all: DataFrame, facts: DataFrame, failing: DataFrame, vocabulary_: DataFrame, t: Thresholds) -> DataFrame:
+def discriminating(checked_all: DataFrame, failing: DataFrame, vocabulary_: DataFrame, t: Thresholds) -> DataFrame:
     """operator, pattern, subject, spec (the plain one), fact, value, selected, kept, complement, rank: conditions that explain a failing rule.
 
     A condition explains it if the rule reaches its floor where it is true, fails it where the fact is known and
     different, and both sides have enough instances; where the fact is unknown an instance is on neither side.
     The episode's intent goes first and is capped at max_condition_values, else max_guard_rules of the largest.
-    checked_all: checks of plain specs; facts: KEY, facts; failing: spec, operator that fail their floor.
+    checked_all: checks of plain specs, with subject and the instances' facts; failing: spec, operator that fail their floor.
     """
-    rows = checked_all.join(F.broadcast(failing), ["spec", "operator", "pattern"]).join(facts, KEY)
-    known = rows.select("spec", "pattern", "operator", "subject", "interaction", "episode", "seq", "holds", F.explode("facts").alias("fact", "own"))
-    sides = known.join(F.broadcast(vocabulary_.select("operator", "subject", "fact", "value")), ["operator", "subject", "fact"])
+    rows = checked_all.join(F.broadcast(failing), ["spec", "operator", "pattern"])
+    keys = ["spec", "pattern", "operator", "subject", "fact"]
+    known = rows.select(*keys[:-1], "episode", "holds", F.explode("facts").alias("fact", "value"))
+    known = known.where("value is not null").join(F.broadcast(vocabulary_.select("operator", "subject", "fact").distinct()), ["operator", "subject", "fact"], "left_semi")
     once = F.col("pattern").isin(ONCE, EXACTLY)
-    unit = F.when(once, F.lit(-1)).otherwise(F.col("seq"))
-    keys = ["spec", "pattern", "operator", "subject", "fact", "value"]
-    units = sides.groupBy(*keys, (F.col("own") == F.col("value")).alias("selected"), "episode", unit.alias("unit")).agg(F.bool_and("holds").alias("holds"), F.count("*").alias("n"))
-    pick = lambda side, x: F.sum(F.when(F.col("selected") == side, x).otherwise(0))
-    both = units.groupBy(*keys).agg(
-        pick(True, F.col("n")).alias("selected"), pick(True, F.lit(1)).alias("of"), pick(True, F.col("holds").cast("int")).alias("kept"),
-        pick(False, F.col("n")).alias("complement"), pick(False, F.lit(1)).alias("other_of"), pick(False, F.col("holds").cast("int")).alias("other_kept"),
+    fails = (~F.col("holds")).cast("int")
+    # a unit's values, and how many of them fail: of an episode, or of an instance, which has one value
+    unit = Window.partitionBy(*keys, "episode")
+    episodes = known.where(once).groupBy(*keys, "episode", "value").agg(F.bool_and("holds").alias("holds"), F.count("*").alias("n"))
+    episodes = episodes.withColumns({"values": F.count("*").over(unit), "failed": F.sum(fails).over(unit), "head": F.col("value") == F.min("value").over(unit)}).drop("episode")
+    alone = known.where(~once).drop("episode").withColumns({"n": F.lit(1).cast("long"), "values": F.lit(1).cast("long"), "failed": fails.cast("long"), "head": F.lit(True)})
+    # the complement of a value is all units but those that have no other, so that no instance meets the values of others
+    more, rest = F.col("values") > 1, F.col("failed") - fails
+    sides = alone.unionByName(episodes).groupBy(*keys, "value").agg(
+        F.sum("n").alias("selected"), F.count("*").alias("of"), F.count_if("holds").alias("kept"), F.count_if(more).alias("also"), F.count_if(more & (rest == 0)).alias("also_kept"),
+        F.count_if(F.col("failed") == 0).alias("whole"), F.count_if("head").alias("heads"), F.count_if(F.col("head") & (F.col("failed") == 0)).alias("whole_heads"),
+    )
+    totals = sides.groupBy(*keys).agg(F.sum("selected").alias("all"), F.sum("heads").alias("units"), F.sum("whole_heads").alias("units_kept"))
+    both = sides.join(vocabulary_.select("operator", "subject", "fact", "value"), ["operator", "subject", "fact", "value"], "left_semi").join(F.broadcast(totals), keys)
+    both = both.select(
+        *keys, "value", "selected", "of", "kept", (F.col("all") - F.col("selected")).alias("complement"), (F.col("units") - F.col("of") + F.col("also")).alias("other_of"),
+        (F.col("units_kept") - F.col("whole") + F.col("also_kept")).alias("other_kept"),
     )
     floor = of_pattern(F.col("pattern"), {n: getattr(t, BY_NAME[n].floor) for n in (IMPLIES, WITHOUT, ONCE, EXACTLY, SAME)})
     enough = (F.col("selected") >= t.min_instances) & (F.col("of") >= t.min_instances) & (F.col("complement") >= t.min_instances)

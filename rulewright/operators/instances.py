@@ -27,6 +27,17 @@ def firsts(events: DataFrame, scope: str) -> DataFrame:
     return events.where(is_action()).groupBy(scope, F.col("type").alias("guard")).agg(F.min("seq").alias("first"), F.count("*").alias("times"))
 
 
+def as_maps(firsts_: DataFrame, scope: str) -> DataFrame:
+    """scope, firsts: firsts_ (as firsts() gives them) as one map of guard to (first, times). It has an entry a type there, not one an event."""
+    return firsts_.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("guard", F.struct("first", "times")))).alias("firsts"))
+
+
+def with_firsts(found: DataFrame, firsts_in_episode: DataFrame, firsts_in_contact: DataFrame) -> DataFrame:
+    """found with in_episode and in_contact, the maps of its episode and contact (null if that has no action)."""
+    found = found.join(as_maps(firsts_in_episode, "episode").withColumnRenamed("firsts", "in_episode"), "episode", "left")
+    return found.join(as_maps(firsts_in_contact, "interaction").withColumnRenamed("firsts", "in_contact"), "interaction", "left")
+
+
 def earlier(found: DataFrame, events: DataFrame, scope: str) -> DataFrame:
     """found with guard: a row for each instance and type of action, not its own, that came earlier in the scope."""
     return found.join(firsts(events, scope), scope).where("first < seq and guard <> subject").drop("first", "times")

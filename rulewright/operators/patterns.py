@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logic import NO_CONDITIONS, all_of
 from ..schema import Thresholds
-from .instances import ACTOR, KEY, earlier, firsts, slot_firsts, slot_values
+from .instances import ACTOR, KEY, earlier, firsts, slot_firsts, slot_values, with_firsts
 
 IMPLIES, WITHOUT, ONCE, EXACTLY, SAME = "X-implies-prior-Y", "no-X-without-prior-Y", "at-most-one-X", "exactly-one-Y-per-X", "no-X-without-prior-Y-same-S"
 VACUOUS_EPISODE = "nothing to learn: the corpus has no episode in which this could fail"
@@ -131,51 +131,64 @@ def union_of(specs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return others.unionByName(united).withColumn("spec", spec_key())
 
 
-def checks(found: DataFrame, specs: DataFrame, events: DataFrame, alphabet: DataFrame) -> DataFrame:
-    """spec, pattern, KEY, ACTOR, holds: each spec at each instance of its subject for which its conditions are true.
+def checks(found: DataFrame, specs: DataFrame, events: DataFrame, alphabet: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """spec, pattern, KEY, ACTOR, holds, keep: each spec at each instance of its subject for which its conditions are true.
 
-    found has facts (a map) if specs have conditions.
+    found has facts (a map) if specs have conditions. keep: columns of found that stay. An instance meets what came before it once, as maps
+    of its episode and contact, and only then its specs, so that no row of an instance and a spec is shuffled but for specs on the same object.
     """
     cols = [*KEY, *ACTOR, "subject", "slots", *(["facts"] if "facts" in found.columns else [])]
-    rows = found.select(*cols).join(F.broadcast(specs), "subject")  # specs are few: a handful for each pair of action types
-    if "facts" in found.columns:
-        rows = rows.where((F.size("conditions") == 0) | all_of(F.col("conditions"), F.col("facts")))
-    rows = rows.drop("facts", "conditions")
-
-    def part(*names: str) -> DataFrame:
-        return rows.where(F.col("pattern").isin(*names))
-
-    def summed(joined: DataFrame, holds: Column) -> DataFrame:
-        return joined.select("spec", "pattern", *KEY, *ACTOR, F.coalesce(holds, F.lit(False)).alias("holds"))
-
-    # what is asked of an episode is answered by one join, whatever the pattern
-    guard = F.coalesce(F.get("guards", F.lit(0)), F.col("subject"))
-    episode = part(IMPLIES, ONCE, EXACTLY).withColumn("guard", guard).join(firsts(events, "episode"), ["episode", "guard"], "left")
-    kept = F.when(F.col("pattern") == IMPLIES, F.col("first") < F.col("seq")).when(F.col("pattern") == ONCE, F.col("times") <= 1).otherwise(F.col("times") == 1)
-    contact = part(WITHOUT).withColumn("guard", guard).join(firsts(events, "interaction"), ["interaction", "guard"], "left")
-    out = summed(episode, kept).unionByName(summed(contact, F.col("first") < F.col("seq")))
+    out = [*KEY, *ACTOR, *keep, F.coalesce("holds", F.lit(False)).alias("holds")]
+
+    def met(rows: DataFrame, of: Column, *more: str) -> DataFrame:
+        """rows (with what `more` names) at the specs `of`."""
+        asked = specs.where(of)
+        rows = rows.select(*cols, *more)
+        if "facts" not in cols:
+            return rows.join(F.broadcast(asked), "subject")  # specs are few: a handful for each pair of action types
+        # the first equality is a key of the join, so that an instance meets specs of its own facts and not those of all values
+        first = F.get("conditions", F.lit(0))
+        equal = (first["op"] == "eq") & (F.size(first["values"]) == 1)
+        asked = asked.withColumns({"fact": F.when(equal, first["fact"]), "value": F.when(equal, first["values"][0])})
+        none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+        told = F.filter(F.coalesce(F.map_entries("facts"), F.array()), lambda e: e["value"].isNotNull())
+        same = (F.col("r.subject") == F.col("s.subject")) & F.col("r.known.key").eqNullSafe(F.col("s.fact")) & F.col("r.known.value").eqNullSafe(F.col("s.value"))
+        rows = rows.withColumn("known", F.explode(F.concat(none, told))).alias("r").join(F.broadcast(asked).alias("s"), same)
+        rows = rows.select("r.*", *(f"s.{c}" for c in specs.columns if c != "subject")).drop("known")
+        return rows.where((F.size("conditions") == 0) | all_of(F.col("conditions"), F.col("facts")))
+
+    known = with_firsts(found, firsts(events, "episode"), firsts(events, "interaction"))
+    rows = met(known, F.col("pattern") != SAME, "in_episode", "in_contact")
+    guard, earlier_ = F.coalesce(F.get("guards", F.lit(0)), F.col("subject")), lambda of: of["first"] < F.col("seq")
+    here, times = F.col("in_episode")[guard], F.col("in_episode")[guard]["times"]
+    kept = F.when(F.col("pattern") == IMPLIES, earlier_(here)).when(F.col("pattern") == WITHOUT, earlier_(F.col("in_contact")[guard])).when(F.col("pattern") == ONCE, times <= 1).when(F.col("pattern") == EXACTLY, times == 1)
+    rows = rows.withColumn("holds", kept).select("spec", "pattern", *out)
     if specs.where(F.col("pattern") == SAME).isEmpty():
-        return out
-    same = part(SAME).withColumns({"guard": F.explode("guards"), "value": F.element_at("slots", F.col("slot"))})
-    same = same.join(slot_firsts(events, alphabet), ["interaction", "slot", "value", "guard"], "left")
-    same = same.groupBy("spec", "pattern", *KEY, *ACTOR).agg(F.bool_or(F.coalesce(F.col("first") < F.col("seq"), F.lit(False))).alias("holds"))
-    return out.unionByName(same)
+        return rows
+    same = met(found, F.col("pattern") == SAME).where(F.size("guards") > 0).withColumn("value", F.element_at("slots", F.col("slot")))
+    on_same = slot_firsts(events, alphabet).groupBy("interaction", "slot", "value").agg(F.map_from_entries(F.collect_list(F.struct("guard", "first"))).alias("on_same"))
+    same = same.join(on_same, ["interaction", "slot", "value"], "left")
+    before = F.exists("guards", lambda g: F.coalesce(F.col("on_same")[g] < F.col("seq"), F.lit(False)))
+    return rows.unionByName(same.withColumn("holds", before).select("spec", "pattern", *out))
 
 
-def measured(checked: DataFrame) -> DataFrame:
+def measured(checked: DataFrame, failing: bool = True) -> DataFrame:
     """spec, pattern, operator, level (operator, team, agent), scope, holds, of, n, failing.
 
     Patterns of episodes count an episode once, as failing if any of its instances fails. n counts instances.
-    failing: an interaction that doesn't keep it, the least of them.
+    failing: an interaction that doesn't keep it, the least of them; left out if not asked for.
     """
-    once = [p.name for p in PATTERNS if p.per_episode]
-    unit = F.when(F.col("pattern").isin(once), F.lit(-1)).otherwise(F.col("seq"))
-    units = checked.groupBy("spec", "pattern", *ACTOR, "interaction", "episode", unit.alias("unit")).agg(F.bool_and("holds").alias("holds"), F.count("*").alias("n"))
+    once, rule = F.col("pattern").isin([p.name for p in PATTERNS if p.per_episode]), ["spec", "pattern"]
+    units = checked.where(once).groupBy(*rule, *ACTOR, "interaction", "episode").agg(F.bool_and("holds").alias("holds"), F.count("*").alias("n")).drop("episode")
+    units = checked.where(~once).select(*rule, *ACTOR, "interaction", "holds", F.lit(1).cast("long").alias("n")).unionByName(units)  # an instance is a unit
+    counts = [F.count_if("holds").alias("holds"), F.count("*").alias("of"), F.sum("n").alias("n")]
+    sums, least = [F.sum(c).alias(c) for c in ("holds", "of", "n")], [F.min("failing").alias("failing")] if failing else []
+    if failing:  # counted by contact first: a least string takes a sort of the rows it is taken of
+        units = units.groupBy(*rule, *ACTOR, "interaction").agg(*counts).withColumn("failing", F.when(F.col("holds") < F.col("of"), F.col("interaction")))
+    actors = units.groupBy(*rule, *ACTOR).agg(*(sums if failing else counts), *least)
     levels = F.explode(F.array(*(F.struct(F.lit(level).alias("level"), F.col(level).alias("scope")) for level in ACTOR)))
-    at = units.withColumn("at", levels).select("*", "at.*").where("scope is not null")
-    return at.groupBy("spec", "pattern", "operator", "level", "scope").agg(
-        F.count_if("holds").alias("holds"), F.count("*").alias("of"), F.sum("n").alias("n"), F.min(F.when(~F.col("holds"), F.col("interaction"))).alias("failing")
-    )
+    at = actors.withColumn("at", levels).select("*", "at.*").where("scope is not null")
+    return at.groupBy(*rule, "operator", "level", "scope").agg(*sums, *least)
 
 
 def counterexamples(checked: DataFrame, most: int) -> DataFrame:

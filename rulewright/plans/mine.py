@@ -67,12 +67,12 @@ def mine(events: DataFrame, alphabet: DataFrame, t: Thresholds = Thresholds(), f
     specs = written(union_of(suggested))
     floors = of_pattern(F.col("pattern"), {p.name: getattr(t, p.floor) for p in PATTERNS})
     if facts is not None:
-        plain = written(checks(found, specs, events, alphabet))
-        support = measured(plain).where("level = 'operator'")
+        plain = written(checks(found, specs, events, alphabet, ("facts",)))
+        support = measured(plain, False).where("level = 'operator'")
         failing = support.where(F.col("holds") / F.col("of") < floors).select("spec", "operator", "pattern")
         words = vocabulary(found, t)
         subjects = plain.join(F.broadcast(specs.select("spec", "subject")), "spec")
-        wanted = discriminating(subjects, found.select(*KEY, "facts"), failing, words, t).select("operator", "spec", "subject", "fact", "value", F.lit(1).alias("n"))
+        wanted = discriminating(subjects, failing, words, t).select("operator", "spec", "subject", "fact", "value", F.lit(1).alias("n"))
         owned = specs.join(wanted.select("operator", "spec").distinct(), "spec").select("operator", "spec", "pattern", "subject", "guards", "slot", "conditions")
         extra = conditioned(owned, wanted.drop("spec")).join(wanted.select("operator", "spec").distinct(), ["operator", "spec"]).drop("spec")
         specs = written(union_of(suggested.unionByName(extra.select(suggested.columns))))

@@ -362,3 +362,54 @@ def test_edges_keep_off_modes(spark):
     got = observe.derive_bands(labelled, Thresholds(min_predicate_precision=0.99)).first()
     assert (got["assert_at"], got["refute_at"]) == (0.13, None)  # 0.11 is too near to 0.1; what would refute lies above
     assert {(r["label"], r["p"]): r["n"] for r in observe.observed_distribution(labelled).collect()}["unsure", None] == 1
+
+
+def rows_made(plan):
+    """Output rows of each join of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_made(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_made(plan.plan())
+    own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in kind else []
+    below = plan.children()
+    return own + [n for k in range(below.size()) for n in rows_made(below.apply(k))]
+
+
+def test_conditions_against_all_values(spark):
+    """Conditions that explain failing rules are those of trying each value at each instance; instances don't meet the values of others."""
+    from collections import defaultdict
+
+    from rulewright.operators import facts
+    from rulewright.operators.patterns import EXACTLY, IMPLIES
+
+    r = random.Random(3)
+    checked = []
+    for n in range(1200):
+        kept, one, flow = r.random() < 0.5, n % 3 == 0, r.choice("abc")
+        for seq in range(3):
+            value, intent = r.randrange(60), r.choice([None, flow, "d"])
+            holds = kept if one else r.random() < (0.9 if value < 20 else 0.2)
+            known = {"slot.x": str(value)} | ({"obs.y": intent} if intent else {})
+            checked.append(("one" if one else "two", EXACTLY if one else IMPLIES, "op", f"c{n % 50}", f"e{n}", seq, "x", holds, known))
+    columns = "spec string, pattern string, operator string, interaction string, episode string, seq int, subject string, holds boolean, facts map<string,string>"
+    table = spark.createDataFrame(checked, columns)
+    values = sorted({(f, v) for row in checked for f, v in row[8].items()})
+    words = spark.createDataFrame([("op", "x", f, v) for f, v in values], "operator string, subject string, fact string, value string")
+    failing = spark.createDataFrame([("one", "op", EXACTLY), ("two", "op", IMPLIES)], "spec string, operator string, pattern string")
+    t = Thresholds(min_instances=3, implies_support=0.55, max_guard_rules=1000)
+    got = facts.discriminating(table, failing, words, t)
+    rows = got.collect()
+    want = set()
+    for spec in ("one", "two"):
+        for fact, value in values:
+            sides = {True: defaultdict(list), False: defaultdict(list)}
+            for s, _, _, _, episode, seq, _, holds, known in checked:
+                if s == spec and fact in known:
+                    sides[known[fact] == value][episode, seq if spec == "two" else -1].append(holds)
+            (yes, no), share = (sides[True], sides[False]), lambda units: sum(map(all, units.values())) / len(units)
+            n, other = sum(map(len, yes.values())), sum(map(len, no.values()))
+            if len(yes) >= 3 and n >= 3 and other >= 3 and share(yes) >= 0.55 > share(no):
+                want.add((spec, fact, value, n, other))
+    assert want and {(x["spec"], x["fact"], x["value"], x["selected"], x["complement"]) for x in rows} == want
+    assert max(rows_made(got._jdf.queryExecution().executedPlan())) <= 2 * len(checked)
