@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.logic import CONDITION, NO_CONDITIONS, all_of, unknown_facts
 from .operators import advise as serve
 from .operators import audit, diff, evaluate, facts, observe, patterns, provenance, recommend, rulesets, store
-from .operators.instances import KEY, as_of, decision_points, earlier, firsts, instances
+from .operators.instances import ACTOR, KEY, as_of, decision_points, earlier, firsts, instances
 from .plans import sweep as sweeping
 from .plans.mine import identified
 from .reuse import kept, shared_folder, written
@@ -54,6 +54,12 @@ def orders(spark, sf_dir, with_facts: bool = False):
     return events, contacts, terms, found
 
 
+def _written_orders(spark, sf_dir):
+    """order_lines() with the events, as far as rules need them, in a table, which is smaller than a cache that goes to disk."""
+    events, contacts, terms = order_lines(spark, sf_dir)
+    return written(events.select(*KEY, *ACTOR, "at", "kind", "type", "slots", "intent")), contacts, terms
+
+
 def listed(column: str):
     return F.array_join(F.array_sort(column), "|")
 
@@ -101,7 +107,7 @@ def _orders_support(spark, sf_dir, pattern, pairs, slot=None):
     events, _, terms, found = orders(spark, sf_dir)
     specs = specs_of(spark, [(pattern, s, g, slot) for s, g in pairs])
     checked = patterns.checks(found, specs, events, terms)
-    support = patterns.measured(checked).where("level = 'operator'").join(F.broadcast(specs.select("spec", "subject", "guards")), "spec")
+    support = patterns.measured(checked, False).where("level = 'operator'").join(F.broadcast(specs.select("spec", "subject", "guards")), "spec")
     return support.select("operator", "subject", listed("guards").alias("guards"), "holds", "of", F.round(F.col("holds") / F.col("of"), 6).alias("ratio"))
 
 
@@ -134,7 +140,7 @@ def conditioned_precedence(spark, sf_dir):
     words = facts.vocabulary(found, LOW)
     owned = specs.drop("spec").join(found.select("operator", "subject").distinct(), "subject")
     all_ = facts.conditioned(owned, words).withColumn("spec", patterns.spec_key())
-    support = patterns.measured(patterns.checks(found, all_.drop("operator").dropDuplicates(["spec"]), events, terms)).where("level = 'operator'")
+    support = patterns.measured(patterns.checks(found, all_.drop("operator").dropDuplicates(["spec"]), events, terms), False).where("level = 'operator'")
     named = support.join(F.broadcast(all_.select("spec", F.col("conditions")[0]["values"][0].alias("value")).distinct()), "spec")
     return named.select("operator", "value", "holds", "of")
 
@@ -159,7 +165,7 @@ def slot_vocabulary(spark, sf_dir):
 def _support_at(spark, sf_dir, level):
     events, _, terms, found = orders(spark, sf_dir)
     specs = specs_of(spark, [(patterns.WITHOUT, s, g, None) for s, g in PAIRS])
-    support = patterns.measured(patterns.checks(found, specs, events, terms)).where(F.col("level") == level).join(F.broadcast(specs.select("spec", "subject", "guards")), "spec")
+    support = patterns.measured(patterns.checks(found, specs, events, terms), False).where(F.col("level") == level).join(F.broadcast(specs.select("spec", "subject", "guards")), "spec")
     return support.select("operator", "scope", "subject", F.col("guards")[0].alias("guard"), "holds", "of", "n")
 
 
@@ -308,8 +314,9 @@ def _clauses(spark):
     return spark.createDataFrame(CLAUSES, evaluate.CLAUSES)
 
 
-def _exercised(spark, sf_dir):
-    events, _, _, found = orders(spark, sf_dir, True)
+def _exercised(spark, sf_dir, given=None):
+    """given: what orders() gives with facts, if it is there already."""
+    events, _, _, found = given or orders(spark, sf_dir, True)
     return evaluate.exercise(found, firsts(events, "episode"), firsts(events, "interaction"), _clauses(spark))
 
 
@@ -326,7 +333,7 @@ def _policy_rules(spark, sf_dir):
     """Rules of orders at each operator with support of at least 0.3; id is readable here."""
     events, _, terms, found = orders(spark, sf_dir)
     specs = specs_of(spark, [(p, s, g, None) for p in (patterns.IMPLIES, patterns.WITHOUT) for s, g in PAIRS] + [(patterns.ONCE, "action:RF", [], None)])
-    support = patterns.measured(patterns.checks(found, specs, events, terms)).where("level = 'operator'").join(F.broadcast(specs), ["spec", "pattern"])
+    support = patterns.measured(patterns.checks(found, specs, events, terms), False).where("level = 'operator'").join(F.broadcast(specs), ["spec", "pattern"])
     name = F.concat_ws("/", "operator", "pattern", "subject", listed("guards"))
     nothing = F.lit(None).cast("string")
     return written(support.select(name.alias("id"), F.col("operator").alias("scope"), "pattern", "subject", "guards", nothing.alias("fact"), nothing.alias("value"), "holds", "of", (F.col("holds") / F.col("of") >= 0.3).alias("good")))
@@ -351,26 +358,33 @@ def diff_regions(spark, sf_dir):
     return found.select("region", "kind", "id")
 
 
-def _rules_of_flows(spark, sf_dir):
+def _flows(spark, sf_dir):
+    """orders() with facts, of events in a table."""
+    events, contacts, terms = _written_orders(spark, sf_dir)
+    return events, contacts, terms, facts.with_facts(instances(events, terms), intents=events.select("episode", "intent").distinct())
+
+
+def _rules_of_flows(spark, given):
     """Precedence rules of orders under each intent, at each operator with support of at least 0.3."""
-    events, _, terms, found = orders(spark, sf_dir, True)
+    events, _, terms, found = given
     plain = specs_of(spark, [(p, s, g, None) for p in (patterns.IMPLIES, patterns.WITHOUT) for s, g in PAIRS]).drop("spec")
-    words = facts.vocabulary(found, replace(Thresholds(), min_instances=1)).where("fact = 'episode.intent'")
+    words = written(facts.vocabulary(found, replace(Thresholds(), min_instances=1)).where("fact = 'episode.intent'"))  # else all plans below hold what counts them
     owned = plain.join(words.select("operator", "subject").distinct(), "subject")
-    specs = facts.conditioned(owned, words).drop("operator").withColumn("spec", patterns.spec_key()).dropDuplicates(["spec"])
-    support = patterns.measured(patterns.checks(found, specs, events, terms)).where("level = 'operator'").join(F.broadcast(specs), ["spec", "pattern"])
+    specs = written(facts.conditioned(owned, words).drop("operator").withColumn("spec", patterns.spec_key()).dropDuplicates(["spec"]))
+    support = patterns.measured(patterns.checks(found, specs, events, terms), False).where("level = 'operator'").join(F.broadcast(specs), ["spec", "pattern"])
     name = F.concat_ws("/", "operator", "pattern", "subject", listed("guards"), F.col("conditions")[0]["values"][0])
     return written(support.where(F.col("holds") / F.col("of") >= 0.3).select(name.alias("id"), F.col("operator").alias("scope"), "pattern", "subject", "guards", "conditions"))
 
 
 def alignment_of_flows(spark, sf_dir):
-    return evaluate.align(_rules_of_flows(spark, sf_dir), _clauses(spark))
+    return evaluate.align(_rules_of_flows(spark, _flows(spark, sf_dir)), _clauses(spark))
 
 
 def diff_of_flows(spark, sf_dir):
     """The regions of rules under an intent, with the flows that the policy has their pair for."""
-    rules = _rules_of_flows(spark, sf_dir)
-    found = diff.regions(rules, evaluate.align(rules, _clauses(spark)), _clauses(spark), _exercised(spark, sf_dir))
+    given = _flows(spark, sf_dir)
+    rules = _rules_of_flows(spark, given)
+    found = diff.regions(rules, evaluate.align(rules, _clauses(spark)), _clauses(spark), _exercised(spark, sf_dir, given))
     return found.where("region not in ('gap', 'inexpressible')").select("region", "kind", "id", F.coalesce(F.array_join("elsewhere", "|"), F.lit("")).alias("elsewhere"))
 
 
@@ -601,7 +615,8 @@ def mined_conditioned(spark, sf_dir):
     """The mining plan over orders, with variants under the intent and the suppliers met before."""
     from .plans.mine import mine
 
-    events, _, terms, found = orders(spark, sf_dir)
+    events, _, terms = _written_orders(spark, sf_dir)
+    found = instances(events, terms)
     found = facts.with_facts(found, intents=events.select("episode", "intent").distinct(), slots=facts.slots_before(found, events))
     t = replace(LOW, implies_support=0.36, guard_support=0.2)
     rules = mine(events, terms, t, facts=found.select(*KEY, "facts"))

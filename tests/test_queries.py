@@ -40,3 +40,15 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
+def test_flows_read_lines_once(spark, monkeypatch):
+    """The regions of flows make events once, in a table, and no later plan goes back to the lines; lines aren't shuffled with people's names."""
+    asked, lines = [], queries.order_lines
+    monkeypatch.setattr(queries, "order_lines", lambda *a: asked.append(a) or lines(*a))
+    plan = queries.diff_of_flows(spark, DATA)._jdf.queryExecution().toString()
+    assert len(asked) == 1 and "l_shipdate" not in plan
+    window = lines(spark, DATA)[0]._jdf.queryExecution().optimizedPlan().toString().split("Window [")[1].split(":- Window")[-1]
+    below = window[: window.index("c_custkey")] if "c_custkey" in window else window
+    assert "l_shipdate" in below and "r_name" not in below
