@@ -388,6 +388,16 @@ def test_near_texts_lose_no_link(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in got) == list(range(0, 140, 2))
 
 
+def test_near_texts_of_exploded_rows(spark, tmp_path):
+    """Of two texts made of one row of a file, the one that is like no other stays when the other goes."""
+    r = random.Random(43)
+    a, b, c = (prose(r, 90) for _ in range(3))
+    table(spark, [(1, a, "en", "s", 1), (2, b, "en", "s", 1)]).coalesce(1).write.parquet(f"{tmp_path}/t")
+    texts = F.when(F.col("doc_id") == 2, F.array(F.lit(a), F.lit(c), F.lit(c))).otherwise(F.array("text"))
+    docs = spark.read.parquet(f"{tmp_path}/t").withColumn("text", F.explode(texts))
+    assert sorted((x["doc_id"], x["text"]) for x in near_texts.without_near_duplicates(docs).collect()) == [(1, a), (2, c)]
+
+
 def test_near_texts_of_nothing(nothing):
     assert near_texts.without_near_duplicates(nothing).count() == 0
 
